@@ -15,8 +15,13 @@ MIN_SCALE = 1e-6
 PROBABILITY_CLIP = 1e-7
 
 
+def clip(x: Column, low: float, high: float) -> Column:
+    """Bounds that keep a null a null (``greatest`` and ``least`` alone would skip it)."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
+
+
 def sigmoid(x: Column) -> Column:
-    bounded = F.greatest(F.lit(-SIGMOID_CLIP), F.least(F.lit(SIGMOID_CLIP), x))
+    bounded = clip(x, -SIGMOID_CLIP, SIGMOID_CLIP)
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-bounded))
 
 
@@ -91,9 +96,9 @@ def soft_threshold(x: Column, threshold: float, temperature: float, direction: s
 
 def for_all(truth: Column, p: float = 2.0) -> Column:
     """Aggregate: one minus the power mean of the errors."""
-    error = F.lit(1.0) - F.greatest(F.lit(0.0), F.least(F.lit(1.0), truth))
+    error = F.lit(1.0) - clip(truth, 0.0, 1.0)
     return F.lit(1.0) - F.pow(F.avg(F.pow(error, F.lit(float(p)))), F.lit(1.0 / p))
 
 
 def clip_probability(p: Column) -> Column:
-    return F.greatest(F.lit(PROBABILITY_CLIP), F.least(F.lit(1.0 - PROBABILITY_CLIP), p))
+    return clip(p, PROBABILITY_CLIP, 1.0 - PROBABILITY_CLIP)

@@ -86,6 +86,28 @@ def alert_statistics(
     )
 
 
+def weighted_statistics(counts: DataFrame) -> DataFrame:
+    """The same statistics from (weighted) counts of one part; the AUC plays no role in the checks."""
+    n, pos, act, act_pos = (F.col(c) for c in ("rows", "positives", "active", "active_positives"))
+    base, precision = _share(pos, n), _share(act_pos, act)
+    tp_act, fp_act = _share(act_pos, pos), _share(act - act_pos, n - pos)
+    return counts.select(
+        "rule",
+        n.alias("rows"),
+        pos.alias("positives"),
+        act.alias("active_count"),
+        _share(act, n).alias("coverage"),
+        precision.alias("precision"),
+        (precision - base).alias("precision_gain"),
+        F.when(base > 0, precision / base).alias("lift"),
+        tp_act.alias("tp_activation"),
+        fp_act.alias("fp_activation"),
+        (tp_act - fp_act).alias("tp_fp_gap"),
+        F.lit(None).cast("double").alias("rule_auc"),
+        _share(F.col("truth_sum"), n).alias("mean_truth"),
+    )
+
+
 def attribution_rates(
     df: DataFrame, truths: Mapping[str, str], hits: Mapping[str, Column], shares: Mapping[str, Column],
     *, activation: float = 0.6, weight: Column | None = None,

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from riskloom.functions.fuzzy import clip
 from riskloom.operators.audit import Weights
 
 # Names of the evidence methods in order of precedence.
@@ -48,11 +49,11 @@ def evidence_score(
     elif method == "attribution_gated":
         if shares is None:
             raise ValueError("attribution_gated needs the attribution share of every rule")
-        gates = {r: F.greatest(F.lit(0.0), F.least(F.lit(1.0), shares[r])) for r in rules}
+        gates = {r: clip(shares[r], 0.0, 1.0) for r in rules}
         terms = [F.col(truths[r]) * gates[r] * F.lit(weights.penalised[r]) for r in rules]
     else:
         raise ValueError(f"unknown evidence method {method!r}")
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), _sum(terms)))
+    return clip(_sum(terms), 0.0, 1.0)
 
 
 def evidence_columns(

@@ -95,7 +95,7 @@ def roc_points(cells: DataFrame) -> DataFrame:
 
 def equal_width_bin(probability: Column, bins: int) -> Column:
     """0..bins-1; the last bin includes 1."""
-    return F.least(F.floor(probability * bins), F.lit(bins - 1)).cast("int")
+    return F.when(probability.isNotNull(), F.least(F.floor(probability * bins), F.lit(bins - 1))).cast("int")
 
 
 def calibration_bins(df: DataFrame, label: str, probability: str, bins: int = 15) -> DataFrame:

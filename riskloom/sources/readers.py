@@ -127,17 +127,9 @@ def _text_schema(names: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
-def with_row_id(df: DataFrame, columns: Sequence[str], out: str = "txn_id") -> DataFrame:
-    """An id from the row's own values; equal rows are told apart by a running number."""
-    from pyspark.sql import Window
-
-    digest = F.md5(F.concat_ws(chr(31), *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns]))
-    same = Window.partitionBy("__digest").orderBy("__digest")
-    return (
-        df.withColumn("__digest", digest)
-        .withColumn(out, F.concat_ws("-", "__digest", F.row_number().over(same)))
-        .drop("__digest")
-    )
+def with_row_id(df: DataFrame, out: str = "txn_id") -> DataFrame:
+    """Number the rows of a table without a key; the written result pins the numbers."""
+    return stage(df.withColumn(out, F.monotonically_increasing_id().cast("string")), "numbered")
 
 
 def load_card_transactions(
@@ -177,7 +169,7 @@ def load_payments(
     require_time(df, "event_time")
     df = strict_binary_target(df, "label")
     if "txn_id" not in df.columns:
-        df = with_row_id(df, df.columns)
+        df = with_row_id(df)
     df = df.withColumns({c: normalize_key(df, c) for keys in PROFILE_ROLES.values() for c in keys})
     if profiles:
         df = join_profiles(df, combine_profiles(profiles, PROFILE_KEYS), PROFILE_KEYS, PROFILE_ROLES)
@@ -203,7 +195,7 @@ def load_ledger(raw: DataFrame, *, target: str = "isMoneyLaundering") -> DataFra
         raise ValueError(f"metadata time must parse on every row; {unread} rows do not")
     df = strict_binary_target(df, "label")
     if "txn_id" not in df.columns:
-        df = with_row_id(df, df.columns)
+        df = with_row_id(df)
     df = df.withColumns({"amount": F.col("amount").cast("double")})
     out = with_history(balance_features(stage(df, "ledger")), ledger_trails())
     require_no_leakage(feature_columns(out.columns, LEDGER_DENYLIST), LEDGER_DENYLIST)
