@@ -56,9 +56,15 @@ def audited(spark, sf_dir, *, label: str = "label", rows: DataFrame | None = Non
     return Audited(source, table, overlap, completed)
 
 
+_weights: dict[tuple[str, str], audit.Weights] = {}
+
+
 def frozen_weights(spark, sf_dir) -> tuple[binding.Audit, audit.Weights]:
-    found = audited(spark, sf_dir)
-    return found.source, audit.collect_weights(audit.rule_weights(found.completed))
+    """The audit table and the weights frozen on it, fitted once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _weights:
+        _weights[key] = audit.collect_weights(audit.rule_weights(audited(spark, sf_dir).completed))
+    return binding.audit(spark, sf_dir), _weights[key]
 
 
 def with_evidence(rows: DataFrame, weights: audit.Weights) -> DataFrame:
@@ -142,7 +148,7 @@ CHOICE = f"""
   queue as materialized (select rule, row_number() over (order by score desc, rule) as k from audited where failures = ''),
   walk as (
     with recursive w(k, kept, decided) as (
-      select 0, [], [] union all
+      select 0, []::varchar[], []::struct(rule varchar, status varchar, top double)[] union all
       select q.k::int,
         case when len(kept) < {MAX_RULES} and not exists (select 1 from overlap where ra = q.rule and list_contains(kept, rb) and j > {MAX_JACCARD})
           then list_append(kept, q.rule) else kept end,
