@@ -41,14 +41,14 @@ def _share(a: Column, b: Column) -> Column:
 
 
 def alert_statistics(
-    df: DataFrame, truths: Mapping[str, str], label: str, alert: str, part: str, *, activation: float = 0.6
+    df: DataFrame, truths: Mapping[str, str], label: str, alert: str, part: str, *, activation: float = 0.6,
+    auc: bool = True,
 ) -> DataFrame:
     """Rule statistics per part, once over all rows and once over alerts.
 
-    Counts come from one pass grouped by (part, alert); AUCs from value counts.
+    Counts come from one pass grouped by (part, alert); AUCs, which no check uses, from value counts.
     """
     counts = rule_counts(df, truths, label, activation, by=[part, alert])
-    cells = rule_cells(df, truths, label, by=[part, alert])
     scopes = F.when(F.col(alert), F.array(F.lit("population"), F.lit("alert"))).otherwise(
         F.array(F.lit("population"))
     )
@@ -58,40 +58,27 @@ def alert_statistics(
         .groupBy(*keys)
         .agg(*[F.sum(c).alias(c) for c in ("rows", "positives", "active", "active_positives", "truth_sum")])
     )
+    if not auc:
+        return weighted_statistics(sums, [part, "scope"])
+    cells = rule_cells(df, truths, label, by=[part, alert])
     merged = (
         cells.select("*", F.explode(scopes).alias("scope"))
         .groupBy(*keys, "score")
         .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     )
-    auc = ranking_metrics(stage(merged, "rule-cells"), partition=keys).select(
+    areas = ranking_metrics(stage(merged, "rule-cells"), partition=keys).select(
         *keys, F.col("roc_auc").alias("rule_auc")
     )
-    n, pos, act, act_pos = (F.col(c) for c in ("rows", "positives", "active", "active_positives"))
-    base, precision = _share(pos, n), _share(act_pos, act)
-    tp_act, fp_act = _share(act_pos, pos), _share(act - act_pos, n - pos)
-    return sums.join(auc, keys, "left").select(
-        *keys,
-        "rows",
-        F.col("positives"),
-        act.alias("active_count"),
-        _share(act, n).alias("coverage"),
-        precision.alias("precision"),
-        (precision - base).alias("precision_gain"),
-        F.when(base > 0, precision / base).alias("lift"),
-        tp_act.alias("tp_activation"),
-        fp_act.alias("fp_activation"),
-        (tp_act - fp_act).alias("tp_fp_gap"),
-        "rule_auc",
-        _share(F.col("truth_sum"), n).alias("mean_truth"),
-    )
+    return weighted_statistics(sums, [part, "scope"]).drop("rule_auc").join(areas, keys, "left")
 
 
-def weighted_statistics(counts: DataFrame) -> DataFrame:
-    """The same statistics from (weighted) counts of one part; the AUC plays no role in the checks."""
+def weighted_statistics(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The statistics of each rule from (weighted) counts; the AUC stays empty."""
     n, pos, act, act_pos = (F.col(c) for c in ("rows", "positives", "active", "active_positives"))
     base, precision = _share(pos, n), _share(act_pos, act)
     tp_act, fp_act = _share(act_pos, pos), _share(act - act_pos, n - pos)
     return counts.select(
+        *by,
         "rule",
         n.alias("rows"),
         pos.alias("positives"),
@@ -145,18 +132,14 @@ def audit_rules(
     All inputs hold one row per rule (and scope), so the joins here are small.
     """
     limits = {**CRITERIA, **(criteria or {})}
-    blocks = []
+    cells = []
     for role, name in ((train, "train"), (audit, "audit")):
         for scope in ("population", "alert"):
-            prefix = f"{name}_{scope}_"
-            rows = statistics.filter((F.col(part) == role) & (F.col("scope") == scope))
-            blocks.append(
-                rows.select("rule", *[F.col(c).alias(prefix + c) for c in (*STATISTICS, "positives")])
-            )
-    names = statistics.select("rule").distinct()
-    table = names
-    for block in blocks:
-        table = table.join(block, "rule", "left")
+            here = (F.col(part) == role) & (F.col("scope") == scope)
+            cells += [
+                F.max(F.when(here, F.col(c))).alias(f"{name}_{scope}_{c}") for c in (*STATISTICS, "positives")
+            ]
+    table = statistics.groupBy("rule").agg(*cells)
     if attribution is None:
         table = table.withColumns({"hit_rate": F.lit(None).cast("double"), "share": F.lit(None).cast("double")})
     else:

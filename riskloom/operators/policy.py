@@ -10,7 +10,7 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.operators.evidence import METHOD_PRECEDENCE
@@ -293,7 +293,13 @@ def lock_policies(
     candidates: DataFrame, rails: Guardrails, precedence: Sequence[str] = METHOD_PRECEDENCE
 ) -> list[LockedPolicy]:
     """Choose one method per coverage, or abstain; reads one row per (method, coverage)."""
-    rows = with_eligibility(candidates, rails).collect()
+    return choose_policies(with_eligibility(candidates, rails).collect(), rails, precedence)
+
+
+def choose_policies(
+    rows: Sequence[Row], rails: Guardrails, precedence: Sequence[str] = METHOD_PRECEDENCE
+) -> list[LockedPolicy]:
+    """The choice itself, on collected candidate rows."""
     order = {m: i for i, m in enumerate(precedence)}
     policies = []
     for coverage in sorted({r["coverage"] for r in rows}):
@@ -355,8 +361,12 @@ def policy_report(
     risk: str,
     alert: str,
     row_id: str,
+    names: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Outcome of every locked policy on later rows, with both score-only comparators."""
+    """Outcome of every locked policy on later rows, with both score-only comparators.
+
+    ``names`` tells policies of several variants apart in a ``variant`` column.
+    """
     spark = rows.sparkSession
     methods = sorted({p.method for p in policies if not p.abstain})
     facts = rows.agg(
@@ -386,17 +396,18 @@ def policy_report(
     def count(method: str | None, n: int) -> int:
         return int(hits[method][f"y{at[n]}"]) if n and method in hits else 0
 
+    variants = list(names) if names else [""] * len(plan)
     base = [
         (
-            float(p.coverage), p.method, p.abstain, p.reason, facts["rows"], alerts, full, real,
+            name, float(p.coverage), p.method, p.abstain, p.reason, facts["rows"], alerts, full, real,
             count(p.method, real), count(SCORE_ONLY, real), count(SCORE_ONLY, full), facts["positives"],
             facts["alert_positives"],
         )
-        for p, full, real in plan
+        for name, (p, full, real) in zip(variants, plan)
     ]
     table = spark.createDataFrame(
         base,
-        "coverage_budget double, method string, abstain boolean, abstention_reason string, test_rows bigint, "
+        "variant string, coverage_budget double, method string, abstain boolean, abstention_reason string, test_rows bigint, "
         "alert_count bigint, requested_selected_count bigint, selected_count bigint, "
         "selected_positive_count bigint, score_only_positive_count bigint, "
         "score_only_requested_budget_positive_count bigint, test_positive_count bigint, "
@@ -445,7 +456,7 @@ def policy_report(
         out = out.join(
             F.broadcast(method_fidelity(rows, methods, risk=risk, alert=alert)), "method", "left"
         )
-    return out
+    return out if names else out.drop("variant")
 
 
 def selection_jaccard(selected: DataFrame, left: str, right: str) -> Column:

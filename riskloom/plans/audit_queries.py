@@ -40,11 +40,11 @@ class Audited:
     completed: DataFrame
 
 
-def audited(spark, sf_dir, *, label: str = "label", rows: DataFrame | None = None) -> Audited:
+def audited(spark, sf_dir, *, label: str = "label", rows: DataFrame | None = None, auc: bool = False) -> Audited:
     """Audit on rule_audit alerts against training alerts, with redundancy decisions."""
     source = binding.audit(spark, sf_dir)
     both = source.part("train", "rule_audit") if rows is None else rows
-    statistics = audit.alert_statistics(both, TRUTHS, label, "alert", "role", activation=ACTIVATION)
+    statistics = audit.alert_statistics(both, TRUTHS, label, "alert", "role", activation=ACTIVATION, auc=auc)
     alerts = both.filter("role = 'rule_audit' and alert")
     rates = audit.attribution_rates(alerts, TRUTHS, hits(), shares(), activation=ACTIVATION)
     table = stage(

@@ -455,19 +455,29 @@ def shuffled_weights(spark, sf_dir, seed: int = 42) -> dict[str, audit_ops.Weigh
     }
 
 
-def variant_report(spark, sf_dir, name: str, weights: audit_ops.Weights, methods) -> DataFrame:
-    """Lock and report one ablation variant: its weights and its evidence methods."""
+def variant_reports(spark, sf_dir, variants: dict[str, tuple[audit_ops.Weights, tuple[str, ...]]]) -> DataFrame:
+    """Lock and report ablation variants, each with its weights and methods, in one pass over the rows."""
     source = binding.audit(spark, sf_dir)
-    columns = evidence.evidence_columns(TRUTHS, weights, methods, shares=shares(), activation=ACTIVATION)
-    rows = stage(
-        source.part("policy_select", "test").withColumns(columns).select("txn_id", "role", "label", "risk", "alert", *methods), name
+    columns = {}
+    for name, (weights, methods) in variants.items():
+        found = evidence.evidence_columns(TRUTHS, weights, methods, shares=shares(), activation=ACTIVATION)
+        columns |= {f"{name}/{m}": c for m, c in found.items()}
+    rows = source.part("policy_select", "test").withColumns(columns)
+    rows = stage(rows.select("txn_id", "role", "label", "risk", "alert", *columns), "variants")
+    candidates = policy.policy_candidates(
+        rows.filter("role = 'policy_select'"), list(columns), COVERAGES, label="label", **NAMES
     )
-    candidates = policy.policy_candidates(rows.filter("role = 'policy_select'"), methods, COVERAGES, label="label", **NAMES)
-    policies = policy.lock_policies(candidates, RAILS)
-    report = policy.policy_report(rows.filter("role = 'test'"), policies, label="label", **NAMES)
-    return report.withColumn("variant", F.lit(name)).select(
-        "variant", "coverage_budget", "method", "abstain", "alert_count", "selected_count", "requested_selected_count",
-        "selected_alert_precision", "score_only_precision", "delta_vs_score_only",
+    judged = policy.with_eligibility(candidates, RAILS).collect()
+    precedence = [f"{v}/{m}" for v in variants for m in evidence.METHOD_PRECEDENCE]
+    policies, names = [], []
+    for name in variants:
+        mine = policy.choose_policies([r for r in judged if r["method"].startswith(f"{name}/")], RAILS, precedence)
+        policies += mine
+        names += [name] * len(mine)
+    report = policy.policy_report(rows.filter("role = 'test'"), policies, label="label", names=names, **NAMES)
+    return report.select(
+        "variant", "coverage_budget", F.element_at(F.split("method", "/"), 2).alias("method"), "abstain", "alert_count",
+        "selected_count", "requested_selected_count", "selected_alert_precision", "score_only_precision", "delta_vs_score_only",
     )
 
 
@@ -476,16 +486,15 @@ def ablation_variants(spark, sf_dir):
     """Policy reports of single methods, independent pools and both shuffled controls."""
     found = audited(spark, sf_dir)
     weights = audit_ops.collect_weights(audit_ops.rule_weights(found.completed))
-    variants: list[tuple[str, audit_ops.Weights, tuple[str, ...]]] = [("full", weights, METHODS)]
-    variants += [(f"only_{m}", weights, (m,)) for m in ("unweighted", "fp_penalized")]
-    pool = audit_ops.remove_redundant(found.table, found.overlap, rules=["high_amount", "deep_discount", "large_cross_bank"])
-    variants.append(("amount_rules_only", audit_ops.collect_weights(audit_ops.rule_weights(pool)), METHODS))
-    variants += [(n, w, METHODS) for n, w in shuffled_weights(spark, sf_dir).items()]
-    out = None
-    for name, w, methods in variants:
-        part = variant_report(spark, sf_dir, name, w, methods)
-        out = part if out is None else out.unionByName(part)
-    return out
+    variants = {"full": (weights, METHODS)}
+    variants |= {f"only_{m}": (weights, (m,)) for m in METHODS}
+    pools = {"amount_rules_only": ["high_amount", "deep_discount", "large_cross_bank"],
+             "context_rules_only": ["cross_bank_gap", "busy_sender", "low_balance", "risky_format", "unusual_gap"]}
+    for name, rules in pools.items():
+        pool = audit_ops.remove_redundant(found.table, found.overlap, rules=rules)
+        variants[name] = (audit_ops.collect_weights(audit_ops.rule_weights(pool)), METHODS)
+    variants |= {n: (w, METHODS) for n, w in shuffled_weights(spark, sf_dir).items()}
+    return variant_reports(spark, sf_dir, variants)
 
 
 @query("outcome")
@@ -533,10 +542,7 @@ def outcome(spark, sf_dir):
         per_budget = spark.createDataFrame(
             [], "coverage_budget double, ci_low double, ci_high double, valid_iterations bigint, matched_pairs bigint, "
             "matched_ci_low double, matched_ci_high double, risk_conditioned_tp_fp_gap double")
-    shuffled = None
-    for name, w in shuffled_weights(spark, sf_dir).items():
-        part = variant_report(spark, sf_dir, name, w, METHODS)
-        shuffled = part if shuffled is None else shuffled.unionByName(part)
+    shuffled = variant_reports(spark, sf_dir, {n: (w, METHODS) for n, w in shuffled_weights(spark, sf_dir).items()})
     stability = resample.policy_stability(
         policy_rows, ALL_METHODS, COVERAGES, RAILS, label="label", seeds=STABILITY_SEEDS, **NAMES
     )
