@@ -90,8 +90,7 @@ def _two_level(df: DataFrame, base: DataFrame, trail: Trail, cuts: Cuts) -> Data
         F.sum("__n").over(earlier).alias("__n0"),
         F.max("__last").over(earlier).alias("__last0"),
         *([F.sum("__paid").over(earlier).alias("__paid0")] if trail.total else []),
-        F.explode(salts).alias("__salt"),
-    )
+    ).withColumn("__salt", F.explode(salts))
     inside = Window.partitionBy(*group).orderBy("__t").rangeBetween(Window.unboundedPreceding, -1)
     salt = F.when(point, F.pmod(F.col("__row"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
     local = {"__n1": F.count(F.lit(1)).over(inside), "__last1": F.max("__t").over(inside)}

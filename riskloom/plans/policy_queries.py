@@ -219,7 +219,7 @@ SIGNED = """
 
 @query(
     "selection_signature",
-    sql("truth", """select coverage, count(*) as rows, sum(('0x' || substr(md5(txn_id), 1, 8))::bigint)::bigint as fingerprint
+    sql("truth", """select coverage, count(*) as rows, sum(('0x' || substr(md5(txn_id), 1, 8))::bigint)::varchar as fingerprint
       from signed group by 1""", *LOCK_CTES, SIGNED),
 )
 def selection_signature(spark, sf_dir):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions.hashing import row_fingerprint
@@ -17,7 +17,8 @@ def table_fingerprint(df: DataFrame, columns: Sequence[str] | None = None, *, by
     names = list(columns or df.columns)
     return df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("rows"),
-        F.sum(row_fingerprint(*[F.col(c) for c in names])).cast("bigint").alias("fingerprint"),
+        # A decimal sum: 32-bit digests of a very large table overflow a long.
+        F.sum(row_fingerprint(*[F.col(c) for c in names]).cast("decimal(20,0)")).cast("string").alias("fingerprint"),
     )
 
 
@@ -123,7 +124,3 @@ def changed_outputs(spark: SparkSession, path: str) -> list[str]:
             changed.append(r["output"])
     return sorted(changed)
 
-
-def column_digest(column: Column) -> Column:
-    """Aggregate: order-free digest of one column."""
-    return F.sum(row_fingerprint(column)).cast("bigint")

@@ -69,15 +69,19 @@ PROFILE_ROLES = {
 
 
 def read_table(
-    spark: SparkSession, path: str | Sequence[str], *, schema: T.StructType | str | None = None, form: str | None = None
+    spark: SparkSession, path: str | Sequence[str], *, schema: T.StructType | str | None = None, form: str | None = None,
+    positional: bool = False,
 ) -> DataFrame:
-    """CSV with a header, JSON lines, ORC or Parquet, told by ``form`` or the file ending."""
+    """CSV with a header, JSON lines, ORC or Parquet, told by ``form`` or the file ending.
+
+    A CSV header must agree with a given schema unless columns are taken by position.
+    """
     paths = [path] if isinstance(path, str) else list(path)
     kind = form or paths[0].rstrip("/").rsplit(".", 1)[-1].lower()
     reader = spark.read if schema is None else spark.read.schema(schema)
     if kind == "csv":
         # Without a schema everything stays text and is cast by name later: no inference pass.
-        return reader.option("header", True).option("enforceSchema", schema is None).csv(paths)
+        return reader.option("header", True).option("enforceSchema", positional or schema is None).csv(paths)
     if kind == "json":
         return reader.json(paths)
     if kind == "orc":
@@ -180,7 +184,8 @@ def load_payments(
 
 def read_payments(spark: SparkSession, path: str, **options) -> DataFrame:
     """A payment CSV whose two account columns may share one name."""
-    return load_payments(read_table(spark, path, schema=_text_schema(positional_header(spark, path)), form="csv"), **options)
+    schema = _text_schema(positional_header(spark, path))
+    return load_payments(read_table(spark, path, schema=schema, form="csv", positional=True), **options)
 
 
 def load_ledger(raw: DataFrame, *, target: str = "isMoneyLaundering") -> DataFrame:
