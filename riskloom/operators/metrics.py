@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.fuzzy import clip_probability
 from riskloom.operators.ranks import exact_quantiles, prefix_sums
-from riskloom.session import stage
+from riskloom.session import stage, with_constants
 
 
 def score_cells(
@@ -211,8 +211,7 @@ def prediction_report(
         "positives", "negatives"
     )
     ece = calibration_error(df, label, probability, bins)
-    # One row on every side.
-    row = decision.join(F.broadcast(ranking)).join(F.broadcast(ece))
+    row = with_constants(with_constants(decision, ranking), ece)
     return with_null_baselines(row, beta).withColumns(
         {
             "pr_auc_lift_over_null": F.col("pr_auc") - F.col("null_pr_auc"),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from riskloom.functions import fuzzy
 from riskloom.functions.keys import MISSING, category_key, filled_number
 from riskloom.operators.ranks import exact_quantiles
+from riskloom.session import with_constants
 
 RULE_PREFIX = "rule__"
 QUANTILE_OPERATORS = ("greater_quantile", "less_quantile")
@@ -103,10 +104,9 @@ def category_risk_table(df: DataFrame, feature: str, target: str) -> DataFrame:
     raw = counts.withColumn(
         "raw", (F.col("positives") + F.lit(CATEGORY_SMOOTHING * rate)) / (F.col("n") + F.lit(CATEGORY_SMOOTHING))
     )
-    limits = raw.agg(F.min("raw").alias("lo"), F.max("raw").alias("hi"))
+    ranged = with_constants(raw, raw.agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")))
     scaled = (F.col("raw") - F.col("lo")) / (F.col("hi") - F.col("lo"))
-    # The right side is a single row.
-    return raw.join(F.broadcast(limits)).select(
+    return ranged.select(
         "category", "n", F.when(F.col("hi") > F.col("lo"), scaled).otherwise(F.lit(0.0)).alias("risk")
     )
 

@@ -12,7 +12,7 @@ from riskloom.plans import binding
 from riskloom.plans.binding import ACTIVATION, RULE_NAMES, RULES, SCORECARD, TRUTHS
 from riskloom.plans.oracle import MARGIN, NAMES, sigmoid, sql, unpivot_rules
 from riskloom.plans.registry import query
-from riskloom.session import stage
+from riskloom.session import stage, with_constants
 
 TOP_K = 2
 METHODS = ("unweighted", "audit_weighted", "fp_penalized", "attribution_gated")
@@ -418,7 +418,7 @@ def surrogate_paths(spark, sf_dir):
     chosen, stats, fidelity = trees.fit_surrogate(source.part("train"), list(SCORECARD), "risk")
     names = [(r.name, " and ".join(f"{f} {s} {t:.6g}" for f, s, t in r.conditions), r.prediction) for r in chosen]
     table = spark.createDataFrame(names, "leaf string, conditions string, prediction double")
-    return table.join(stats, "leaf").join(F.broadcast(fidelity))
+    return with_constants(table.join(stats, "leaf"), fidelity)
 
 
 @query("contrastive_evidence")

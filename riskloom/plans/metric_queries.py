@@ -9,7 +9,7 @@ from riskloom.plans import binding
 from riskloom.plans.binding import ALERT_THRESHOLD
 from riskloom.plans.oracle import sql
 from riskloom.plans.registry import query
-from riskloom.session import stage
+from riskloom.session import stage, with_constants
 
 TEST = """
   s as materialized (select txn_id, label as y, risk as p, alert from roled where role = 'test')"""
@@ -49,7 +49,7 @@ def binary_metrics(spark, sf_dir):
 def ece_bins(spark, sf_dir):
     rows = _test(spark, sf_dir)
     bins = metrics.calibration_bins(rows, "label", "risk")
-    return bins.join(F.broadcast(metrics.calibration_error(rows, "label", "risk")))
+    return with_constants(bins, metrics.calibration_error(rows, "label", "risk"))
 
 
 @query(

@@ -13,7 +13,7 @@ from riskloom.plans.audit_queries import EVIDENCE_CTES, METHODS, audited, frozen
 from riskloom.plans.binding import ACTIVATION, TRUTHS
 from riskloom.plans.oracle import sql
 from riskloom.plans.registry import query
-from riskloom.session import stage
+from riskloom.session import stage, with_constants
 from riskloom.sources import artifacts
 
 ALL_METHODS = (*METHODS, "guarded_ensemble")
@@ -534,9 +534,8 @@ def outcome(spark, sf_dir):
         residual = matching.residual_summary(
             matching.residual_by_bin(marked, label="label", risk="risk", evidence=p.method, edges=edges)
         ).select("risk_conditioned_tp_fp_gap")
-        # One row in every table.
-        row = boot.join(F.broadcast(summary.select("matched_pairs"))).join(F.broadcast(interval)).join(F.broadcast(residual))
-        row = row.withColumn("coverage_budget", F.lit(float(p.coverage)))
+        row = with_constants(with_constants(boot, summary.select("matched_pairs")), interval)
+        row = with_constants(row, residual).withColumn("coverage_budget", F.lit(float(p.coverage)))
         per_budget = row if per_budget is None else per_budget.unionByName(row)
     if per_budget is None:
         per_budget = spark.createDataFrame(

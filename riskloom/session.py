@@ -11,6 +11,7 @@ import tempfile
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 _local_roots: dict[str, str] = {}
@@ -52,6 +53,12 @@ def stage(df: DataFrame, label: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_constants(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Attach the columns of a one-row result to every row as literals."""
+    row = one_row.first()
+    return df.withColumns({f.name: F.lit(row[f.name]).cast(f.dataType) for f in one_row.schema})
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash a table with fewer input splits than the cluster has cores over all cores.
 

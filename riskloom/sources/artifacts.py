@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from riskloom.functions.hashing import row_fingerprint
 from riskloom.functions.keys import finite_or_null
 from riskloom.operators.profile import exact_duplicates
+from riskloom.session import with_constants
 
 
 def table_fingerprint(df: DataFrame, columns: Sequence[str] | None = None, *, by: Sequence[str] = ()) -> DataFrame:
@@ -50,8 +51,7 @@ def population_manifest(df: DataFrame, *, time: str, label: str, columns: Sequen
         F.avg(F.col(time).isNotNull().cast("double")).alias("timestamp_parse_coverage"),
         F.concat_ws(",", F.sort_array(F.collect_set(F.col(label).cast("string")))).alias("observed_labels"),
     )
-    # One row on both sides.
-    return facts.join(F.broadcast(exact_duplicates(df, columns).select("duplicate_rows")))
+    return with_constants(facts, exact_duplicates(df, columns).select("duplicate_rows"))
 
 
 def write_table(df: DataFrame, path: str, *, form: str = "parquet", by: Sequence[str] = (), mode: str = "overwrite") -> None:
