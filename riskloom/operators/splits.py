@@ -42,6 +42,20 @@ class TemporalCuts:
         return label
 
 
+    def within(self, time: Column, roles: Sequence[str]) -> Column:
+        """Time ranges of the given roles; as plain comparisons they reach the file scan."""
+        edges = [None, *self.starts, None]
+        condition = F.lit(False)
+        for place, name in enumerate(ROLES):
+            if name in roles:
+                low, high = edges[place], edges[place + 1]
+                inside = F.lit(True) if low is None else time >= F.timestamp_micros(F.lit(low))
+                if high is not None:
+                    inside = inside & (time < F.timestamp_micros(F.lit(high)))
+                condition = condition | inside
+        return condition
+
+
 def timestamp_safe_cuts(
     df: DataFrame,
     sizes: tuple[float, float, float] = (0.6, 0.2, 0.2),

@@ -118,7 +118,7 @@ class Audit:
     cuts: splits.TemporalCuts
 
     def part(self, *roles: str) -> DataFrame:
-        return self.rows.filter(F.col("role").isin(*roles))
+        return self.rows.filter(self.cuts.within(F.col("event_time"), roles))
 
 
 def split_scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, splits.TemporalCuts]:
@@ -140,14 +140,16 @@ def audit(spark: SparkSession, sf_dir: str) -> Audit:
     if key in _prepared:
         path, schema, cuts, base = _prepared[key]
         try:
-            return Audit(rules.with_truth(spark.read.schema(schema).parquet(path), base), base, cuts)
+            stored = spark.read.schema(schema).parquet(path)
+            return Audit(rules.with_truth(splits.with_roles(stored, cuts), base), base, cuts)
         except AnalysisException:
             del _prepared[key]
-    rows, cuts = split_scored(spark, sf_dir)
-    base = rules.fit_rules(rows.filter(F.col("role") == "train"), RULES, "label")
-    stored = stage(rows, "audit")
+    stored = stage(scored(spark, sf_dir), "scored")
+    cuts = splits.timestamp_safe_cuts(stored.select("event_time"))
+    train = stored.filter(cuts.within(F.col("event_time"), ["train"]))
+    base = rules.fit_rules(train, RULES, "label")
     _prepared[key] = (stored.inputFiles()[0].rsplit("/", 1)[0], stored.schema, cuts, base)
-    return Audit(rules.with_truth(stored, base), base, cuts)
+    return Audit(rules.with_truth(splits.with_roles(stored, cuts), base), base, cuts)
 
 
 TRUTHS = {name: rules.RULE_PREFIX + name for name in RULE_NAMES}
