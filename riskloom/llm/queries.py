@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from uuid import uuid4
 
-from riskloom.llm import decontaminate, url_rules
+from riskloom.llm import decontaminate, id_shards, license_scan, line_quality, packing, url_rules
 from riskloom.llm.registry import query
 from riskloom.llm.text import read
+from riskloom.session import checkpoint_root
+
+
+def default_tokenizer() -> str:
+    """The public vocabulary file that the queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
 
 #: (rule_host, rule_path, verdict); fixed by the contract of the query.
 URL_RULES = [
@@ -60,3 +69,24 @@ def op9_benchmark_decontamination(spark, sf_dir):
     return decontaminate.contamination(
         read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", "text")
     )
+
+
+@query("op2_quality_rules")
+def op2_quality_rules(spark, sf_dir):
+    return line_quality.judge_quality(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
+@query("op4_license_scans")
+def op4_license_scans(spark, sf_dir):
+    return license_scan.scan_licenses(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op7_best_fit_packing")
+def op7_best_fit_packing(spark, sf_dir):
+    return packing.pack_documents(read(spark, sf_dir, "documents", "doc_id", "text"), default_tokenizer())
+
+
+@query("op8_token_ids")
+def op8_token_ids(spark, sf_dir):
+    folder = f"{checkpoint_root(spark)}/id-shards-{uuid4().hex}"
+    return id_shards.read_shards(id_shards.write_shards(read(spark, sf_dir, "documents", "doc_id", "text"), folder, default_tokenizer()))
