@@ -8,6 +8,8 @@ of executors, keeps column pruning, and pins every value that later jobs use.
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 _local_roots: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def build_session(master: str = "local[*]", app: str = "riskloom", **conf: object) -> SparkSession:
@@ -31,6 +34,20 @@ def build_session(master: str = "local[*]", app: str = "riskloom", **conf: objec
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, whatever their working folder is; once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    home = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="spark-ship-")) / f"{home.name}.zip"
+    with zipfile.ZipFile(archive, "w") as packed:
+        for source in sorted(home.rglob("*.py")):
+            packed.write(source, source.relative_to(home.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared staging folder the cluster names; a temporary one only in local mode."""
     configured = spark.conf.get(CHECKPOINT_KEY, None)
