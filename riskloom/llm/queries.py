@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from uuid import uuid4
 
-from riskloom.llm import decontaminate, id_shards, license_scan, line_quality, packing, url_rules
+from riskloom.llm import decontaminate, id_shards, license_scan, line_quality, packing, suffix_dedup, url_rules
 from riskloom.llm.registry import query
 from riskloom.llm.text import read
 from riskloom.session import checkpoint_root
@@ -90,3 +90,8 @@ def op7_best_fit_packing(spark, sf_dir):
 def op8_token_ids(spark, sf_dir):
     folder = f"{checkpoint_root(spark)}/id-shards-{uuid4().hex}"
     return id_shards.read_shards(id_shards.write_shards(read(spark, sf_dir, "documents", "doc_id", "text"), folder, default_tokenizer()))
+
+
+@query("op10_suffix_array_dedup")
+def op10_suffix_array_dedup(spark, sf_dir):
+    return suffix_dedup.repeated_bytes(read(spark, sf_dir, "documents", "doc_id", "text"))
