@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from uuid import uuid4
 
-from riskloom.llm import decontaminate, id_shards, license_scan, line_quality, packing, suffix_dedup, url_rules
+from riskloom.llm import decontaminate, id_shards, license_scan, line_quality, near_dedup, packing, suffix_dedup, url_rules
 from riskloom.llm.registry import query
 from riskloom.llm.text import read
 from riskloom.session import checkpoint_root
@@ -95,3 +95,8 @@ def op8_token_ids(spark, sf_dir):
 @query("op10_suffix_array_dedup")
 def op10_suffix_array_dedup(spark, sf_dir):
     return suffix_dedup.repeated_bytes(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op1_minhash_near_dedup")
+def op1_minhash_near_dedup(spark, sf_dir):
+    return near_dedup.near_components(read(spark, sf_dir, "documents", "doc_id", "text"))
