@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.text import map_slices, plain_words
+from riskloom.llm.text import map_slices, plain_words, set_aside
 
 WINDOW = 10
 #: Benchmark bytes in a block: one block at a time is sent to the tasks.
@@ -170,8 +170,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW) -> DataFrame:
     """``docs`` without the documents that hold a benchmark window; columns as they were."""
-    columns = tuple(c for c in docs.columns if c != "text")
-    return find_matches(docs, benchmark, window=window, carry=columns).where(F.size("hit_words") == 0).select(*docs.columns)
+    renamed = set_aside(docs)
+    found = find_matches(renamed, benchmark, window=window, carry=tuple(c for c in renamed.columns if c != "text"))
+    return found.where(F.size("hit_words") == 0).select(*renamed.columns).toDF(*docs.columns)
 
 
 def items_digest(items: list[object]) -> str:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.text import map_slices
+from riskloom.llm.text import map_slices, set_aside
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
@@ -263,6 +263,6 @@ def judge_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rejected documents; columns as they were."""
-    renamed = docs.toDF(*[f"c{i}_" if c != "text" else "text" for i, c in enumerate(docs.columns)])
+    renamed = set_aside(docs)
     measured = measure_documents(renamed, learn_field(docs, labels), tuple(renamed.columns))
     return _verdict(measured).where("kept").select(*renamed.columns).toDF(*docs.columns)

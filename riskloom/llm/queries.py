@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from uuid import uuid4
 
-from riskloom.llm import decontaminate, id_shards, license_scan, line_quality, near_dedup, packing, suffix_dedup, url_rules
+from riskloom.llm import decontaminate, id_shards, license_scan, line_quality, near_dedup, packing, suffix_dedup, suffix_tree_lm, toxicity, url_rules
 from riskloom.llm.registry import query
 from riskloom.llm.text import read
 from riskloom.session import checkpoint_root
@@ -100,3 +100,13 @@ def op10_suffix_array_dedup(spark, sf_dir):
 @query("op1_minhash_near_dedup")
 def op1_minhash_near_dedup(spark, sf_dir):
     return near_dedup.near_components(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark, sf_dir):
+    return toxicity.score_toxicity(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
+@query("op6_lm_scoring")
+def op6_lm_scoring(spark, sf_dir):
+    return suffix_tree_lm.score_documents(read(spark, sf_dir, "documents", "doc_id", "text"))

@@ -27,6 +27,11 @@ def ascii_lower(column) -> F.Column:
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def set_aside(docs: DataFrame) -> DataFrame:
+    """``docs`` with every column but ``text`` under a name that no result column has; ``toDF`` brings the names back."""
+    return docs.toDF(*[c if c == "text" else f"c{i}_" for i, c in enumerate(docs.columns)])
+
+
 def plain_words(text: bytes) -> list[bytes]:
     """Lower-cased runs of letters, digits and characters beyond ASCII."""
     return text.translate(WORD_BYTES).split()
