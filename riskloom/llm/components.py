@@ -31,12 +31,13 @@ def connected(edges: DataFrame) -> DataFrame:
     now = stage(
         edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
     )
-    told = None
     while True:
         tied = _large_star(now).where("u <> v").distinct()
         now = stage(_small_star(tied).where("u <> v").distinct(), "edges")
-        state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if state == told:
+        # Done when every node hangs on one node, and that one on none.
+        ups = now.groupBy(F.col("u").alias("n")).agg(F.count("*").alias("up"), F.lit(0).cast("bigint").alias("down"))
+        downs = now.groupBy(F.col("v").alias("n")).agg(F.lit(0).cast("bigint").alias("up"), F.count("*").alias("down"))
+        held = ups.union(downs).groupBy("n").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+        if held.where("up > 1 or (up > 0 and down > 0)").isEmpty():
             break
-        told = state
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())

@@ -31,9 +31,12 @@ def dealt(docs: DataFrame, *carry: str, block_bytes: int = BLOCK_BYTES) -> tuple
     return docs.select(block.alias("block"), "doc_id", *carry, "text"), blocks
 
 
-def _texts(table: pa.Table) -> list[bytes]:
-    column = table.column("text").combine_chunks().cast(pa.binary())
-    return [x if x is not None else b"" for x in column.to_pylist()]
+def _in_order(table: pa.Table) -> tuple[pa.Table, list, list[bytes]]:
+    """A block's rows by doc_id and text, their ids and texts: every pass must number them alike, and a shuffle does not."""
+    ids = table.column("doc_id").to_pylist()
+    texts = [x if x is not None else b"" for x in table.column("text").cast(pa.binary()).to_pylist()]
+    order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] if ids[i] is not None else 0, texts[i]))
+    return table.take(order), [ids[i] for i in order], [texts[i] for i in order]
 
 
 def _packets(rows: list[tuple[int, int, bytes]]) -> pa.Table:
@@ -52,12 +55,12 @@ def ask(texts: DataFrame, work: Callable, answers: DataFrame | None = None) -> D
 
     def first(key, table):
         block = key[0].as_py()
-        asked = work(table.column("doc_id").to_pylist(), _texts(table), {})
+        asked = work(*_in_order(table)[1:], {})
         return _packets([(block, bucket, data) for bucket, data in asked.items()])
 
     def again(key, table, answer):
         block = key[0].as_py()
-        asked = work(table.column("doc_id").to_pylist(), _texts(table), _received(answer, "bucket"))
+        asked = work(*_in_order(table)[1:], _received(answer, "bucket"))
         return _packets([(block, bucket, data) for bucket, data in asked.items()])
 
     if answers is None:
@@ -86,7 +89,8 @@ def finish(texts: DataFrame, answers: DataFrame, work: Callable, schema: str) ->
     arrow = to_arrow_schema(target)
 
     def last(_, table, answer):
-        made = work(table.column("doc_id").to_pylist(), _texts(table), _received(answer, "bucket"), table)
+        table, ids, texts = _in_order(table)
+        made = work(ids, texts, _received(answer, "bucket"), table)
         arrays = [made[f.name] if isinstance(made[f.name], (pa.Array, pa.ChunkedArray)) else pa.array(made[f.name], f.type) for f in arrow]
         return pa.table([a.cast(f.type) for a, f in zip(arrays, arrow)], schema=arrow)
 
