@@ -67,7 +67,8 @@ def test_field_learns_a_planted_rule():
 
 
 def test_quality_keeps_prose_and_drops_lists(spark, corpus):
-    prose = "\n".join(f"Sentence number {i} tells of a house {i * 7} and its garden." for i in range(12))
+    rng = np.random.default_rng(8)
+    prose = "\n".join(" ".join(f"word{k}" for k in rng.integers(0, 900, 11)) + "." for _ in range(12))
     listed = "\n".join(" | ".join(f"item{i}{j}" for j in range(8)) for i in range(12))
     docs = corpus([(1, prose), (2, listed), (3, None)])
     labels = spark.createDataFrame([], NO_LABELS)
