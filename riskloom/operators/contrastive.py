@@ -118,11 +118,11 @@ def fit_contrastive(
         featuresCol="features", labelCol="label", weightCol="w", standardization=False,
         regParam=1.0 / (c * n), maxIter=max_iter, tol=1e-10,
     )
-    try:
-        model = learner.fit(assembler.transform(design))
-    except Exception:  # a failed fit means no evidence, never a failed run
-        return ContrastiveModel(reason="logistic_fit_failed", **frozen)
+    model = learner.fit(assembler.transform(design))
     values = [float(v) for v in model.coefficients]
+    # Numbers that ran away mean no evidence; an error of the cluster is none of these and rises.
+    if not all(math.isfinite(v) for v in (*values, float(model.intercept))):
+        return ContrastiveModel(reason="logistic_fit_failed", **frozen)
     return ContrastiveModel(
         coefficients=dict(zip(rules, values)), risk_coefficient=values[-1], intercept=float(model.intercept), **frozen
     )

@@ -85,6 +85,16 @@ def with_buckets(df: DataFrame, cuts: Mapping[str, Cuts], suffix: str = "__b") -
     return out.withColumns(flat) if flat else out
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where null equals null; the keys of ``left`` stay."""
+    names = {k: f"__right_{i}" for i, k in enumerate(keys)}
+    right = right.withColumnsRenamed(names)
+    condition = F.lit(True)
+    for k, other in names.items():
+        condition = condition & left[k].eqNullSafe(right[other])
+    return left.join(right, condition, how).drop(*names.values())
+
+
 def prefix_sums(
     cells: DataFrame,
     key: str,
@@ -94,7 +104,7 @@ def prefix_sums(
     descending: bool = False,
     bucket: str | None = None,
 ) -> DataFrame:
-    """Exclusive running sums over distinct keys, and the partition totals.
+    """Exclusive running sums over distinct keys, and the partition totals; a null partition is one of its own.
 
     ``cells`` has one row per (partition, key).  For each ``out -> column`` in
     ``sums`` the result adds ``<out>_before`` (sum over smaller keys, or larger
@@ -125,7 +135,7 @@ def prefix_sums(
         *[F.sum(f"{o}__sum").over(whole).alias(f"{o}_total") for o in sums],
     )
     inside = Window.partitionBy(*parts, bucket).orderBy(direction).rowsBetween(Window.unboundedPreceding, -1)
-    joined = cells.join(offsets, [*parts, bucket])
+    joined = null_safe_join(cells, offsets, [*parts, bucket])
     zero = F.lit(0)
     return joined.withColumns(
         {
@@ -146,6 +156,8 @@ def with_global_rank(
 ) -> DataFrame:
     """Number the rows 1..n (per partition) by ``order`` with ties broken by md5 of the row id.
 
+    Rows with a null partition key are a partition of their own.
+
     ``order`` lists (numeric column, "asc" | "desc").  With ``weight`` the result is
     the exclusive running weight ``<out>_before`` instead of a rank.  ``df`` should be
     a staged, narrow table because it is read three times.
@@ -179,7 +191,7 @@ def with_global_rank(
     )
     offsets = counts.select(*parts, *levels, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__offset"))
     inside = Window.partitionBy(*parts, *levels).orderBy(*keys, "__tie")
-    joined = base.join(offsets, [*parts, *levels])
+    joined = null_safe_join(base, offsets, [*parts, *levels])
     if weight:
         running = F.sum(amount).over(inside.rowsBetween(Window.unboundedPreceding, -1))
         ranked = joined.withColumn(f"{out}_before", F.col("__offset") + F.coalesce(running, F.lit(0)))

@@ -12,15 +12,14 @@ from pyspark.sql import functions as F
 from riskloom.functions import fuzzy
 from riskloom.functions.keys import MISSING, category_key, filled_number
 from riskloom.operators.ranks import exact_quantiles
-from riskloom.session import with_constants
+from riskloom.session import small, stage, with_constants
 
 RULE_PREFIX = "rule__"
 QUANTILE_OPERATORS = ("greater_quantile", "less_quantile")
 NATIVE_OPERATORS = ("greater", "less", "outside_range")
 OPERATORS = (*QUANTILE_OPERATORS, *NATIVE_OPERATORS, "category_risk", "equals")
 CATEGORY_SMOOTHING = 20.0
-# A category map becomes a literal up to this many entries, a join beyond it.
-LITERAL_CATEGORIES = 1_000
+RISK_PREFIX = "__risk__"
 
 
 def default_mode(operator: str) -> str:
@@ -38,19 +37,14 @@ class Condition:
     softness: float = 0.1
     mode: str = "relative"
     fill: float | None = None
-    risks: Mapping[str, float] = field(default_factory=dict)
-
-    def risk(self) -> Column:
-        if len(self.risks) > LITERAL_CATEGORIES:
-            raise ValueError(f"{self.feature}: join category_risk_table instead of a literal map")
-        pairs = [x for k, v in self.risks.items() for x in (F.lit(k), F.lit(v))]
-        lookup = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,double>")
-        return F.coalesce(F.try_element_at(lookup, category_key(F.col(self.feature))), F.lit(0.0))
+    # The fitted (category, risk) table of a category condition.
+    risks: DataFrame | None = field(default=None, compare=False, repr=False)
 
     def truth(self) -> Column:
+        """The condition over a row; a category condition reads the column of ``with_category_risks``."""
         column = F.col(self.feature)
         if self.operator == "category_risk":
-            return fuzzy.greater_than(self.risk(), self.threshold, self.softness, self.mode)
+            return fuzzy.greater_than(F.col(RISK_PREFIX + self.feature), self.threshold, self.softness, self.mode)
         if self.operator == "equals":
             wanted = self.threshold
             if isinstance(wanted, (int, float)) and not isinstance(wanted, bool):
@@ -155,12 +149,10 @@ def fit_rules(
                     spots.add(float(c["value"]))
     numeric = train.select(*[F.col(f).try_cast("double").alias(f) for f in wanted]) if wanted else None
     quantiles = exact_quantiles(numeric, {f: sorted(q) for f, q in wanted.items()}) if wanted else {}
-    risks: dict[str, dict[str, float]] = {}
-    for feature in sorted(categories):
-        rows = category_risk_table(train, feature, target).limit(LITERAL_CATEGORIES + 1).collect()
-        if len(rows) > LITERAL_CATEGORIES:
-            raise ValueError(f"{feature} has too many categories for a rule literal; use category_risk_table")
-        risks[feature] = {r["category"]: float(r["risk"]) for r in rows}
+    risks = {
+        feature: small(stage(category_risk_table(train, feature, target).select("category", "risk"), "category-risks"))
+        for feature in sorted(categories)
+    }
 
     fitted = []
     for d in usable:
@@ -176,7 +168,8 @@ def fit_rules(
                 raise ValueError(f"{feature} has no numeric value to fit a quantile on")
             conditions.append(
                 Condition(feature, op, value, threshold, float(c.get("softness", 0.1)),
-                          str(c.get("softness_mode", default_mode(op))), fill, risks.get(feature, {}))
+                          str(c.get("softness_mode", default_mode(op))), fill,
+                          risks[feature] if op == "category_risk" else None)
             )
         fitted.append(
             Rule(d["name"], d.get("description", d["name"].replace("_", " ")), tuple(conditions),
@@ -185,9 +178,24 @@ def fit_rules(
     return RuleBase(tuple(fitted), skipped)
 
 
+def with_category_risks(df: DataFrame, conditions: Sequence[Condition]) -> DataFrame:
+    """Add the fitted risk of each category condition's feature; a category that was not fitted has risk 0."""
+    done = set()
+    for c in conditions:
+        if c.operator != "category_risk" or c.feature in done:
+            continue
+        done.add(c.feature)
+        name = RISK_PREFIX + c.feature
+        table = c.risks.select(F.col("category").alias("__category"), F.col("risk").alias(name))
+        df = df.join(table, category_key(F.col(c.feature)) == F.col("__category"), "left").drop("__category")
+        df = df.withColumn(name, F.coalesce(F.col(name), F.lit(0.0)))
+    return df
+
+
 def with_truth(df: DataFrame, base: RuleBase) -> DataFrame:
-    """Add one truth column per rule; a narrow projection that stays in generated code."""
-    return df.withColumns({r.column: r.truth() for r in base.rules})
+    """Add one truth column per rule; a narrow projection behind the joins of category risks."""
+    risky = with_category_risks(df, [c for r in base.rules for c in r.conditions])
+    return risky.withColumns({r.column: r.truth() for r in base.rules}).drop(*[c for c in risky.columns if c.startswith(RISK_PREFIX)])
 
 
 def truth_columns(df: DataFrame) -> list[str]:
@@ -267,13 +275,14 @@ def distinct_rules(registry: DataFrame) -> DataFrame:
     return registry.groupBy("rule").agg(first.alias("r")).select("rule", "r.*")
 
 
-def unseen_share(df: DataFrame, condition: Condition) -> Column:
-    """Aggregate: share of rows whose category was not seen when the risk was fitted."""
-    known = F.array(*[F.lit(k) for k in condition.risks])
-    return F.avg((~F.array_contains(known, category_key(F.col(condition.feature)))).cast("double"))
+def unseen_share(df: DataFrame, condition: Condition) -> DataFrame:
+    """One row: the share of rows whose category was not seen when the risk was fitted."""
+    known = condition.risks.select(F.col("category").alias("__category"))
+    joined = df.join(known, category_key(F.col(condition.feature)) == F.col("__category"), "left")
+    return joined.agg(F.avg(F.col("__category").isNull().cast("double")).alias("unseen_share"))
 
 
 __all__ = [
-    "Condition", "Rule", "RuleBase", "MISSING", "fit_rules", "with_truth", "truth_columns", "threshold_table",
+    "Condition", "Rule", "RuleBase", "MISSING", "fit_rules", "with_truth", "with_category_risks", "truth_columns", "threshold_table",
     "rule_registry", "combine_registries", "distinct_rules", "category_risk_table", "unseen_share",
 ]

@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.operators.ranks import with_global_rank
-from riskloom.session import stage
+from riskloom.operators.ranks import null_safe_join, with_global_rank
+from riskloom.session import small, stage
 
 
 def group_quota_sample(df: DataFrame, group: str, max_rows: int, *, row_id: str, seed: int = 42) -> DataFrame:
     """At most ``max_rows`` rows, spread evenly over the groups; no group is dropped.
 
     The first ``max_rows mod groups`` groups in order get one row more.  Rows are taken by
-    seeded digest.
+    seeded digest.  Rows without a group are a group of their own, the first in order.
     """
     rows = stage(df.withColumn("__id", F.concat_ws("|", F.lit(str(seed)), F.col(row_id).cast("string"))), "rows")
-    sizes = rows.filter(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
     facts = sizes.agg(F.count(F.lit(1)).alias("g")).first()
     total, groups = rows.count(), int(facts["g"])
     if not groups or total <= max_rows:
@@ -26,7 +26,7 @@ def group_quota_sample(df: DataFrame, group: str, max_rows: int, *, row_id: str,
     place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(group)) - 1
     quotas = sizes.select(group, F.when(place < rest, base + 1).otherwise(base).alias("__quota"))
     ranked = with_global_rank(rows, [], "__id", partition=[group], out="__rank")
-    return ranked.join(quotas, group).filter(F.col("__rank") <= F.col("__quota")).drop("__id", "__rank", "__quota")
+    return null_safe_join(ranked, small(quotas), [group]).filter(F.col("__rank") <= F.col("__quota")).drop("__id", "__rank", "__quota")
 
 
 def systematic_positions(n: int, k: int) -> list[int]:

@@ -9,8 +9,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.operators.ranks import prefix_sums, with_global_rank
-from riskloom.session import stage
+from riskloom.operators.ranks import null_safe_join, prefix_sums, with_global_rank
+from riskloom.session import small, stage
 
 VALIDATION_ROLES = ("calibration_fit", "calibration_select", "rule_audit", "policy_select")
 ROLES = ("train", *VALIDATION_ROLES, "test")
@@ -161,25 +161,23 @@ def chronological_halves(df: DataFrame, fit_fraction: float = 0.5, *, time: str,
     )
 
 
-def time_group_split(
-    df: DataFrame,
-    groups: Mapping[str, Sequence],
-    *,
-    time: str,
-    max_groups: int = 100_000,
-) -> DataFrame:
-    """Assign whole time groups to splits; absent or unassigned groups are an error."""
-    listed = [g for values in groups.values() for g in values]
-    if any(not groups.get(name) for name in ("train", "validation", "test")):
+def time_group_split(df: DataFrame, groups: Mapping[str, Sequence] | DataFrame, *, time: str) -> DataFrame:
+    """Assign whole time groups to splits; absent or unassigned groups are an error.
+
+    ``groups`` maps each split to its groups, or is a table (``time`` column, split).
+    Rows without a time belong to no group and are left out.
+    """
+    kind = df.schema[time].dataType.simpleString()
+    if isinstance(groups, DataFrame):
+        assigned = groups.select(F.col(time).cast(kind).alias(time), "split")
+    else:
+        pairs = [(g, name) for name, values in groups.items() for g in values]
+        assigned = df.sparkSession.createDataFrame(pairs, f"`{time}` {kind}, split string")
+    named = {r["split"] for r in assigned.select("split").distinct().collect()}
+    if not {"train", "validation", "test"} <= named:
         raise ValueError("train, validation and test groups must all be given")
-    if len(set(listed)) != len(listed):
+    if not assigned.groupBy(time).count().where("count > 1").isEmpty():
         raise ValueError("time groups must be disjoint")
-    spark = df.sparkSession
-    pairs = [(g, name) for name, values in groups.items() for g in values]
-    if len(pairs) > max_groups:
-        raise ValueError("too many time groups to list; use the timestamp-safe split")
-    kind = df.schema[time].dataType.simpleString()
-    assigned = spark.createDataFrame(pairs, f"`{time}` {kind}, split string")
     observed = df.select(time).filter(F.col(time).isNotNull()).distinct()
     unassigned = observed.join(assigned, time, "left_anti").limit(5).collect()
     if unassigned:
@@ -187,7 +185,7 @@ def time_group_split(
     missing = assigned.join(observed, time, "left_anti").limit(5).collect()
     if missing:
         raise ValueError(f"configured time groups are absent from the data: {[r[0] for r in missing]}")
-    return df.join(assigned, time)
+    return df.join(small(assigned), time)
 
 
 def stratified_split(
@@ -199,11 +197,14 @@ def stratified_split(
     seed: int = 42,
     out: str = "split",
 ) -> DataFrame:
-    """Random split with exact per-class shares: rows are ordered by a seeded digest."""
+    """Random split with exact per-class shares: rows are ordered by a seeded digest.
+
+    Rows without a class are a class of their own.
+    """
     _check_sizes(sizes)
     rows = stage(df.withColumn("__id", F.concat_ws("|", F.lit(str(seed)), F.col(row_id).cast("string"))), "rows")
     sizes_by_class = rows.groupBy(target).agg(F.count(F.lit(1)).alias("__class_rows"))
-    ranked = with_global_rank(rows, [], "__id", partition=[target], out="__rank").join(sizes_by_class, target)
+    ranked = null_safe_join(with_global_rank(rows, [], "__id", partition=[target], out="__rank"), small(sizes_by_class), [target])
     first = F.floor(F.col("__class_rows") * F.lit(sizes[0]))
     second = F.floor(F.col("__class_rows") * F.lit(sizes[0] + sizes[1]))
     label = _share_label(F.col("__rank"), [("train", first), ("validation", second)], "test")
@@ -213,26 +214,23 @@ def stratified_split(
 # --- summaries ------------------------------------------------------------------------------
 
 
-def split_integrity(df: DataFrame, *, time: str, split: str = "split", shown_groups: int = 256) -> DataFrame:
-    """Rows, time range, distinct time groups and overlap of each split.
+def split_groups(df: DataFrame, *, time: str, split: str = "split") -> DataFrame:
+    """One row per time group and split: its rows, and whether another split has the group, too."""
+    cells = df.filter(F.col(time).isNotNull()).groupBy(F.col(time).alias("time_group"), split).agg(F.count(F.lit(1)).alias("rows"))
+    alone = cells.groupBy("time_group").agg(F.count(F.lit(1)).alias("__splits"))
+    return cells.join(alone, "time_group").select("time_group", split, "rows", (F.col("__splits") > 1).alias("shared"))
 
-    The groups themselves are listed only when all splits together have few of them.
-    """
+
+def split_integrity(df: DataFrame, *, time: str, split: str = "split") -> DataFrame:
+    """Rows, time range, distinct time groups and overlap of each split; ``split_groups`` lists the groups."""
     cells = df.filter(F.col(time).isNotNull()).groupBy(F.col(time).alias("g"), split).agg(F.count(F.lit(1)).alias("n"))
     shared = cells.groupBy("g").agg(F.collect_set(split).alias("in_splits"))
     cells = cells.join(shared, "g").withColumn("__shared", F.size("in_splits") > 1)
-    total = cells.agg(F.count(F.lit(1))).first()[0]
-    listing = total <= shown_groups
-    empty = F.expr("cast(array() as array<string>)")
-    named = F.sort_array(F.collect_list(F.col("g"))).cast("array<string>")
-    overlap = F.sort_array(F.collect_list(F.when(F.col("__shared"), F.col("g")))).cast("array<string>")
     return cells.groupBy(split).agg(
         F.sum("n").alias("rows"),
         F.min("g").alias("time_min"),
         F.max("g").alias("time_max"),
         F.count(F.lit(1)).alias("time_group_count"),
-        (named if listing else F.any_value(empty)).alias("time_groups"),
-        (overlap if listing else F.any_value(empty)).alias("overlap_groups"),
         (F.count_if("__shared") == 0).alias("group_disjoint"),
     )
 

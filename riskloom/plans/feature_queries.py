@@ -267,7 +267,7 @@ def feature_eligibility(spark, sf_dir):
         F.col("l_orderkey").cast("string").alias("order"),
         F.when(F.col("l_discount") < 0.05, F.col("l_quantity")).alias("sometimes"),
     )
-    names = preprocess.eligible_features(rows, rows.columns)
+    names = preprocess.eligible_features(rows, rows.columns, max_categories=100)
     return spark.createDataFrame([(f, i + 1) for i, f in enumerate(names)], "feature string, place int")
 
 
@@ -388,8 +388,8 @@ def temporal_split_rows(spark, sf_dir):
 
 @query("timestamp_safe_split", sql("roled", "select txn_id, role, split from roled"))
 def timestamp_safe_split(spark, sf_dir):
-    rows, _ = binding.split_scored(spark, sf_dir)
-    return rows.select("txn_id", "role", "split")
+    rows = stage(binding.transactions(spark, sf_dir).select("txn_id", "event_time"), "times")
+    return splits.with_roles(rows, splits.timestamp_safe_cuts(rows.select("event_time"))).select("txn_id", "role", "split")
 
 
 @query(
@@ -440,6 +440,21 @@ def chronological_halves(spark, sf_dir):
     return splits.chronological_halves(rows, time="ts", row_id="event_id").select("event_id", "partition")
 
 
+@query(
+    "split_groups",
+    """with o as (select date_trunc('month', o_orderdate)::date as m, case when o_orderpriority < '3' then 'urgent' else 'other' end as split from orders),
+      g as (select m, split, count(*) as rows from o where m is not null group by 1, 2)
+    select m::varchar as time_group, split, rows, (count(*) over (partition by m) > 1) as shared from g""",
+)
+def split_groups(spark, sf_dir):
+    """Months of orders under two overlapping splits."""
+    orders = binding.table(spark, sf_dir, "orders").select(
+        F.to_date(F.date_trunc("month", "o_orderdate")).cast("string").alias("m"),
+        F.when(F.col("o_orderpriority") < "3", "urgent").otherwise("other").alias("split"),
+    )
+    return splits.split_groups(orders, time="m")
+
+
 @query(
     "split_integrity",
     """, g as (select event_time::date as g, split, count(*) as n from roled group by 1, 2),

@@ -115,13 +115,31 @@ EDGES = """
   binned as materialized (select focus.*, len(list_filter(q, lambda t: risk >= t))::int as risk_bin from focus, edges)"""
 FOCUS_CTES = (*CANDIDATE_CTES, FOCUS_SQL)
 BIN_CTES = (*FOCUS_CTES, EDGES)
+
+
+def _cell_pairs(n: int, left: str, right: str, shift: float) -> str:
+    """CTEs of one round of cell matching over (selected) ``left`` and (controls) ``right``."""
+    cell = f"floor(risk / {CALIPER}::double + {shift}::double)::bigint as cell"
+    return f"""
+  l{n} as (select *, {cell} from {left}), r{n} as (select *, {cell} from {right}),
+  c{n} as (select * from (select risk_bin, cell, count(*) as s from l{n} group by 1, 2) join (select risk_bin, cell, count(*) as c from r{n} group by 1, 2) using (risk_bin, cell)),
+  g{n} as (select l{n}.*, s, c from l{n} join c{n} using (risk_bin, cell)
+    qualify row_number() over (partition by risk_bin, cell order by ev desc, md5(txn_id)) <= c),
+  k{n} as (select *, row_number() over (partition by risk_bin, cell order by risk, md5(txn_id)) as k from g{n}),
+  o{n} as (select *, row_number() over (partition by risk_bin, cell order by risk, md5(txn_id)) as place from r{n}),
+  p{n} as materialized (select k{n}.txn_id as selected_id, o{n}.txn_id as control_id from k{n} join o{n}
+    on k{n}.risk_bin = o{n}.risk_bin and k{n}.cell = o{n}.cell and o{n}.place = ((2 * k - 1) * c) // (2 * least(s, c)) + 1)"""
+
+
 PAIRS = f"""
-  cells2 as (select *, floor(risk / {CALIPER}::double)::bigint as cell from binned),
-  lhs as (select *, row_number() over (partition by risk_bin, cell order by ev desc, md5(txn_id)) as k from cells2 where selected),
-  rhs as (select *, row_number() over (partition by risk_bin, cell order by risk, md5(txn_id)) as k from cells2 where not selected),
+  lhs as (select * from binned where selected), rhs as (select * from binned where not selected),{_cell_pairs(1, "lhs", "rhs", 0.0)},
+  lhs2 as (select * from lhs where txn_id not in (select selected_id from p1)), rhs2 as (select * from rhs where txn_id not in (select control_id from p1)),
+  {_cell_pairs(2, "lhs2", "rhs2", 0.5)},
+  found as (select * from p1 union all select * from p2),
   pairs as materialized (select l.risk_bin, l.txn_id as selected_id, r.txn_id as control_id, l.risk as selected_risk, r.risk as control_risk,
-    abs(r.risk - l.risk) as gap, l.ev as selected_evidence, r.ev as control_evidence, r.txn_id is not null as matched, l.y as ly, r.y as ry
-    from lhs l left join rhs r on l.risk_bin = r.risk_bin and l.cell = r.cell and l.k = r.k)"""
+    abs(r.risk - l.risk) as gap, l.ev as selected_evidence, r.ev as control_evidence, r.txn_id is not null as matched, l.y as ly, r.y as ry,
+    case when r.txn_id is null then (select min(abs(x.risk - l.risk)) from rhs x where x.risk_bin = l.risk_bin) end as nearest_gap
+    from lhs l left join found f on l.txn_id = f.selected_id left join rhs r on r.txn_id = f.control_id)"""
 
 # --- queries ---------------------------------------------------------------------------------
 
@@ -219,7 +237,8 @@ SIGNED = """
 
 @query(
     "selection_signature",
-    sql("truth", """select coverage, count(*) as rows, sum(('0x' || substr(md5(txn_id), 1, 8))::bigint)::varchar as fingerprint
+    sql("truth", """select coverage, count(*) as rows, sum(('0x' || substr(md5(txn_id), 1, 12))::bigint)::varchar || ':'
+        || sum(('0x' || substr(md5(txn_id), 21, 12))::bigint)::varchar as fingerprint
       from signed group by 1""", *LOCK_CTES, SIGNED),
 )
 def selection_signature(spark, sf_dir):
@@ -253,7 +272,7 @@ MATCH = {"selected": "selected", "risk": "risk", "evidence": FOCUS, "row_id": "t
     "matched_cells",
     sql("truth", """select risk_bin, selected_id, control_id, round(selected_risk, 6) as selected_risk, round(control_risk, 6) as control_risk,
       round(gap, 6) as absolute_risk_gap, round(selected_evidence, 6) as selected_evidence, round(control_evidence, 6) as control_evidence,
-      matched from pairs""", *BIN_CTES, PAIRS),
+      matched, round(nearest_gap, 6) as nearest_gap from pairs""", *BIN_CTES, PAIRS),
 )
 def matched_cells(spark, sf_dir):
     """One-to-one controls within risk bin and caliper cell."""
@@ -276,13 +295,6 @@ def matched_summary(spark, sf_dir):
     return matching.matched_summary(matching.pair_outcomes(pairs, alerts, row_id="txn_id", label="label"))
 
 
-@query("greedy_matching")
-def greedy_matching(spark, sf_dir):
-    """Nearest free control in risk, strongest evidence first."""
-    alerts, edges = _pair_inputs(spark, sf_dir)
-    return matching.match_greedy(alerts.drop("label"), edges=edges, caliper=CALIPER, **MATCH)
-
-
 @query("pair_interval")
 def pair_interval(spark, sf_dir):
     """Interval of the matched precision difference from exact multinomial draws."""

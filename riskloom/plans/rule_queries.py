@@ -74,7 +74,7 @@ def rule_registry(spark, sf_dir):
 def category_lookup(spark, sf_dir):
     audit = binding.audit(spark, sf_dir)
     condition = next(c for r in audit.rules.rules for c in r.conditions if c.operator == "category_risk")
-    return audit.rows.select("txn_id", condition.risk().alias("category_risk"))
+    return rules.with_category_risks(audit.rows, [condition]).select("txn_id", F.col(rules.RISK_PREFIX + condition.feature).alias("category_risk"))
 
 
 MAX_OR = "greatest(" + ", ".join(f"rule__{n}" for n in NAMES) + ")"

@@ -70,6 +70,15 @@ def stage(df: DataFrame, label: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A lookup side of at most so many narrow rows is broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """Broadcast a lookup side if its counted rows are few; a larger one is joined by shuffle."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def with_constants(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Attach the columns of a one-row result to every row as literals."""
     row = one_row.first()

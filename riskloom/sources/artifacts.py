@@ -14,13 +14,11 @@ from riskloom.session import with_constants
 
 
 def table_fingerprint(df: DataFrame, columns: Sequence[str] | None = None, *, by: Sequence[str] = ()) -> DataFrame:
-    """Row count and digest sum: equal for equal tables whatever the row order or partitioning."""
+    """Row count and two digest sums: equal for equal tables whatever the row order or partitioning."""
     names = list(columns or df.columns)
-    return df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("rows"),
-        # A decimal sum: 32-bit digests of a very large table overflow a long.
-        F.sum(row_fingerprint(*[F.col(c) for c in names]).cast("decimal(20,0)")).cast("string").alias("fingerprint"),
-    )
+    # Decimal sums: the digests of a very large table overflow a long.
+    sums = [F.sum(n.cast("decimal(20,0)")).cast("string") for n in row_fingerprint(*[F.col(c) for c in names])]
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.concat_ws(":", *sums).alias("fingerprint"))
 
 
 def selection_signature(selected: DataFrame, *, row_id: str = "txn_id", coverage: str = "coverage") -> DataFrame:

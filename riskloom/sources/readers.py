@@ -20,7 +20,6 @@ from riskloom.operators.contracts import (
 )
 from riskloom.operators.history import ledger_trails, payment_trails, with_history
 from riskloom.operators.joins import combine_profiles, identity_join, join_profiles
-from riskloom.operators.sampling import group_quota_sample
 from riskloom.session import stage
 
 # Raw header -> canonical column.
@@ -146,13 +145,9 @@ def load_card_transactions(
     return strict_binary_target(out, target)
 
 
-def load_applications(
-    applications: DataFrame, *, target: str = "fraud_bool", group: str = "month", row_id: str = "row_id",
-    max_rows: int | None = None, seed: int = 42,
-) -> DataFrame:
-    """Account applications; a row limit keeps every time group."""
-    out = strict_binary_target(applications, target)
-    return out if max_rows is None else group_quota_sample(out, group, max_rows, row_id=row_id, seed=seed)
+def load_applications(applications: DataFrame, *, target: str = "fraud_bool") -> DataFrame:
+    """Account applications, all rows; ``group_quota_sample`` takes a sample of them."""
+    return strict_binary_target(applications, target)
 
 
 def load_payments(

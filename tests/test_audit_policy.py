@@ -176,42 +176,21 @@ def match_df(spark, rows):
     return spark.createDataFrame(rows, "id string, chosen boolean, risk double, ev double")
 
 
-def test_greedy_matching_hand_case(spark):
-    df = match_df(spark, MATCH_ROWS)
-    edges = matching.risk_bin_edges(df, "risk", 4)
-    for caliper in (0.02, 1.0):
-        pairs = matching.match_greedy(df, selected="chosen", risk="risk", evidence="ev", row_id="id", edges=edges, caliper=caliper)
-        assert {(r["selected_id"], r["control_id"]) for r in pairs.collect()} == {("i0", "i1"), ("i2", "i3"), ("i4", "i5"), ("i6", "i7")}
-
-
-def brute_greedy(rows, edges, caliper):
-    out = {}
-    place = {r[0]: sum(r[2] >= e for e in edges) for r in rows}
-    for b in set(place.values()):
-        free = [r for r in rows if not r[1] and place[r[0]] == b]
-        for s in sorted((r for r in rows if r[1] and place[r[0]] == b), key=lambda r: (-r[3], r[0])):
-            below = max((c for c in free if c[2] < s[2]), key=lambda c: (c[2], c[0]), default=None)
-            above = min((c for c in free if c[2] >= s[2]), key=lambda c: (c[2], c[0]), default=None)
-            options = [(abs(c[2] - s[2]), c[0], c) for c in (below, above) if c]
-            best = min(options, default=None)
-            if best and best[0] <= caliper:
-                out[s[0]] = best[1]
-                free.remove(best[2])
-            else:
-                out[s[0]] = None
-    return out
-
-
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_greedy_matching_matches_brute_force(spark, seed):
-    rng = random.Random(seed)
-    rows = [(f"i{k:03d}", rng.random() < 0.4, round(0.5 + rng.random() / 2, 3 if seed < 3 else 2), rng.randint(0, 5) / 5) for k in range(120)]
-    df = match_df(spark, rows)
-    edges = matching.risk_bin_edges(df, "risk", 5)
-    pairs = matching.match_greedy(df, selected="chosen", risk="risk", evidence="ev", row_id="id", edges=edges, caliper=0.01)
-    assert {r["selected_id"]: r["control_id"] for r in pairs.collect()} == brute_greedy(rows, edges, 0.01)
-    with pytest.raises(ValueError, match="match_in_cells"):
-        matching.match_greedy(df, selected="chosen", risk="risk", evidence="ev", row_id="id", edges=edges, caliper=1.0, max_group_rows=3)
+def test_cell_matching_hand_case(spark):
+    rows = [("a", True, 0.605, 0.9), ("b", True, 0.61, 0.1), ("c", False, 0.612, 0.0), ("d", True, 0.659, 0.5), ("e", False, 0.661, 0.3), ("f", True, 0.9, 0.2), ("g", False, 0.95, 0.2)]
+    pairs = {r["selected_id"]: r for r in matching.match_in_cells(
+        match_df(spark, rows), selected="chosen", risk="risk", evidence="ev", row_id="id", edges=[0.8], caliper=0.02).collect()}
+    # a is stronger than b, so it gets c; d and e stand at both sides of a cell's edge and meet in the shifted cells.
+    assert {k: r["control_id"] for k, r in pairs.items()} == {"a": "c", "b": None, "d": "e", "f": None}
+    assert pairs["b"]["nearest_gap"] == pytest.approx(0.002) and pairs["f"]["nearest_gap"] == pytest.approx(0.05) and pairs["a"]["nearest_gap"] is None
+    free = matching.match_in_cells(match_df(spark, rows), selected="chosen", risk="risk", evidence="ev", row_id="id", edges=[0.8], caliper=None)
+    assert {r["selected_id"]: r["control_id"] for r in free.collect()} == {"a": "c", "b": None, "d": "e", "f": "g"}
+
+
+def test_matching_refuses_missing_values(spark):
+    for risk, ev in ((None, 0.1), (float("nan"), 0.1), (0.5, None)):
+        with pytest.raises(ValueError, match="before matching"):
+            matching.match_in_cells(match_df(spark, [("a", True, risk, ev), ("b", False, 0.5, 0.5)]), selected="chosen", risk="risk", evidence="ev", row_id="id", edges=[0.7], caliper=0.02)
 
 
 def test_cell_matching_keeps_every_selected_row(spark):

@@ -25,8 +25,8 @@ def test_linear_scorer_matches_newton(rows):
     x = np.column_stack([pdf["a"], pdf["b"], np.ones(len(pdf))])
     y = pdf["y"].to_numpy()
     w = np.where(y == 1, (y == 0).sum() / (y == 1).sum(), 1.0)
-    # Spark minimises the weighted mean loss plus the ridge term.
-    lam = np.array([1.0, 1.0, 0.0]) / len(y) * w.sum()
+    # The weighted sum of losses, c = 1, plus half the squared coefficients.
+    lam = np.array([1.0, 1.0, 0.0])
     beta = np.zeros(3)
     for _ in range(50):
         p = 1 / (1 + np.exp(-x @ beta))

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.keys import normalize_key
 from riskloom.functions.semantics import metadata_time
-from riskloom.operators import contracts, counterfactual, joins, preprocess, profile, rules
+from riskloom.operators import contracts, counterfactual, joins, preprocess, profile, rules, sampling
 from riskloom.sources import artifacts, readers, synthetic
 from riskloom.streaming.score import explain_stream, write_stream
 
@@ -89,7 +89,9 @@ def test_card_and_application_loads(spark):
     cards = readers.load_card_transactions(synthetic.card_transactions(spark, 200), synthetic.card_identity(spark, 200))
     row = cards.agg(F.min("transaction_hour"), F.max("transaction_hour"), F.avg(F.col("has_identity").cast("int"))).first()
     assert row[0] >= 0 and row[1] <= 23 and row[2] == 0.5
-    capped = readers.load_applications(synthetic.applications(spark, 800), max_rows=80)
+    loaded = readers.load_applications(synthetic.applications(spark, 800))
+    assert loaded.count() == 800
+    capped = sampling.group_quota_sample(loaded, "month", 80, row_id="row_id")
     assert {r["month"]: r["count"] for r in capped.groupBy("month").count().collect()} == {m: 10 for m in range(8)}
 
 

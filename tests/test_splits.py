@@ -49,14 +49,31 @@ def test_row_split_shares(spark):
     assert {r["split"]: r["count"] for r in out.groupBy("split").count().collect()} == {
         "train": 300, "validation": 150, "test": 150}
     summary = {r["split"]: r for r in splits.split_integrity(out, time="event_time").collect()}
-    assert summary["train"]["time_group_count"] == 300 and summary["train"]["time_groups"] == []
+    assert summary["train"]["time_group_count"] == 300
     assert all(r["group_disjoint"] for r in summary.values())
 
 
 def test_overlap_is_reported(spark):
     df = spark.createDataFrame([(1, "train"), (2, "train"), (2, "test"), (3, "test")], "m int, split string")
     summary = {r["split"]: r for r in splits.split_integrity(df, time="m").collect()}
-    assert summary["train"]["overlap_groups"] == ["2"] and not summary["test"]["group_disjoint"]
+    assert not summary["test"]["group_disjoint"]
+    assert {(r["time_group"], r["split"]) for r in splits.split_groups(df, time="m").where("shared").collect()} == {(2, "train"), (2, "test")}
+
+
+def test_rows_without_a_class_or_group_stay(spark):
+    df = spark.range(400).select(F.col("id").alias("i"), F.when(F.col("id") % 4 > 0, F.col("id") % 2).alias("y"))
+    out = splits.stratified_split(df, (0.6, 0.2, 0.2), target="y", row_id="i")
+    assert {(r["y"], r["split"]): r["count"] for r in out.groupBy("y", "split").count().collect()} == {
+        (y, s): n for y, k in ((None, 100), (0, 100), (1, 200)) for s, n in (("train", k * 6 // 10), ("validation", k // 5), ("test", k // 5))}
+    sample = sampling.group_quota_sample(df, "y", 9, row_id="i")
+    assert {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()} == {None: 3, 0: 3, 1: 3}
+
+
+def test_time_groups_from_a_table(spark):
+    df = spark.createDataFrame([(i, i % 3) for i in range(9)], "i int, m int")
+    table = spark.createDataFrame([(0, "train"), (1, "validation"), (2, "test")], "m int, split string")
+    out = splits.time_group_split(df, table, time="m")
+    assert {(r["m"], r["split"]) for r in out.collect()} == {(0, "train"), (1, "validation"), (2, "test")}
 
 
 def test_stratified_split_keeps_class_shares(spark):
