@@ -36,7 +36,7 @@ NEXT_ROWS = 2  # rows after a row that it is compared with
 MIN_SHARED = 92
 HUBS = 3
 #: Word hashes that a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 
 _rng = np.random.default_rng(20240229)
 _FACTORS = _rng.integers(0, 1 << 32, FUNCTIONS, dtype=np.uint32) | np.uint32(1)
@@ -200,10 +200,8 @@ def with_shared(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """(a, b, linked) of pairs, judged on the full sets of both texts."""
-    ends = stage(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ends")
-    texts = docs.select("doc_id", "text").join(ends, "doc_id", "left_semi")
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text"))
+    left = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("left")).join(pairs, "a", "left_semi")
+    right = docs.select(F.col("doc_id").alias("b"), "text").join(pairs, "b", "left_semi")
 
     def work(batches):
         known: OrderedDict[int, np.ndarray] = OrderedDict()
@@ -225,6 +223,10 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left", "text").mapInArrow(work, f"{PAIR}, linked boolean")
 
 
+def _linked(links: DataFrame) -> DataFrame:
+    return links.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
 def _labelled(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """Pairs with the components of both ends; an end without links is a component of its own."""
     ends = [members.select(F.col("node").alias(x), F.col("component").alias(f"{x}_component")) for x in ("a", "b")]
@@ -233,26 +235,21 @@ def _labelled(pairs: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def hubs(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """(component, hub): the members that share most values with their component's modal signature."""
+    """(component, hub): members that share most values with their component's modal signature, of different ranks."""
     signed = members.join(classes.select(F.col("doc_id").alias("node"), "signature"), "node")
-    values = signed.select(
-        "component", "node", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(FUNCTIONS - 1)), lambda k: F.call_function("substring", F.col("signature"), 4 * k + 1, F.lit(4)))).alias("k", "value")
-    )
-    counted = values.groupBy("component", "k", "value").agg(F.count("*").alias("n"))
-    modal = counted.groupBy("component", "k").agg(F.max(F.struct("n", "value")).alias("top")).select("component", F.struct("k", "top.value").alias("mode"))
-    whole = modal.groupBy("component").agg(F.array_sort(F.collect_list("mode")).alias("modes"))  # one value per function
-    agreeing = signed.join(whole, "component").select(
-        "component",
-        "node",
-        F.size(F.filter("modes", lambda m: F.call_function("substring", F.col("signature"), 4 * m["k"] + 1, F.lit(4)) == m["value"])).alias("agree"),
-    )
-    # The best of a component without gathering it: the best, then the best of the others.
-    made = None
-    for _ in range(HUBS):
-        best = stage(agreeing.groupBy("component").agg(F.max(F.struct("agree", -F.col("node"))).alias("best")).select("component", (-F.col("best.col2")).alias("hub")), "hubs")
-        made = best if made is None else made.union(best)
-        agreeing = agreeing.join(best.withColumnRenamed("hub", "node"), ["component", "node"], "left_anti")
-    return made
+
+    def value(k):
+        return F.call_function("substring", F.col("signature"), 4 * k + 1, F.lit(4))
+
+    every = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(FUNCTIONS - 1)), value)).alias("k", "value")
+    counted = signed.select("component", every).groupBy("component", "k", "value").agg(F.count("*").alias("n"))
+    modal = counted.groupBy("component", "k").agg(F.max(F.struct("n", "value")).alias("top"))
+    # One value per function, and one member per number of agreeing values: lists of bounded length.
+    modes = modal.groupBy("component").agg(F.collect_list(F.struct("k", F.col("top.value").alias("value"))).alias("modes"))
+    agree = F.size(F.filter("modes", lambda m: value(m["k"]) == m["value"]))
+    ranked = signed.join(modes, "component").select("component", "node", agree.alias("agree")).groupBy("component", "agree").agg(F.min("node").alias("hub"))
+    best = Window.partitionBy("component").orderBy(F.desc("agree"))
+    return ranked.withColumn("place", F.row_number().over(best)).where(F.col("place") <= HUBS).select("component", "hub")
 
 
 def near_components(docs: DataFrame) -> DataFrame:
@@ -270,10 +267,12 @@ def near_components(docs: DataFrame) -> DataFrame:
     members = stage(named.select("doc_id", "digest", "n_shingles").join(first, ["digest", "n_shingles"]).select("doc_id", "class").distinct(), "classes")
     heads = members.where("doc_id = class").select("doc_id")
     classes = stage(named.select("doc_id", "signature").join(heads, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("signature").alias("signature")), "heads")
-    same = members.where("doc_id <> class").select(F.col("doc_id").alias("u"), F.col("class").alias("v"))
+    # A doc_id with several texts ties their classes.
+    several = members.groupBy("doc_id").agg(F.min("class").alias("v"), F.max("class").alias("w")).where("v < w").select("doc_id", "v")
+    edges = members.join(several, "doc_id").select(F.col("class").alias("u"), "v")
 
     pairs = stage(with_shared(forest_candidates(classes), classes), "pairs")
-    # First each document's best candidate, then what is still between components, with hubs.
+    # First each document's best candidate; then what is still between components, and their hubs.
     best = (
         pairs.select(F.col("a").alias("x"), "a", "b", "shared")
         .union(pairs.select(F.col("b").alias("x"), "a", "b", "shared"))
@@ -283,19 +282,27 @@ def near_components(docs: DataFrame) -> DataFrame:
         .distinct()
     )
     links = stage(confirmed(stage(best, "best"), docs), "links")
-    edges = links.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    reached = stage(connected(edges.union(_linked(links))), "members")
     for _ in range(2):
-        reached = stage(connected(edges), "members")
-        open_ = _labelled(pairs.join(links, ["a", "b"], "left_anti"), reached).where("a_component <> b_component")
-        between = _labelled(pairs, reached).where("a_component <> b_component")
-        top = hubs(reached, classes)
-        towards = between.select(F.col("a").alias("x"), F.col("b_component").alias("component")).union(between.select(F.col("b").alias("x"), F.col("a_component").alias("component"))).distinct()
+        between = stage(_labelled(pairs.select("a", "b"), reached).where("a_component <> b_component"), "between")
+        if between.isEmpty():
+            break
+        towards = (
+            between.select(F.col("a").alias("x"), F.col("b_component").alias("component"))
+            .union(between.select(F.col("b").alias("x"), F.col("a_component").alias("component")))
+            .distinct()
+        )
+        top = hubs(reached.join(towards.select("component").distinct(), "component", "left_semi"), classes)
         through = towards.join(top, "component").where("x <> hub").select(F.least("x", "hub").alias("a"), F.greatest("x", "hub").alias("b"))
-        wanted = stage(open_.select("a", "b").union(through).distinct().join(links, ["a", "b"], "left_anti"), "wanted")
+        wanted = stage(between.select("a", "b").union(through).distinct().join(links.select("a", "b"), ["a", "b"], "left_anti"), "wanted")
         more = stage(confirmed(wanted, docs), "links")
+        if more.where("linked").isEmpty():
+            break
         links = links.union(more)
-        edges = edges.union(more.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
-    groups = connected(edges.union(same)).select(F.col("node").alias("doc_id"), "component")
+        reached = stage(connected(edges.union(_linked(links))), "members")
+    groups = members.join(reached.select(F.col("node").alias("class"), "component"), "class", "left").groupBy("doc_id").agg(
+        F.min(F.coalesce("component", "class")).alias("component")
+    )
     return rows.select("doc_id", "n_shingles").join(groups, "doc_id", "left").select(
         "doc_id",
         "n_shingles",

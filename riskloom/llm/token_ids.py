@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
 #: Chunks a worker remembers; beyond that it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 #: Longer chunks are encoded each time and not remembered.
 LONG_CHUNK = 64
 
