@@ -301,7 +301,7 @@ def pair_interval(spark, sf_dir):
     alerts, edges = _pair_inputs(spark, sf_dir)
     pairs = matching.match_in_cells(alerts.drop("label"), edges=edges, caliper=CALIPER, **MATCH)
     summary = matching.matched_summary(matching.pair_outcomes(pairs, alerts, row_id="txn_id", label="label"))
-    return resample.pair_difference_interval(stage(summary, "summary"), replicates=500)
+    return resample.pair_difference_interval(stage(summary, "summary"), replicates=REPLICATES)
 
 
 RESIDUAL = """
@@ -334,7 +334,7 @@ def residual_summary(spark, sf_dir):
     )
 
 
-REPLICATES = 200
+REPLICATES = 1000
 BLOCKS = f"""
   blocks as materialized (select *, row_number() over (order by block) as k from (
     select event_time::date as block, sum(selected::int) as s, sum((selected and y = 1)::int) as sy, sum(baseline::int) as b,
@@ -358,7 +358,7 @@ def block_bootstrap(spark, sf_dir):
     )
 
 
-P_REPS = 10
+P_REPS = 300
 
 
 def _pr_sql() -> str:
@@ -373,21 +373,28 @@ def _pr_sql() -> str:
         d as (select txn_id, y, risk, amount_paid, e.rep, ((n * e.a + e.b) % {MERSENNE_31}) / {MERSENNE_31}.0::double as u
           from (select *, unnest([{pairs}]) as e from x)),
         w as (select *, {weight} as w from d),
-        l as (select rep, 'first' as which, risk as p, y, w from w where w > 0 union all
-          select rep, 'second', amount_paid, y, w from w where w > 0),
-        c as (select rep, which, p, sum(w * y) as pos, sum(w * (1 - y)) as neg from l group by 1, 2, 3),
+        every as (select y, risk, amount_paid, -1 as rep, 1 as w from x union all select y, risk, amount_paid, rep, w from w),
+        t as (select rep, sum(w * y) as p, sum(w * (1 - y)) as n from every group by 1),
+        f as (select rep, first_value(p) over o / nullif(p, 0)::double as cp, first_value(n) over o / nullif(n, 0)::double as cn
+          from t window o as (order by rep)),
+        l as (select rep, 'first' as which, risk as p, y, w from every where w > 0 union all
+          select rep, 'second', amount_paid, y, w from every where w > 0),
+        c as (select rep, which, p, sum(w * y) * any_value(cp) as pos, sum(w * (1 - y)) * any_value(cn) as neg
+          from l join f using (rep) group by 1, 2, 3),
         k as (select *, sum(pos) over o as tp, sum(neg) over o as fp, sum(pos) over (partition by rep, which) as np
           from c window o as (partition by rep, which order by p desc)),
-        ap as (select rep, which, sum(pos * tp / (tp + fp)) / any_value(np) as v from k where tp + fp > 0 group by 1, 2)
-      select a.rep::int as rep, round(a.v, 6) as pr_auc_first, round(b.v, 6) as pr_auc_second, round(a.v - b.v, 6) as difference
-      from ap a join ap b using (rep) where a.which = 'first' and b.which = 'second'"""
+        ap as (select rep, which, sum(pos * tp / (tp + fp)) / any_value(np) as v from k where tp + fp > 0 group by 1, 2),
+        diff as (select a.rep, a.v - b.v as d from ap a join ap b using (rep) where a.which = 'first' and b.which = 'second')
+      select round((select d from diff where rep = -1), 6) as observed_difference, round(avg(d), 6) as bootstrap_mean,
+        round(quantile_cont(d, 0.025), 6) as ci_low, round(quantile_cont(d, 0.975), 6) as ci_high,
+        round(avg((d > 0)::int), 6) as probability_positive, count(d) as valid_iterations from diff where rep >= 0"""
 
 
 @query("pr_auc_bootstrap", sql("roled", _pr_sql()))
 def pr_auc_bootstrap(spark, sf_dir):
-    """PR-AUC of the score against the bare amount on the same weighted resamples."""
+    """PR-AUC of the score against the bare amount on the same resamples, with class totals kept."""
     rows = binding.audit(spark, sf_dir).part("test")
-    return resample.paired_pr_auc_replicates(
+    return resample.paired_pr_auc_bootstrap(
         rows, label="label", first="risk", second="amount_paid", row_id="txn_id", replicates=P_REPS, seed=42
     )
 
@@ -398,7 +405,7 @@ def precision_gain_interval(spark, sf_dir):
     rows = binding.audit(spark, sf_dir).part("test")
     on = evidence.supported(TRUTHS, ["deep_discount", "high_amount"], ACTIVATION)
     out = resample.precision_gain_interval(
-        rows.withColumn("explained", on), label="label", alert="alert", explained="explained", replicates=500
+        rows.withColumn("explained", on), label="label", alert="alert", explained="explained", replicates=REPLICATES
     )
     return out.withColumn("status", controls.enrichment_status(F.col("ci_low"), F.col("ci_high"), F.col("valid_iterations")))
 

@@ -306,3 +306,36 @@ def test_outcomes_fail_closed(spark, change, outcome):
     row = {**OUTCOME, **change}
     df = spark.range(1).select(*[F.lit(v).alias(k) for k, v in row.items()])
     assert controls.conservative_outcome(df).first()["outcome"] == outcome
+
+
+def test_pr_auc_bootstrap_equals_brute_force(spark, monkeypatch):
+    import numpy as np
+
+    from riskloom.functions.hashing import MERSENNE_31, POISSON_1, replicate_coefficients
+
+    monkeypatch.setattr(resample, "BUCKET_ROWS", 40)
+    rng = random.Random(4)
+    rows = [(f"r{k}", int(rng.random() < 0.3), round(rng.random(), 1 if k % 2 else 3), rng.random()) for k in range(300)]
+    df = spark.createDataFrame(rows, "id string, y int, a double, b double")
+    got = resample.paired_pr_auc_bootstrap(df, label="y", first="a", second="b", row_id="id", replicates=20, seed=3).first()
+    numbers = dict(tuple(r) for r in df.select("id", resample.row_number_31(F.col("id"))).collect())
+    y = np.array([r[1] for r in rows])
+
+    def area(score, w):
+        w = w * np.where(y == 1, (y == 1).sum() / w[y == 1].sum(), (y == 0).sum() / w[y == 0].sum())
+        total = 0.0
+        for v in sorted(set(score), reverse=True):
+            total += w[(score == v) & (y == 1)].sum() * w[(score >= v) & (y == 1)].sum() / max(w[score >= v].sum(), 1e-300)
+        return total / (y == 1).sum()
+
+    def difference(w):
+        return area(np.array([r[2] for r in rows]), w) - area(np.array([r[3] for r in rows]), w)
+
+    draws = []
+    for r in range(20):
+        m, c = replicate_coefficients(3, r)
+        u = np.array([(numbers[row[0]] * m + c) % MERSENNE_31 for row in rows]) / MERSENNE_31
+        draws.append(difference(np.searchsorted(POISSON_1, u, side="right").astype(float)))
+    assert got["observed_difference"] == pytest.approx(difference(np.ones(300)))
+    assert got["bootstrap_mean"] == pytest.approx(np.mean(draws)) and got["ci_low"] == pytest.approx(np.quantile(draws, 0.025))
+    assert got["valid_iterations"] == 20
