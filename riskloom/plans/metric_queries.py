@@ -143,7 +143,15 @@ def threshold_sweep(spark, sf_dir):
     return spark.createDataFrame(rows, "threshold double, tp bigint, fp bigint")
 
 
-@query("selected_threshold")
+@query(
+    "selected_threshold",
+    sql("roled", """select round(best.t, 6) as threshold, round(best.s, 6) as f_beta from (
+        select list_reduce(list_prepend({'t': 0.5::double, 's': -1e308::double}, list({'t': t::double, 's': v::double} order by t)),
+          lambda a, x: case when x.s > a.s or (a.s > -1e300 and abs(x.s - a.s) <= 1e-8 + 1e-5 * abs(a.s) and x.t > a.t) then x else a end) as best
+        from (select t, coalesce(5.0 * tp / nullif(5.0 * tp + 4.0 * (np - tp) + fp, 0), 0) as v
+          from (select t, max(coalesce(tp, 0)) as tp, max(coalesce(fp, 0)) as fp from sweep group by t), (select sum(y) as np from s)))""",
+        TEST.replace("'test'", "'calibration_select'"), CURVE, GRID),
+)
 def selected_threshold(spark, sf_dir):
     """The threshold with the best F2 on the calibration-selection rows."""
     rows = binding.audit(spark, sf_dir).part("calibration_select")

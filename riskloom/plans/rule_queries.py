@@ -54,15 +54,37 @@ def rule_truth(spark, sf_dir):
     return binding.audit(spark, sf_dir).rows.select("txn_id", *TRUTHS.values())
 
 
-@query("rule_registry")
+ABSENT = {"name": "needs_device", "conditions": [{"feature": "device", "operator": "equals", "value": "x"}]}
+DERIVED = ["amount_relative_difference", "sender_prior_transaction_count", "sender_seconds_since_previous", "cross_bank"]
+
+
+def _registry_sql() -> str:
+    parts = []
+    for r in RULES:
+        features = sorted({c["feature"] for c in r["conditions"]})
+        kinds = {f in DERIVED for f in features}
+        space = "mixed" if len(kinds) == 2 else "derived" if kinds == {True} else "raw"
+        for c in r["conditions"]:
+            f, op, v = c["feature"], c["operator"], c["value"]
+            t = threshold_name(f, v) if op.endswith("quantile") else "null::double" if op == "outside_range" else f"{v}::double"
+            parts.append(
+                f"select '{r['name']}' as rule, 'A' as tier, '{space}' as feature_space, '{','.join(features)}' as features, '{f}' as feature, "
+                f"'{op}' as operator, round({t}, 6) as value, {c.get('softness', 0.1)}::double as softness, 'fitted' as status, null::varchar as skip_reason from fit"
+            )
+    parts.append("select 'needs_device', 'A', 'raw', 'device', null, null, null, null, 'skipped', 'missing features: device'")
+    return " union all ".join(parts)
+
+
+@query("rule_registry", sql("fit", _registry_sql()))
 def rule_registry(spark, sf_dir):
-    """Rules fitted on the tables, and one whose feature is absent."""
+    """Rules fitted on the tables, and one whose feature is absent; a row per condition."""
     train = binding.audit(spark, sf_dir).part("train")
-    absent = {"name": "needs_device", "conditions": [{"feature": "device", "operator": "equals", "value": "x"}]}
-    own = [*RULES, absent]
-    derived = ["amount_relative_difference", "sender_prior_transaction_count", "sender_seconds_since_previous", "cross_bank"]
-    table = rules.rule_registry(spark, own, rules.fit_rules(train, own, "label"), tier="A", derived=derived)
-    return rules.combine_registries(rules.distinct_rules(table))
+    own = [*RULES, ABSENT]
+    table = rules.rule_registry(spark, own, rules.fit_rules(train, own, "label"), tier="A", derived=DERIVED)
+    found = rules.combine_registries(rules.distinct_rules(table))
+    return found.select(
+        "rule", "tier", "feature_space", F.array_join("features", ",").alias("features"), F.explode_outer("conditions").alias("c"), "status", "skip_reason"
+    ).select("rule", "tier", "feature_space", "features", "c.*", "status", "skip_reason")
 
 
 @query(
