@@ -173,11 +173,17 @@ def test_language_model_base_equals_brute_force(corpus, edge_rows, block_bytes):
 
 
 def test_context_scores_sum_to_one_and_follow_the_context():
-    # Symbols 10 and 11 follow 5 and 6 strictly; 7 says nothing.
-    v, u, w, counts = (np.array(x) for x in zip((5, 2, 10, 90), (5, 2, 11, 0), (6, 2, 10, 0), (6, 2, 11, 90), (7, 2, 10, 2), (7, 2, 11, 2)))
-    got = 10 ** suffix_tree_lm.context_scores(v, u, w, counts, np.full(6, 0.5))
-    assert got.reshape(3, 2).sum(1) == pytest.approx([1, 1, 1])
-    assert got[0] > 0.8 > 0.2 > got[1] and got[4:].tolist() == [0.5, 0.5]
+    # Symbols 10 and 11 follow 5 and 6 strictly; 7 says nothing; after 8, the symbol before it decides.
+    v, w, counts = (np.array(x) for x in zip((5, 10, 90), (5, 11, 0), (6, 10, 0), (6, 11, 90), (7, 10, 2), (7, 11, 2), (8, 10, 90), (8, 11, 110)))
+    one = suffix_tree_lm.pair_scores(v, w, counts, np.full(8, 0.5))
+    assert np.abs(one).reshape(4, 2).sum(1) == pytest.approx([1, 1, 1, 1])
+    assert one[0] > 0.8 > 0.2 > one[1] > 0 and one[4:].tolist() == [-0.5] * 4
+    v, u, w, counts = (np.array(x) for x in zip((5, 1, 10, 90), (5, 1, 11, 0), (7, 1, 10, 2), (7, 1, 11, 2)))
+    got = 10 ** suffix_tree_lm.context_scores(v, u, w, counts, np.array([0.9, 0.1, -0.5, -0.5]))
+    assert got.reshape(2, 2).sum(1) == pytest.approx([1, 1]) and got[2:].tolist() == [0.5, 0.5]
+    v, u, w, counts = (np.array(x) for x in zip((5, 1, 10, 90), (5, 1, 11, 0), (5, 2, 10, 0), (5, 2, 11, 90)))
+    got = 10 ** suffix_tree_lm.context_scores(v, u, w, counts, np.full(4, 0.5))
+    assert got.reshape(2, 2).sum(1) == pytest.approx([1, 1]) and got[0] > 0.8 and got[3] > 0.8
 
 
 # Token ids, packing and shards
