@@ -56,12 +56,12 @@ def audited(spark, sf_dir, *, label: str = "label", rows: DataFrame | None = Non
     return Audited(source, table, overlap, completed)
 
 
-_weights: dict[tuple[str, str], audit.Weights] = {}
+_weights: dict[tuple, audit.Weights] = {}
 
 
 def frozen_weights(spark, sf_dir) -> tuple[binding.Audit, audit.Weights]:
     """The audit table and the weights frozen on it, fitted once per application."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = binding.version(spark, sf_dir)
     if key not in _weights:
         _weights[key] = audit.collect_weights(audit.rule_weights(audited(spark, sf_dir).completed))
     return binding.audit(spark, sf_dir), _weights[key]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from riskloom.functions import fuzzy
 from riskloom.functions.semantics import payment_features
 from riskloom.operators import history, rules, splits
-from riskloom.session import spread, stage
+from riskloom.session import spread, stage, staged
 
 ALERT_THRESHOLD = 0.6
 ACTIVATION = 0.6
@@ -127,16 +127,24 @@ def split_scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, splits.Te
     return splits.with_roles(rows, cuts), cuts
 
 
-_prepared: dict[tuple[str, str], tuple[str, str, splits.TemporalCuts, rules.RuleBase]] = {}
+_prepared: dict[tuple, tuple[str, str, splits.TemporalCuts, rules.RuleBase]] = {}
+SOURCES = ("lineitem", "orders", "customer", "supplier", "nation", "region")
+
+
+def version(spark: SparkSession, sf_dir: str) -> tuple:
+    """Tells one state of the folder's tables from another: application, folder, and its files' names, sizes and times."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load([f"{sf_dir}/{t}.parquet" for t in SOURCES])
+    told = files.agg(F.count("*"), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first()
+    return spark.sparkContext.applicationId, sf_dir, *told
 
 
 def audit(spark: SparkSession, sf_dir: str) -> Audit:
     """The audit table of a data folder.
 
     Like a nightly job, it is written once per application and read by every report;
-    a folder that has been cleared is written again.
+    a folder that has been cleared is written again, and so is one whose tables have changed.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = version(spark, sf_dir)
     if key in _prepared:
         path, schema, cuts, base = _prepared[key]
         try:
@@ -144,11 +152,11 @@ def audit(spark: SparkSession, sf_dir: str) -> Audit:
             return Audit(rules.with_truth(splits.with_roles(stored, cuts), base), base, cuts)
         except AnalysisException:
             del _prepared[key]
-    stored = stage(scored(spark, sf_dir), "scored")
+    path, stored = staged(scored(spark, sf_dir), "scored")
     cuts = splits.timestamp_safe_cuts(stored.select("event_time"))
     train = stored.filter(cuts.within(F.col("event_time"), ["train"]))
     base = rules.fit_rules(train, RULES, "label")
-    _prepared[key] = (stored.inputFiles()[0].rsplit("/", 1)[0], stored.schema, cuts, base)
+    _prepared[key] = (path, stored.schema, cuts, base)
     return Audit(rules.with_truth(splits.with_roles(stored, cuts), base), base, cuts)
 
 

@@ -62,12 +62,17 @@ def checkpoint_root(spark: SparkSession) -> str:
     return _local_roots[app]
 
 
-def stage(df: DataFrame, label: str = "table") -> DataFrame:
-    """Write ``df`` once and return the written table."""
+def staged(df: DataFrame, label: str = "table") -> tuple[str, DataFrame]:
+    """Write ``df`` once; where it is, and the written table."""
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/{label}-{uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path, spark.read.schema(df.schema).parquet(path)
+
+
+def stage(df: DataFrame, label: str = "table") -> DataFrame:
+    """Write ``df`` once and return the written table."""
+    return staged(df, label)[1]
 
 
 #: A lookup side of at most so many narrow rows is broadcast.
