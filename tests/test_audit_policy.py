@@ -87,15 +87,16 @@ def test_evidence_is_bounded_and_needs_support(spark):
         evidence.evidence_score(TRUTHS, weights, "attribution_gated")
     with pytest.raises(ValueError):
         evidence.guarded_ensemble(["a", "a"])
-    df = spark.createDataFrame([(0.0, 0.6, 0.9)], "a double, b double, c double")
-    assert df.select(evidence.guarded_ensemble(["a", "b", "c"])).first()[0] == pytest.approx(0.5)
+    df = spark.createDataFrame([(0.45, 0.0, 0.3), (0.8, 0.2, 0.65)], "a double, b double, c double")
+    assert [r[0] for r in df.select(evidence.guarded_ensemble(["a", "b", "c"])).collect()] == pytest.approx([0.25, 0.55])
 
 
 def test_positive_top_effects(spark):
     df = spark.createDataFrame(
-        [(4.0, -9.0, 3.0, 0.1, 0.2, 0.3), (-8.0, -7.0, -6.0, -5.0, -4.0, 0.1)], ", ".join(f"f{i} double" for i in range(6)))
-    got = [r[0] for r in df.select(attribution.positive_top_effects({f"f{i}": F.col(f"f{i}") for i in range(6)}, 5)).collect()]
-    assert got == pytest.approx([7.5, 0.0])
+        [(0.5, 2.0, -1.5, 0.25), (-3.0, -2.0, 1.0, -0.5), (6.0, 5.0, 4.0, 3.0)], ", ".join(f"f{i} double" for i in range(4)))
+    got = [r[0] for r in df.select(attribution.positive_top_effects({f"f{i}": F.col(f"f{i}") for i in range(4)}, 3)).collect()]
+    # by size: 2, -1.5, .5 | -3, -2, 1 | 6, 5, 4
+    assert got == pytest.approx([2.5, 1.0, 15.0])
 
 
 def alerts_of(spark, rows):
@@ -103,21 +104,21 @@ def alerts_of(spark, rows):
 
 
 def test_budget_counts():
-    assert policy.budget_count(10, 0.4) == 4 and policy.budget_count(3, 0.01) == 1 and policy.budget_count(0, 0.5) == 0
+    assert policy.budget_count(37, 0.2) == 8 and policy.budget_count(3, 0.01) == 1 and policy.budget_count(0, 0.5) == 0
     with pytest.raises(ValueError):
         policy.budget_count(10, 0.0)
 
 
 def test_underfilled_budget_keeps_equal_comparator(spark):
-    rows = [(f"r{i}", int(i < 2), 0.9 - i / 100, [0.9, 0.8][i] if i < 2 else 0.0) for i in range(10)]
+    rows = [(f"r{i}", i % 2, 0.99 - i / 50, 0.3 + i / 40 if i in (4, 7, 11) else 0.0) for i in range(20)]
     df = alerts_of(spark, rows)
-    got = policy.policy_candidates(df, ["ev"], [0.5], label="y", **NAMES).first()
-    assert (got["requested_selected_count"], got["selected_count"], got["score_only_selected_count"]) == (5, 2, 2)
-    assert got["support_shift_underfill"] and got["supported_alert_count"] == 2
-    locked = policy.LockedPolicy(0.5, "ev", False, "", 0, 0, None, None, None, None, None, 0.0)
+    got = policy.policy_candidates(df, ["ev"], [0.35], label="y", **NAMES).first()
+    assert (got["requested_selected_count"], got["selected_count"], got["score_only_selected_count"]) == (7, 3, 3)
+    assert got["support_shift_underfill"] and got["supported_alert_count"] == 3
+    locked = policy.LockedPolicy(0.35, "ev", False, "", 0, 0, None, None, None, None, None, 0.0)
     report = policy.policy_report(df, [locked], label="y", **NAMES).first()
-    assert (report["selected_count"], report["requested_selected_count"]) == (2, 5)
-    assert report["explanation_coverage"] == pytest.approx(0.2) and report["abstention_rate"] == pytest.approx(0.8)
+    assert (report["selected_count"], report["requested_selected_count"]) == (3, 7)
+    assert report["explanation_coverage"] == pytest.approx(3 / 20) and report["abstention_rate"] == pytest.approx(17 / 20)
 
 
 def test_selection_reads_no_labels(spark):
@@ -169,9 +170,6 @@ def test_weighted_candidates_equal_repeated_rows(spark):
             k: round(v, 9) if isinstance(v, float) else v for k, v in z.asDict().items()}
 
 
-MATCH_ROWS = [(f"i{k}", k % 2 == 0, r, 0.5) for k, r in enumerate((0.51, 0.52, 0.61, 0.62, 0.71, 0.72, 0.81, 0.82))]
-
-
 def match_df(spark, rows):
     return spark.createDataFrame(rows, "id string, chosen boolean, risk double, ev double")
 
@@ -203,11 +201,13 @@ def test_cell_matching_keeps_every_selected_row(spark):
 
 
 def test_residual_gap_hand_case(spark):
-    rows = [(f"i{k}", k % 2, r, [0.1, 0.9, 0.2, 0.8, 0.1, 0.9, 0.2, 0.8][k]) for k, r in enumerate((0.51, 0.52, 0.61, 0.62, 0.71, 0.72, 0.81, 0.82))]
-    df = spark.createDataFrame(rows, "id string, y int, risk double, ev double")
-    per = matching.residual_by_bin(df, label="y", risk="risk", evidence="ev", edges=matching.risk_bin_edges(df, "risk", 4))
+    # below .7: true .6, false .1 and .3; from .7 to .8: true .4 and .6, false .2; above: one true row
+    rows = [(1, 0.55, 0.6), (0, 0.6, 0.1), (0, 0.65, 0.3), (1, 0.7, 0.4), (1, 0.72, 0.6), (0, 0.79, 0.2), (1, 0.9, 0.2)]
+    df = spark.createDataFrame(rows, "y int, risk double, ev double")
+    per = matching.residual_by_bin(df, label="y", risk="risk", evidence="ev", edges=[0.7, 0.8])
     got = matching.residual_summary(per).first()
-    assert got["comparable_bins"] == 4 and got["risk_conditioned_tp_fp_gap"] == pytest.approx(0.7)
+    assert got["comparable_bins"] == 2 and got["comparison_weight"] == 2
+    assert got["risk_conditioned_tp_fp_gap"] == pytest.approx((0.4 + 0.3) / 2)
 
 
 def test_risk_bin_edges_are_checked(spark):
