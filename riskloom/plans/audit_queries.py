@@ -143,27 +143,47 @@ OVERLAP = f"""
     f"select '{a}' as ra, '{b}' as rb, coalesce(sum((rule__{a} >= 0.6 and rule__{b} >= 0.6)::int) / "
     f"nullif(sum((rule__{a} >= 0.6 or rule__{b} >= 0.6)::int), 0), 1) as j from alerts"
     for a in NAMES for b in NAMES if a != b)})"""
-# The greedy choice visits one rule per step, by score.
-CHOICE = f"""
-  queue as materialized (select rule, row_number() over (order by score desc, rule) as k from audited where failures = ''),
-  walk as (
+
+
+def choice_sql(most: int, pool: str = "true", n: str = "") -> str:
+    """CTEs of the greedy choice, which visits one rule of the pool per step, by score."""
+    return f"""
+  queue{n} as materialized (select rule, row_number() over (order by score desc, rule) as k from audited where failures = '' and {pool}),
+  walk{n} as (
     with recursive w(k, kept, decided) as (
       select 0, []::varchar[], []::struct(rule varchar, status varchar, top double)[] union all
       select q.k::int,
-        case when len(kept) < {MAX_RULES} and not exists (select 1 from overlap where ra = q.rule and list_contains(kept, rb) and j > {MAX_JACCARD})
+        case when len(kept) < {most} and not exists (select 1 from overlap where ra = q.rule and list_contains(kept, rb) and j > {MAX_JACCARD})
           then list_append(kept, q.rule) else kept end,
         list_append(decided, {{'rule': q.rule,
           'status': case when exists (select 1 from overlap where ra = q.rule and list_contains(kept, rb) and j > {MAX_JACCARD})
-            then 'redundant' when len(kept) < {MAX_RULES} then 'selected' else 'rule_budget_exceeded' end,
+            then 'redundant' when len(kept) < {most} then 'selected' else 'rule_budget_exceeded' end,
           'top': coalesce((select max(j) from overlap where ra = q.rule and list_contains(kept, rb)), 0)}})
-      from w join queue q on q.k = w.k + 1)
+      from w join queue{n} q on q.k = w.k + 1)
     select kept, decided from w order by k desc limit 1),
-  decisions as materialized (select d.rule, d.status, d.top from (select unnest(decided) as d from walk))"""
-WEIGHTS = """
-  comp as (select rule, greatest(score - least(min(score) over (), 0), 0) + 1e-8 as c, greatest(tpa - fpa, 0) + 1e-8 as g
-    from audited join decisions using (rule) where status = 'selected'),
-  aw as (select rule, c, c / sum(c) over () as w, g from comp),
-  weights as materialized (select rule, c, w, w * g / sum(w * g) over () as pw from aw)"""
+  decisions{n} as materialized (select d.rule, d.status, d.top from (select unnest(decided) as d from walk{n}))"""
+
+
+def weights_sql(n: str = "") -> str:
+    return f"""
+  comp{n} as (select rule, greatest(score - least(min(score) over (), 0), 0) + 1e-8 as c, greatest(tpa - fpa, 0) + 1e-8 as g
+    from audited join decisions{n} using (rule) where status = 'selected'),
+  aw{n} as (select rule, c, c / sum(c) over () as w, g from comp{n}),
+  weights{n} as materialized (select rule, c, w, w * g / sum(w * g) over () as pw from aw{n})"""
+
+
+CHOICE, WEIGHTS = choice_sql(MAX_RULES), weights_sql()
+POOLS = {
+    "amounts": ["high_amount", "deep_discount", "large_cross_bank"],
+    "context": ["cross_bank_gap", "busy_sender", "low_balance", "risky_format", "unusual_gap"],
+}
+
+
+def _in_pool(pool: str) -> str:
+    return f"rule in ({', '.join(repr(r) for r in POOLS[pool])})"
+
+
+POOL_CTES = tuple(part for pool in POOLS for part in (choice_sql(2, _in_pool(pool), f"_{pool}"), weights_sql(f"_{pool}")))
 RULE_AUDIT_CTES = (STATS, ATTRIBUTED, AUDITED)
 SELECTION_CTES = (*RULE_AUDIT_CTES, OVERLAP, CHOICE)
 WEIGHT_CTES = (*SELECTION_CTES, WEIGHTS)
@@ -289,17 +309,23 @@ def attribution_importance(spark, sf_dir):
     return attribution.mean_absolute_attribution(binding.audit(spark, sf_dir).part("rule_audit"), attributions())
 
 
-@query("independent_pools")
+@query(
+    "independent_pools",
+    sql("truth", " union all ".join(
+        f"select '{pool}' as pool, rule, coalesce(status, 'audit_failed') as selection_status, round(w, 6) as audit_weight, "
+        f"round(pw, 6) as fp_penalized_weight from audited left join decisions_{pool} using (rule) left join weights_{pool} using (rule) where {_in_pool(pool)}"
+        for pool in POOLS), *RULE_AUDIT_CTES, OVERLAP, *POOL_CTES),
+)
 def independent_pools(spark, sf_dir):
     """Two rule pools selected and weighted on their own from one full audit."""
     found = audited(spark, sf_dir)
-    pools = {"amounts": ["high_amount", "deep_discount", "large_cross_bank"],
-             "context": ["cross_bank_gap", "busy_sender", "low_balance", "risky_format", "unusual_gap"]}
     out = None
-    for pool, names in pools.items():
+    for pool, names in POOLS.items():
         chosen = audit.remove_redundant(found.table, found.overlap, rules=names, max_jaccard=MAX_JACCARD, max_rules=2)
         weights = audit.rule_weights(chosen)
-        part = chosen.select("rule", "selection_status").join(weights, "rule", "left").withColumn("pool", F.lit(pool))
+        part = chosen.select("rule", "selection_status").join(weights, "rule", "left").select(
+            F.lit(pool).alias("pool"), "rule", "selection_status", "audit_weight", "fp_penalized_weight"
+        )
         out = part if out is None else out.unionByName(part)
     return out
 
