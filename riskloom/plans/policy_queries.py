@@ -430,7 +430,33 @@ def evidence_permutation(spark, sf_dir):
     return shuffled.join(chance, "txn_id")
 
 
-@query("negative_controls")
+CONTROLS = """
+  nbase as materialized (select txn_id, y, risk, e.m as method, e.v as ev from arows
+    where role = 'test' and e.m in (select method from lockd where not abstain)),
+  ngive as (select method, ev, row_number() over (partition by method order by md5('a42|' || txn_id)) as k from nbase),
+  ntake as (select method, txn_id, row_number() over (partition by method order by md5('b42|' || txn_id)) as k from nbase),
+  nperm as (select method, txn_id, ev as pv from ntake join ngive using (method, k)),
+  nlong as (select method, txn_id, y, risk, unnest([{'c': 'locked_policy', 'v': ev::double}, {'c': 'predictor_score_only', 'v': risk::double},
+      {'c': 'row_permuted_evidence', 'v': pv::double}, {'c': 'random_evidence', 'v': rv::double}]) as e
+    from (select b.*, pv, case when ev > 0 then ('0x' || substr(md5('42|' || b.txn_id), 1, 8))::bigint / 4294967296.0 else 0 end as rv
+      from nbase b join nperm using (method, txn_id))),
+  nrank as materialized (select method, e.c as control, y, row_number() over (partition by method, e.c order by e.v desc, risk desc, md5(txn_id)) as rank
+    from nlong where e.c = 'predictor_score_only' or e.v > 0),
+  nsup as (select method, count(*) as support from nrank where control = 'locked_policy' group by 1),
+  ncell as (select l.coverage, l.method, l.abstain, s.alerts, s.want, case when l.abstain then 0 else least(want, coalesce(support, 0)) end as cnt, control
+    from lockd l join sizes2 s on s.role = 'test' and s.coverage = l.coverage left join nsup using (method),
+      (select unnest(['locked_policy', 'predictor_score_only', 'row_permuted_evidence', 'random_evidence']) as control)),
+  nfound as (select c.coverage, c.control, count(r.rank) as n, coalesce(sum(r.y), 0) as hits from ncell c
+    left join nrank r on r.method = c.method and r.control = c.control and r.rank <= c.cnt group by 1, 2)"""
+
+
+@query(
+    "negative_controls",
+    sql("truth", """select coverage as coverage_budget, control, alerts as alert_count, want as requested_selected_count,
+      cnt::bigint as matched_realized_selected_count, n as selected_count, hits::bigint as selected_positive_count, abstain as policy_abstained,
+      n = cnt as equal_count_with_locked, round(n / alerts, 6) as achieved_alert_coverage, round(hits / nullif(n, 0), 6) as selected_precision
+      from ncell join nfound using (coverage, control)""", *LOCK_CTES, CONTROLS),
+)
 def negative_controls(spark, sf_dir):
     """Locked, score-only, permuted and random selections at equal counts."""
     _, policies = locked(spark, sf_dir)
