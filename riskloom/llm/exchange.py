@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Text bytes of a block.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
 PACKET = "block int, bucket int, data binary"
 _PACKET_ARROW = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("data", pa.binary())])
 
