@@ -10,6 +10,7 @@ The benchmark is the stated query set; it is searched in blocks of bounded size.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -108,18 +109,18 @@ def search_shard(texts: list[bytes], tests: TestSuffixes) -> tuple[list[int], li
     return lengths, [np.unique(np.concatenate(h)) if h else np.zeros(0, np.int64) for h in hits], items, longest
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[object, bytes]]]:
-    """The benchmark's items in blocks; a block holds at most ``block_bytes`` and one item more."""
-    blocks: list[list[tuple[object, bytes]]] = [[]]
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[object, bytes]]]:
+    """The benchmark's items in blocks, one at a time; a block holds at most ``block_bytes`` and one item more."""
+    block: list[tuple[object, bytes]] = []
     held = 0
     for row in benchmark.select("item_id", "text").where("item_id is not null and text is not null").toLocalIterator():
         text = row["text"].encode()
-        if held + len(text) > block_bytes and blocks[-1]:
-            blocks.append([])
-            held = 0
-        blocks[-1].append((row["item_id"], text))
+        if held + len(text) > block_bytes and block:
+            yield block
+            block, held = [], 0
+        block.append((row["item_id"], text))
         held += len(text)
-    return blocks
+    yield block
 
 
 MATCH_SCHEMA = "n_words bigint, hit_words array<bigint>, items array<string>"
