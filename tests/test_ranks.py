@@ -159,3 +159,12 @@ def test_rank_correlation(spark):
     assert rank_correlation(df.withColumn("b", F.lit(1.0)), "a", "b").first()[0] is None
     ranks = {r["a"]: r["a_rank"] for r in average_ranks(df, "a").collect()}
     assert ranks == pytest.approx(dict(zip(pd.Series([a for a, _ in rows]), pd.Series([a for a, _ in rows]).rank())))
+
+
+def test_null_partitions_are_partitions_of_their_own(spark):
+    df = spark.createDataFrame([(i, (None, "a", "b")[i % 3], float(i % 7)) for i in range(60)], "id int, g string, v double")
+    out = with_global_rank(df, [("v", "asc")], "id", partition=["g"]).collect()
+    assert len(out) == 60 and all(sorted(r["rank"] for r in out if r["g"] == g) == list(range(1, 21)) for g in (None, "a", "b"))
+    cells = df.groupBy("g", "v").count()
+    sums = prefix_sums(cells, "v", {"n": "count"}, partition=["g"]).collect()
+    assert len(sums) == 21 and {r["n_total"] for r in sums} == {20}
