@@ -1,13 +1,14 @@
 """Near-duplicate documents by a MinHash LSH forest.
 
 Signatures are sorted in several orders, each by its own sequence of hash
-functions.  Neighbours in an order that share a long enough prefix are
-candidates.  The depth adapts to the region: a row is compared with the next
-rows only, so where many share a prefix these share a longer one.  What a dense
-region leaves out is caught by hubs: a row that has a candidate inside a
-component is also compared with the members nearest to the component's modal
-signature, as copies of one original differ most from each other and least from
-the original.  Candidates are confirmed on full shingle sets.
+functions.  Rows that share a long enough prefix of an order, a run, are to be
+compared unless a component holds both.  Neighbours in the order come first, and
+then hubs: a row that has a candidate inside a component is compared with the
+members nearest to the component's modal signature, as copies of one original
+differ most from each other and least from the original.  Both only save work:
+afterwards all rows of different components are compared in runs of bounded
+size, and the rows of larger runs meet by an exact prefix filter on their rarest
+shingles (``dense_candidates``).  Candidates are confirmed on full shingle sets.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ NEXT_ROWS = 2  # rows after a row that it is compared with
 #: Shared signature values below which a pair is not confirmed: at 85 % such a pair is four deviations away.
 MIN_SHARED = 92
 HUBS = 3
+#: Rows of a run, or of a shingle's list, up to which all pairs are compared; beyond, the exact filter takes over.
+RUN_ROWS = 64
 #: Word hashes that a worker remembers.
 REMEMBERED = 300_000
 
@@ -252,6 +255,96 @@ def hubs(members: DataFrame, classes: DataFrame) -> DataFrame:
     return ranked.withColumn("place", F.row_number().over(best)).where(F.col("place") <= HUBS).select("component", "hub")
 
 
+def _with_component(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """``rows`` with the component of doc_id; one without links is a component of its own."""
+    joined = rows.join(members.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
+    return joined.withColumn("component", F.coalesce("component", "doc_id"))
+
+
+def runs(classes: DataFrame, members: DataFrame) -> DataFrame:
+    """(doc_id, run, n): rows that share their order's first ``MIN_DEPTH`` values, in runs of several components.
+
+    Runs of ``NEXT_ROWS`` + 1 rows at most are left out: their rows are all candidates already.
+    """
+    keys = [F.xxhash64(F.lit(n), *[F.substring("signature", 4 * k + 1, 4) for k in functions[:MIN_DEPTH]]) for n, functions in enumerate(ORDER_FUNCTIONS)]
+    rows = _with_component(classes, members).select("doc_id", "component", F.explode(F.array(*keys)).alias("run"))
+    sizes = rows.groupBy("run").agg(F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("most"))
+    return rows.select("doc_id", "run").join(sizes.where(f"least < most and n > {NEXT_ROWS + 1}").select("run", "n"), "run").select("doc_id", "run", "n")
+
+
+def pairs_within(rows: DataFrame, group: str) -> DataFrame:
+    """Pairs a < b of different components within each group of rows (group, doc_id, component) of bounded size."""
+    lists = rows.groupBy(group).agg(F.collect_list(F.struct("doc_id", "component")).alias("rows"))
+    each = lists.select(F.explode("rows").alias("x"), "rows")
+    later = F.filter("rows", lambda y: (y["doc_id"] > F.col("x.doc_id")) & (y["component"] != F.col("x.component")))
+    return each.select(F.col("x.doc_id").alias("a"), F.explode(later).alias("y")).select("a", F.col("y.doc_id").alias("b")).distinct()
+
+
+def _prefixes(batches):
+    """Per set: its rare prefix shingles, its other prefix shingles, and the digest of all its common shingles."""
+    for batch in batches:
+        made: dict[str, list] = {n: [] for n in ("rare", "common", "digest")}
+        for rows in batch.column(2).to_pylist():
+            rows = sorted((r["n"], r["shingle"]) for r in rows)
+            least = -(-SIMILARITY * len(rows) // 100)
+            prefix = rows[: len(rows) - least + 1]
+            made["rare"].append([s for n, s in prefix if 1 < n <= RUN_ROWS])
+            made["common"].append([s for n, s in prefix if n > RUN_ROWS])
+            made["digest"].append(xxhash.xxh3_128_digest(np.array([s for n, s in rows if n > RUN_ROWS], np.int64).tobytes()))
+        lists = pa.list_(pa.int64())
+        sizes = pa.array([len(r) for r in batch.column(2)], pa.int64())
+        columns = [batch.column(0), sizes, pa.array(made["rare"], lists), pa.array(made["common"], lists), pa.array(made["digest"], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "size", "rare", "common", "digest"])
+
+
+def dense_candidates(dense: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs a < b that connect whatever is linked among ``dense`` (doc_id, component), and pairs to be ruled out.
+
+    Sets are sorted by the number of sets that hold a shingle.  Linked sets x and y
+    share a shingle of both their prefixes, the first |x| - ceil(s |x|) + 1.  If a
+    rare one is among those, its list is short and all of its pairs are candidates.
+    Else x and y share common shingles only.  Of the sets with the same common
+    shingles as y, let m be the smallest: it shares as many with x and is no larger
+    than y, so x and m are linked as well, and so are y and the smallest one of x's
+    kind, and these two.  So sets meet the smallest one of each kind only, where
+    both prefixes hold the same common shingle.
+    """
+
+    def work(rows, texts):
+        ids, owns, every = [], [], []
+        for doc, text in zip(rows.column(0).to_pylist(), texts):
+            shingles = shingle_set(text)
+            ids.append(np.full(len(shingles), doc, np.int64))
+            owns.append(np.full(len(shingles), xxhash.xxh3_64_intdigest(shingles.tobytes()), np.uint64).view(np.int64))
+            every.append(shingles.view(np.int64))
+        return {"doc_id": pa.array(np.concatenate(ids)), "own": pa.array(np.concatenate(owns)), "shingle": pa.array(np.concatenate(every))}
+
+    texts = docs.join(dense.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text")
+    postings = map_slices(texts, work, "doc_id bigint, own bigint, shingle bigint").distinct()
+    counted = postings.withColumn("n", F.count("*").over(Window.partitionBy("shingle")))
+    sets = counted.groupBy("doc_id", "own").agg(F.collect_list(F.struct("n", "shingle")).alias("rows"))
+    made = sets.mapInArrow(_prefixes, "doc_id bigint, size bigint, rare array<bigint>, common array<bigint>, digest binary")
+    known = stage(made.join(dense, "doc_id"), "prefixes")
+
+    few = pairs_within(known.select("doc_id", "component", F.explode("rare").alias("shingle")).distinct(), "shingle")
+    kinds = known.where(F.size("common") > 0).groupBy("digest").agg(F.min(F.struct("size", "doc_id", "component", "common")).alias("m"))
+    smallest = kinds.select("m.size", "m.doc_id", "m.component", F.explode("m.common").alias("shingle"))
+    shared = known.select("size", "doc_id", "component", F.explode("common").alias("shingle"))
+    # Most sets that hold a shingle are often one component, whose members need not meet: one side is outside of it.
+    counts = shared.groupBy("shingle", "component").agg(F.count("*").alias("n"))
+    main = counts.groupBy("shingle").agg(F.max(F.struct("n", "component")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("shingle", F.col("main.component").alias("main"))
+
+    def outside(rows):
+        return rows.join(main, "shingle").where("component <> main").drop("main")
+
+    pairs = few
+    for left, right in ((outside(shared), smallest), (shared, outside(smallest))):
+        x, y = left.alias("x"), right.alias("y")
+        met = x.join(y, "shingle").where(f"x.component <> y.component and 100 * least(x.size, y.size) >= {SIMILARITY} * greatest(x.size, y.size)")
+        pairs = pairs.union(met.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")))
+    return pairs.distinct()
+
+
 def near_components(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -300,6 +393,23 @@ def near_components(docs: DataFrame) -> DataFrame:
             break
         links = links.union(more)
         reached = stage(connected(edges.union(_linked(links))), "members")
+    # Whatever shares a prefix and is in different components still: short runs as a whole, the rows of long ones by the exact filter.
+    open_runs = stage(runs(classes, reached), "runs")
+    for long in (False, True):
+        held = _with_component(open_runs.where(F.col("n") > RUN_ROWS if long else F.col("n") <= RUN_ROWS), reached)
+        if long:
+            several = held.groupBy("run").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
+            dense = stage(held.join(several, "run", "left_semi").select("doc_id", "component").distinct(), "dense")
+            if dense.isEmpty():
+                break
+            found = dense_candidates(dense, docs)
+        else:
+            found = pairs_within(held, "run")
+        fresh = found.join(links.select("a", "b"), ["a", "b"], "left_anti")
+        more = stage(confirmed(stage(with_shared(fresh, classes).select("a", "b"), "wanted"), docs), "links")
+        if not more.where("linked").isEmpty():
+            links = links.union(more)
+            reached = stage(connected(edges.union(_linked(links))), "members")
     groups = members.join(reached.select(F.col("node").alias("class"), "component"), "class", "left").groupBy("doc_id").agg(
         F.min(F.coalesce("component", "class")).alias("component")
     )

@@ -80,6 +80,38 @@ def test_near_components_equal_brute_force(corpus):
     assert got == sorted(brute_components(rows), key=repr)
 
 
+def template_rows(plain, linked):
+    """Pages of one template, pairwise at 80 to 84 %, and pairs of pages at 85 % or more among them."""
+    rng = random.Random(8)
+    template = [f"t{i}" for i in range(200)]
+    pages = [template + [f"p{doc}w{i}" for i in range(22)] for doc in range(plain + linked)]
+    for doc in range(linked):
+        # Half of the original's own words, so the pair shares some of what is rare.
+        pages.append(template + [f"p{doc}w{i}" for i in range(11)] + [f"q{doc}w{i}" for i in range(11)])
+    ids = rng.sample(range(1, 10_000), len(pages))
+    return [(doc, " ".join(page)) for doc, page in zip(ids, pages)]
+
+
+def test_links_inside_a_template_region_are_found(corpus):
+    rows = template_rows(260, 40)
+    want = brute_components(rows)
+    assert sum(not kept for *_, kept in want) == 40
+    assert rows_of(near_dedup.near_components(corpus(rows)), "doc_id", "n_shingles", "component_id", "kept") == sorted(want, key=repr)
+
+
+def test_pages_that_share_common_shingles_only_meet_the_smallest_of_their_kind(spark, corpus):
+    template = [f"t{i}" for i in range(200)]
+    # Two kinds (with and without the template's end), own ends of 0 to 45 words: short ones are linked, long ones are not.
+    rows = [(doc, " ".join((template if doc % 2 else template[:190]) + [f"p{doc}w{i}" for i in range(doc * 7 % 46)])) for doc in range(300)]
+    want = brute_components(rows)
+    alone = spark.createDataFrame([(doc, doc) for doc, _ in rows], "doc_id bigint, component bigint")
+    pairs = near_dedup.dense_candidates(alone, corpus(rows))
+    assert pairs.count() < 300 * 299 / 8
+    links = near_dedup.confirmed(pairs, corpus(rows)).where("linked").selectExpr("a u", "b v")
+    found = dict(tuple(r) for r in connected(links).collect())
+    assert [found.get(doc, doc) for doc, _ in rows] == [component for _, _, component, _ in want]
+
+
 def test_near_copies_of_edge_rows(spark, corpus, edge_rows):
     docs = corpus(edge_rows, clashing=True)
     kept = near_dedup.without_near_copies(docs)
