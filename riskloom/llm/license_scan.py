@@ -23,8 +23,10 @@ BASE_PHRASES = (("under the mit license", "mit"), ("apache license version 2", "
 
 #: Families of licenses: (family, gate word, ways to write the name, versions).
 FAMILIES = (
-    ("mit", "mit", ("mit", "mit x11", "expat"), ()),
-    ("apache", "apache", ("apache", "apache software", "asl"), ("1", "1 0", "1 1", "2", "2 0")),
+    ("mit", "mit", ("mit", "mit x11"), ()),
+    ("mit", "expat", ("expat",), ()),
+    ("apache", "apache", ("apache", "apache software"), ("1", "1 0", "1 1", "2", "2 0")),
+    ("apache", "asl", ("asl",), ("1", "1 0", "1 1", "2", "2 0")),
     ("gpl", "gpl", ("gpl", "gnu gpl"), ("1", "2", "2 0", "3", "3 0")),
     ("gpl", "general", ("gnu general public", "general public"), ("1", "2", "2 0", "3", "3 0")),
     ("lgpl", "lgpl", ("lgpl", "gnu lgpl"), ("2", "2 1", "3", "3 0")),
@@ -60,7 +62,8 @@ FAMILIES = (
     ("cc-by-nd", "cc", ("cc by nd",), ("3", "3 0", "4", "4 0")),
     ("cc-by-sa", "cc", ("cc by sa",), ("2", "2 0", "3", "3 0", "4", "4 0")),
     ("cc-by", "cc", ("cc by",), ("2", "2 0", "3", "3 0", "4", "4 0")),
-    ("cc0", "cc0", ("cc0", "creative commons zero"), ("1", "1 0")),
+    ("cc0", "cc0", ("cc0",), ("1", "1 0")),
+    ("cc0", "zero", ("creative commons zero",), ("1", "1 0")),
     ("public-domain", "domain", ("public domain dedication",), ()),
 )
 #: Families whose name alone says enough.
@@ -70,7 +73,6 @@ NOTICES = (
     ("all-rights-reserved", "reserved", "all rights reserved", 0.5),
     ("copyright", "copyright", "copyright (?:c )?(?:19|20)[0-9]{2}", 0.4),
     ("public-domain", "domain", "(?:released|placed|dedicated) (?:in)?to the public domain", 0.8),
-    ("mit", "merchantability", "permission is hereby granted free of charge to any person obtaining a copy", 0.9),
     ("mit", "granted", "permission is hereby granted free of charge to any person obtaining a copy", 0.9),
     ("isc", "permission", "permission to use copy modify and or distribute this software for any purpose", 0.9),
     ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification", 0.9),

@@ -133,6 +133,24 @@ def test_contained_and_rival_detections_are_suppressed():
     assert len(license_scan.signature_rules()) > 300
 
 
+def test_gates_skip_no_detection(monkeypatch):
+    names = [(name, versions) for _, _, own, versions in license_scan.FAMILIES for name in own]
+    texts = [f"{before}{name} license{after}" for name, versions in names for before in ("", "licensed under the ") for after in ("", *[f" version {v}" for v in versions])]
+    texts += [f"{name} {v}" for name, versions in names for v in versions] + [f"spdx license identifier {name}" for name, _ in names]
+    texts += ["permission is hereby granted free of charge to any person obtaining a copy", "released into the public domain", "all rights reserved", "copyright 2020"]
+
+    def found():
+        return [sorted((s, e, rule.label) for s, e, rule in license_scan.detections(license_scan.normalised(t.encode())[0])) for t in texts]
+
+    gated = found()
+    assert [x[2] for x in gated[texts.index("licensed under the expat license")]] == ["mit"]
+    assert [x[2] for x in gated[texts.index("asl license version 2 0")]] == ["apache-2.0"]
+    assert [x[2] for x in gated[texts.index("creative commons zero 1 0")]] == ["cc0-1.0"]
+    ungated = ((b"", license_scan.signature_rules()),)
+    monkeypatch.setattr(license_scan, "_rules", lambda: ungated)
+    assert found() == gated
+
+
 # Toxicity
 
 
