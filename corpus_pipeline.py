@@ -16,6 +16,10 @@ from riskloom.llm.text import read
 from riskloom.session import checkpoint_root, ship_package
 
 
+#: Percent of the shingles' union that near copies share; op1's 85 is that query's alone.
+NEAR_COPY = 80
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose base counts and content share pass (see ``line_quality.judge_quality``)."""
     ship_package(spark)
@@ -25,7 +29,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of every near-duplicate component."""
     ship_package(spark)
-    return near_dedup.without_near_copies(docs)
+    return near_dedup.without_near_copies(docs, NEAR_COPY)
 
 
 def repeated_stretches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

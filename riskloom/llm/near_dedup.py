@@ -26,15 +26,13 @@ from riskloom.llm.text import map_slices, slices
 from riskloom.session import stage
 
 SHINGLE_WORDS = 5
-#: Percent of the union that two sets must share.
+#: Percent of the union that two sets must share, where a caller asks for nothing else.
 SIMILARITY = 85
 FUNCTIONS = 128
 ORDERS = 20
 DEPTH = 8  # values of an order's key
 MIN_DEPTH = 4  # values that candidates share
 NEXT_ROWS = 2  # rows after a row that it is compared with
-#: Shared signature values below which a pair is not confirmed: at 85 % such a pair is four deviations away.
-MIN_SHARED = 92
 HUBS = 3
 #: Rows of a run, or of a shingle's list, up to which all pairs are compared; beyond, the exact filter takes over.
 RUN_ROWS = 64
@@ -80,9 +78,15 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return made
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
+def least_shared(similarity: int) -> int:
+    """Shared signature values below which a pair is not confirmed: a similar pair is over four deviations away (92 at 85 %)."""
+    share = similarity / 100
+    return int(FUNCTIONS * share - 4.1 * (FUNCTIONS * share * (1 - share)) ** 0.5)
+
+
+def linked(a: np.ndarray, b: np.ndarray, similarity: int = SIMILARITY) -> bool:
     shared = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * shared >= SIMILARITY * (len(a) + len(b) - shared) and shared > 0
+    return 100 * shared >= similarity * (len(a) + len(b) - shared) and shared > 0
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -185,8 +189,9 @@ def _forest_rows(a, b, order, key, ids) -> pa.RecordBatch:
     )
 
 
-def with_shared(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs with the number of signature values that both share, where these are ``MIN_SHARED`` at least."""
+def with_shared(pairs: DataFrame, classes: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+    """Pairs with the number of signature values that both share, where these are ``least_shared`` at least."""
+    least = least_shared(similarity)
     left = classes.select(F.col("doc_id").alias("a"), F.col("signature").alias("left"))
     right = classes.select(F.col("doc_id").alias("b"), F.col("signature").alias("right"))
 
@@ -195,13 +200,13 @@ def with_shared(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             if batch.num_rows:
                 grids = [np.frombuffer(b"".join(batch.column(k).to_pylist()), ">u4").reshape(-1, FUNCTIONS) for k in (2, 3)]
                 shared = (grids[0] == grids[1]).sum(axis=1)
-                kept = pa.array(shared >= MIN_SHARED)
+                kept = pa.array(shared >= least)
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept), pa.array(shared, pa.int32()).filter(kept)], names=["a", "b", "shared"])
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(work, f"{PAIR}, shared int")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """(a, b, linked) of pairs, judged on the full sets of both texts."""
     left = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("left")).join(pairs, "a", "left_semi")
     right = docs.select(F.col("doc_id").alias("b"), "text").join(pairs, "b", "left_semi")
@@ -220,7 +225,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         for rows, texts in slices(batches):
             lefts = rows.column(rows.schema.get_field_index("left")).cast(pa.binary()).to_pylist()
             a, b = rows.column(0), rows.column(1)
-            told = [linked(of(x, t), of(y, u)) for x, t, y, u in zip(a.to_pylist(), lefts, b.to_pylist(), texts)]
+            told = [linked(of(x, t), of(y, u), similarity) for x, t, y, u in zip(a.to_pylist(), lefts, b.to_pylist(), texts)]
             yield pa.RecordBatch.from_arrays([a, b, pa.array(told)], names=["a", "b", "linked"])
 
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left", "text").mapInArrow(work, f"{PAIR}, linked boolean")
@@ -280,13 +285,13 @@ def pairs_within(rows: DataFrame, group: str) -> DataFrame:
     return each.select(F.col("x.doc_id").alias("a"), F.explode(later).alias("y")).select("a", F.col("y.doc_id").alias("b")).distinct()
 
 
-def _prefixes(batches):
+def _prefixes(batches, similarity: int):
     """Per set: its rare prefix shingles, its other prefix shingles, and the digest of all its common shingles."""
     for batch in batches:
         made: dict[str, list] = {n: [] for n in ("rare", "common", "digest")}
         for rows in batch.column(2).to_pylist():
             rows = sorted((r["n"], r["shingle"]) for r in rows)
-            least = -(-SIMILARITY * len(rows) // 100)
+            least = -(-similarity * len(rows) // 100)
             prefix = rows[: len(rows) - least + 1]
             made["rare"].append([s for n, s in prefix if 1 < n <= RUN_ROWS])
             made["common"].append([s for n, s in prefix if n > RUN_ROWS])
@@ -297,7 +302,7 @@ def _prefixes(batches):
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "size", "rare", "common", "digest"])
 
 
-def dense_candidates(dense: DataFrame, docs: DataFrame) -> DataFrame:
+def dense_candidates(dense: DataFrame, docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """Pairs a < b that connect whatever is linked among ``dense`` (doc_id, component), and pairs to be ruled out.
 
     Sets are sorted by the number of sets that hold a shingle.  Linked sets x and y
@@ -323,7 +328,7 @@ def dense_candidates(dense: DataFrame, docs: DataFrame) -> DataFrame:
     postings = map_slices(texts, work, "doc_id bigint, own bigint, shingle bigint").distinct()
     counted = postings.withColumn("n", F.count("*").over(Window.partitionBy("shingle")))
     sets = counted.groupBy("doc_id", "own").agg(F.collect_list(F.struct("n", "shingle")).alias("rows"))
-    made = sets.mapInArrow(_prefixes, "doc_id bigint, size bigint, rare array<bigint>, common array<bigint>, digest binary")
+    made = sets.mapInArrow(lambda batches: _prefixes(batches, similarity), "doc_id bigint, size bigint, rare array<bigint>, common array<bigint>, digest binary")
     known = stage(made.join(dense, "doc_id"), "prefixes")
 
     few = pairs_within(known.select("doc_id", "component", F.explode("rare").alias("shingle")).distinct(), "shingle")
@@ -340,13 +345,13 @@ def dense_candidates(dense: DataFrame, docs: DataFrame) -> DataFrame:
     pairs = few
     for left, right in ((outside(shared), smallest), (shared, outside(smallest))):
         x, y = left.alias("x"), right.alias("y")
-        met = x.join(y, "shingle").where(f"x.component <> y.component and 100 * least(x.size, y.size) >= {SIMILARITY} * greatest(x.size, y.size)")
+        met = x.join(y, "shingle").where(f"x.component <> y.component and 100 * least(x.size, y.size) >= {similarity} * greatest(x.size, y.size)")
         pairs = pairs.union(met.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")))
     return pairs.distinct()
 
 
-def near_components(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
+def near_components(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept; links share ``similarity`` percent of their union.
 
     Equal sets are one class; links between classes are sought among their
     smallest ids.  A null text, an empty one and one without words have an empty
@@ -364,7 +369,7 @@ def near_components(docs: DataFrame) -> DataFrame:
     several = members.groupBy("doc_id").agg(F.min("class").alias("v"), F.max("class").alias("w")).where("v < w").select("doc_id", "v")
     edges = members.join(several, "doc_id").select(F.col("class").alias("u"), "v")
 
-    pairs = stage(with_shared(forest_candidates(classes), classes), "pairs")
+    pairs = stage(with_shared(forest_candidates(classes), classes, similarity), "pairs")
     # First each document's best candidate; then what is still between components, and their hubs.
     best = (
         pairs.select(F.col("a").alias("x"), "a", "b", "shared")
@@ -374,7 +379,7 @@ def near_components(docs: DataFrame) -> DataFrame:
         .select((-F.col("best.col2")).alias("a"), (-F.col("best.col3")).alias("b"))
         .distinct()
     )
-    links = stage(confirmed(stage(best, "best"), docs), "links")
+    links = stage(confirmed(stage(best, "best"), docs, similarity), "links")
     reached = stage(connected(edges.union(_linked(links))), "members")
     for _ in range(2):
         between = stage(_labelled(pairs.select("a", "b"), reached).where("a_component <> b_component"), "between")
@@ -388,7 +393,7 @@ def near_components(docs: DataFrame) -> DataFrame:
         top = hubs(reached.join(towards.select("component").distinct(), "component", "left_semi"), classes)
         through = towards.join(top, "component").where("x <> hub").select(F.least("x", "hub").alias("a"), F.greatest("x", "hub").alias("b"))
         wanted = stage(between.select("a", "b").union(through).distinct().join(links.select("a", "b"), ["a", "b"], "left_anti"), "wanted")
-        more = stage(confirmed(wanted, docs), "links")
+        more = stage(confirmed(wanted, docs, similarity), "links")
         if more.where("linked").isEmpty():
             break
         links = links.union(more)
@@ -402,11 +407,11 @@ def near_components(docs: DataFrame) -> DataFrame:
             dense = stage(held.join(several, "run", "left_semi").select("doc_id", "component").distinct(), "dense")
             if dense.isEmpty():
                 break
-            found = dense_candidates(dense, docs)
+            found = dense_candidates(dense, docs, similarity)
         else:
             found = pairs_within(held, "run")
         fresh = found.join(links.select("a", "b"), ["a", "b"], "left_anti")
-        more = stage(confirmed(stage(with_shared(fresh, classes).select("a", "b"), "wanted"), docs), "links")
+        more = stage(confirmed(stage(with_shared(fresh, classes, similarity).select("a", "b"), "wanted"), docs, similarity), "links")
         if not more.where("linked").isEmpty():
             links = links.union(more)
             reached = stage(connected(edges.union(_linked(links))), "members")
@@ -421,7 +426,7 @@ def near_components(docs: DataFrame) -> DataFrame:
     )
 
 
-def without_near_copies(docs: DataFrame) -> DataFrame:
+def without_near_copies(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """``docs`` with one document of each component, the one with the smallest doc_id; columns as they were."""
-    gone = near_components(docs).where("not kept").select("doc_id").distinct()
+    gone = near_components(docs, similarity).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from riskloom.llm import id_shards, near_dedup, suffix_dedup
 from riskloom.llm.components import connected
 from riskloom.llm.suffix_sort import PrefixHashes, equal_runs, merge_sorted
@@ -112,6 +113,13 @@ def test_pages_that_share_common_shingles_only_meet_the_smallest_of_their_kind(s
     assert [found.get(doc, doc) for doc, _ in rows] == [component for _, _, component, _ in want]
 
 
+def test_the_stage_takes_near_copies_of_80_percent(spark, corpus):
+    rows = template_rows(2, 0)
+    assert near_dedup.least_shared(85) == 92 and near_dedup.least_shared(80) < 92
+    assert sorted(near_dedup.near_components(corpus(rows)).select("kept").toPandas()["kept"]) == [True, True]
+    assert [r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, corpus(rows), "").collect()] == [min(doc for doc, _ in rows)]
+
+
 def test_near_copies_of_edge_rows(spark, corpus, edge_rows):
     docs = corpus(edge_rows, clashing=True)
     kept = near_dedup.without_near_copies(docs)
