@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from uuid import uuid4
 
-from riskloom.llm import decontaminate, id_shards, license_scan, line_quality, near_dedup, packing, suffix_dedup, suffix_tree_lm, toxicity, url_rules
+from riskloom.llm import decontaminate, hard_negatives, id_shards, license_scan, line_quality, near_dedup, packing, sentence_pieces, suffix_dedup, suffix_tree_lm, toxicity, url_rules
+from pyspark.sql import functions as F
+
 from riskloom.llm.registry import query
 from riskloom.llm.text import read
 from riskloom.session import checkpoint_root
@@ -17,6 +19,13 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def piece_model() -> str:
+    """The public piece vocabulary that the queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 #: (rule_host, rule_path, verdict); fixed by the contract of the query.
 URL_RULES = [
     ("net", "/", "block"),
@@ -110,3 +119,33 @@ def op5_toxicity(spark, sf_dir):
 @query("op6_lm_scoring")
 def op6_lm_scoring(spark, sf_dir):
     return suffix_tree_lm.score_documents(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+NEGATIVES_SQL = """
+with v as (
+  select row_number() over () as r, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) as q
+  from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+a as (select r as ar, vec_id as anchor_id, label as al, q as aq from v where vec_id % 100 = 0),
+s as (select ar, anchor_id, al, r, vec_id, label, list_dot_product(aq, q)::bigint as score from a, v),
+p as (select ar, anchor_id, al, r as pr, vec_id as positive_id, score as positive_score from s where r <> ar and label = al
+  qualify row_number() over (partition by ar order by score desc, vec_id) <= 5)
+select anchor_id, positive_id, row_number() over w::int as rank, vec_id as negative_id, positive_score, score as negative_score
+from p join s using (ar, anchor_id, al)
+where label <> al and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+qualify row_number() over w <= 10
+window w as (partition by ar, pr order by score desc, vec_id)
+"""
+
+
+@query("op11_hard_negatives", NEGATIVES_SQL)
+def op11_hard_negatives(spark, sf_dir):
+    vectors = read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_hard_negatives(vectors.withColumns({"label": label, "is_anchor": F.col("vec_id") % 100 == 0}))
+
+
+@query("op13_sentence_pieces")
+def op13_sentence_pieces(spark, sf_dir):
+    return sentence_pieces.encoding_digests(read(spark, sf_dir, "documents", "doc_id", "text"), piece_model())

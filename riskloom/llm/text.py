@@ -58,7 +58,7 @@ def _part(batch, texts, start: int, end: int):
     return batch.slice(start, end - start), [x if x is not None else b"" for x in raw.to_pylist()]
 
 
-def map_slices(df: DataFrame, work: Callable, schema: str, column: str = "text") -> DataFrame:
+def map_slices(df: DataFrame, work: Callable, schema: str, column: str = "text", limit: int = SLICE_BYTES) -> DataFrame:
     """Apply ``work(rows, texts) -> dict of columns`` to bounded slices of every partition.
 
     ``rows`` is the record batch, ``texts`` its texts as bytes.  The columns
@@ -71,7 +71,7 @@ def map_slices(df: DataFrame, work: Callable, schema: str, column: str = "text")
     arrow = to_arrow_schema(target)
 
     def run(batches):
-        for rows, texts in slices(batches, column):
+        for rows, texts in slices(batches, column, limit):
             made = work(rows, texts)
             yield pa.RecordBatch.from_arrays([pa.array(made[n], type=arrow.field(n).type) if not isinstance(made[n], pa.Array) else made[n].cast(arrow.field(n).type) for n in names], schema=arrow)
 
