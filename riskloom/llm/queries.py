@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from uuid import uuid4
 
-from riskloom.llm import decontaminate, hard_negatives, id_shards, license_scan, line_quality, near_dedup, packing, sentence_pieces, suffix_dedup, suffix_tree_lm, toxicity, url_rules
+from riskloom.llm import decontaminate, hard_negatives, id_shards, license_scan, line_quality, near_dedup, packing, phrases, sentence_pieces, suffix_dedup, suffix_tree_lm, toxicity, url_rules
 from pyspark.sql import functions as F
 
 from riskloom.llm.registry import query
@@ -146,6 +146,31 @@ def op11_hard_negatives(spark, sf_dir):
     return hard_negatives.mine_hard_negatives(vectors.withColumns({"label": label, "is_anchor": F.col("vec_id") % 100 == 0}))
 
 
+PHRASES_SQL = f"""
+with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) as piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^\\x20\\x09]+') as w from p),
+t as (select lang, sum(len(w))::bigint as n from w group by lang),
+g as (select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(list_slice(w, i, i + k - 1), ' '))) as phrase from w, (values (1), (2), (3)) s(k) where len(w) >= k),
+f as (select lang, k, phrase, count(*) as a from g group by all having count(*) >= 10),
+c as (select f.*, string_split(phrase, ' ') as ws, unnest(range(1, k)) as cut from f where k > 1),
+s as (select c.lang, c.phrase, c.k, c.a, cut, x.a as l, y.a as r, ((1000000::hugeint * c.a * c.a) // (x.a::hugeint * y.a))::bigint as score from c
+  join f x on x.lang = c.lang and x.phrase = array_to_string(list_slice(ws, 1, cut), ' ')
+  join f y on y.lang = c.lang and y.phrase = array_to_string(list_slice(ws, cut + 1, c.k), ' ')
+  qualify row_number() over (partition by c.lang, c.phrase order by score, cut) = 1),
+i as (select lang, sub, max(a) as around from (select lang, a, unnest([array_to_string(string_split(phrase, ' ')[1:2], ' '), array_to_string(string_split(phrase, ' ')[2:3], ' ')]) as sub from f where k = 3) group by all),
+kept as (select s.* from s left join i on i.lang = s.lang and i.sub = s.phrase where around is null or 100 * around < 50 * a)
+select lang, row_number() over o as rank, phrase, a, l, r, n, score from kept join t using (lang)
+window o as (partition by lang order by score desc, a desc, phrase)
+qualify row_number() over o <= 2000
+"""
+
+
+@query("op12_phrase_mining", PHRASES_SQL)
+def op12_phrase_mining(spark, sf_dir):
+    found = phrases.mine_phrases(read(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+    return found.withColumn("rank", F.col("rank").cast("bigint")).drop("first")
+
+
 @query("op13_sentence_pieces")
 def op13_sentence_pieces(spark, sf_dir):
     return sentence_pieces.encoding_digests(read(spark, sf_dir, "documents", "doc_id", "text"), piece_model())

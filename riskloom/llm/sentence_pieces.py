@@ -1,9 +1,9 @@
 """SentencePiece encoding by a score-ordered agenda of adjacent symbol pairs, checked against the library.
 
 A text's blanks become the vocabulary's blank sign, one more stands in front.
-Every adjacent pair of symbols whose joined text is a piece waits in a heap, the
-best score first, the leftmost among equals; the best pair is joined and its new
-neighbours are entered, until the heap is empty.  Symbols that are no piece fall
+Every adjacent pair of symbols whose joined text is a piece waits in an agenda,
+the best score first, the leftmost among equals; the best pair is joined and its
+new neighbours are entered, until the agenda is empty.  Symbols that are no piece fall
 back to their bytes.
 
 Characters that stand next to each other in some piece are of one family; joins
@@ -27,9 +27,10 @@ from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
 from riskloom.llm.text import map_slices, set_aside
 
 #: Runs a worker remembers in each of two generations; the older one goes when the younger is full.
-REMEMBERED = 300_000
-#: Longer runs are encoded each time.
+REMEMBERED = 600_000
+#: Longer runs are encoded each time, with a heap for their agenda.
 LONG_RUN = 64
+NEVER = float("inf")
 #: Text bytes that a task encodes at a time; their ids take many times that.
 SLICE_BYTES = 1 << 20
 #: The vocabulary's blank sign; a blank stands for it in here.
@@ -102,8 +103,21 @@ class PieceEncoder:
         self.runs = Runs(self.run_ids)
 
     def agenda(self, run: str) -> list[str]:
-        """The symbols left when no adjacent pair of ``run`` forms a piece."""
-        symbols, order = list(run), self.order
+        """The symbols left when no adjacent pair of ``run`` forms a piece; the heap is for runs too long to scan."""
+        order = self.order
+        if len(run) <= LONG_RUN:
+            symbols, rank_of = list(run), order.get
+            ranks = [rank_of(a + b, NEVER) for a, b in zip(run, run[1:])]
+            while ranks and (best := min(ranks)) < NEVER:
+                at = ranks.index(best)
+                symbols[at : at + 2] = [joined] = [symbols[at] + symbols[at + 1]]
+                del ranks[at]
+                if at < len(ranks):
+                    ranks[at] = rank_of(joined + symbols[at + 1], NEVER)
+                if at:
+                    ranks[at - 1] = rank_of(symbols[at - 1] + joined, NEVER)
+            return symbols
+        symbols = list(run)
         n = len(symbols)
         ranks = [order.get(a + b) for a, b in zip(run, run[1:])]
         waiting = [(rank, i, i + 1, 2) for i, rank in enumerate(ranks) if rank is not None]
@@ -128,13 +142,14 @@ class PieceEncoder:
                     heappush(waiting, (rank, near, i, size + len(symbols[near])))
         return [s for s in symbols if s]
 
-    def symbol_ids(self, symbol: str) -> list[int]:
-        if symbol in self.ids:
-            return [self.ids[symbol]]
+    def fallback(self, symbol: str) -> list[int]:
         return [self.bytes[b] for b in symbol.replace(" ", SIGN).encode()] if self.bytes else [self.unknown]
 
     def run_ids(self, run: str) -> bytes:
-        ids = [i for symbol in self.agenda(run) for i in self.symbol_ids(symbol)]
+        symbols = self.agenda(run)
+        ids = [self.ids.get(s) for s in symbols]
+        if None in ids:
+            ids = [i for s in symbols for i in ([self.ids[s]] if s in self.ids else self.fallback(s))]
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> list[int]:
