@@ -3,13 +3,13 @@
 Prefix polynomials over bytes give every word's hash, prefix polynomials over
 word hashes those of every n-gram, without a Python object per word.
 
-1. Words and pairs: every task adds up its fingerprints, a shuffle sums them.
-   Frequent ones are marked in a bit table of fixed size.
-2. Longer n-grams, one length after the other: only those are sent whose two
-   shorter parts are marked, as a phrase is no more frequent than its parts.
-3. N-grams that are marked are cut out of the texts where they occur, and their
+1. Words, then pairs, then longer n-grams: every task adds up its fingerprints,
+   a shuffle sums them, frequent ones are marked in a bit table of fixed size.
+   Only n-grams are sent whose two shorter parts are marked, as a phrase is no
+   more frequent than its parts.
+2. N-grams that are marked are cut out of the texts where they occur, and their
    counts are summed once more by the phrase itself, with a pointer to the first
-   occurrence.  So two phrases of one fingerprint are told apart by their text,
+   document.  So two phrases of one fingerprint are told apart by their text,
    and what a full bit table lets through costs time, but changes no result.
 """
 
@@ -26,12 +26,15 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from riskloom.llm.text import slices
 from riskloom.session import stage
 
-#: Bits of the table of marks; it is broadcast, 32 MB at any size of the corpus.
-MARK_BITS = 28
+#: Bits of the table of marks; it is broadcast, 16 MB at any size of the corpus.
+MARK_BITS = 27
 #: Text bytes that a task works on at a time, and bytes of one run of prefix polynomials.
 SLICE_BYTES, RUN_BYTES = 4 << 20, 1 << 20
 #: Fingerprints that a task adds up before it hands them on.
-HELD = 4_000_000
+HELD = 1_000_000
+
+#: Rows of a batch on its way to Spark.
+BATCH_ROWS = 50_000
 
 #: A-Z become a-z.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -188,25 +191,26 @@ class Marks:
 
 def _summed(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     found, counts = np.unique(np.concatenate(parts), return_counts=True)
-    yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts)], ["fingerprint", "n"])
+    for at in range(0, len(found), BATCH_ROWS):
+        part = slice(at, at + BATCH_ROWS)
+        yield pa.RecordBatch.from_arrays([pa.array(found[part].view(np.int64)), pa.array(counts[part])], ["fingerprint", "n"])
 
 
-def _counts(docs: DataFrame, lengths: tuple[int, ...], least: int, marks) -> DataFrame:
-    """Fingerprints of n-grams found ``least`` times or more; longer n-grams only where both shorter parts are marked."""
+def _frequent(docs: DataFrame, n: int, least: int, marks) -> DataFrame:
+    """Fingerprints of n-grams found ``least`` times or more; two words and more only where both shorter parts are marked."""
 
     def run(batches):
-        table = Marks(marks.value) if marks is not None else None
+        table = Marks(marks.value) if n > 1 else None
         held, size = [], 0
         for _, words in _texts(batches):
-            for n in lengths:
-                first, prints = words.grams(n)
-                if table is not None:
-                    shorter, marked = words.grams(n - 1)
-                    good = np.zeros(len(words.starts) + 1, bool)
-                    good[shorter[table.holds(marked)]] = True
-                    prints = prints[good[first] & good[first + 1]]
-                held.append(prints)
-                size += len(prints)
+            first, prints = words.grams(n)
+            if n > 1:
+                shorter, marked = words.grams(n - 1)
+                good = np.zeros(len(words.starts) + 1, bool)
+                good[shorter[table.holds(marked)]] = True
+                prints = prints[good[first] & good[first + 1]]
+            held.append(prints)
+            size += len(prints)
             if size > HELD:
                 yield from _summed(held)
                 held, size = [], 0
@@ -217,11 +221,11 @@ def _counts(docs: DataFrame, lengths: tuple[int, ...], least: int, marks) -> Dat
     return counted.groupBy("fingerprint").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("fingerprint")
 
 
-PHRASES = "lang string, phrase string, words int, n bigint, doc_id {kind}, start bigint"
+PHRASES = "lang string, phrase string, words int, n bigint, doc_id {kind}"
 
 
 def _written_out(docs: DataFrame, longest: int, marks) -> DataFrame:
-    """Marked n-grams as text, with counts and a first occurrence per slice; a null phrase counts all words of a language."""
+    """Marked n-grams as text, with counts and the document of an occurrence per slice; a null phrase counts all words of a language."""
     schema = docs.sparkSession.createDataFrame([], PHRASES.format(kind=docs.schema["doc_id"].dataType.simpleString())).schema
     arrow = to_arrow_schema(schema)
 
@@ -245,7 +249,6 @@ def _written_out(docs: DataFrame, longest: int, marks) -> DataFrame:
                         pa.array(np.full(len(at), n, np.int32)),
                         pa.array(counts),
                         pa.array([doc_ids[t] for t in where.tolist()], arrow.field("doc_id").type),
-                        pa.array(words.starts[at] - words.offsets[where]),
                     ],
                     schema=arrow,
                 )
@@ -253,7 +256,7 @@ def _written_out(docs: DataFrame, longest: int, marks) -> DataFrame:
             for text, count in zip(*(x.tolist() for x in np.unique(words.text, return_counts=True))):
                 totals[langs[text]] = totals.get(langs[text], 0) + count
             empty = [None] * len(totals)
-            made = [list(totals), empty, [0] * len(totals), list(totals.values()), empty, empty]
+            made = [list(totals), empty, [0] * len(totals), list(totals.values()), empty]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(made, arrow)], schema=arrow)
 
     return docs.select("doc_id", "text", "lang").mapInArrow(run, schema)
@@ -262,20 +265,21 @@ def _written_out(docs: DataFrame, longest: int, marks) -> DataFrame:
 def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10) -> DataFrame:
     """lang, phrase, words, n, first: every phrase of one to ``longest`` words found ``least`` times or more in its language.
 
-    ``first`` points at an occurrence: doc_id and the byte where it starts.  A row
+    ``first`` is the smallest doc_id that holds it.  A row
     with a null phrase and 0 words counts all words of a language.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.col("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
-    bits, lengths = np.zeros(1 << (MARK_BITS - 6), np.uint64), (1, 2)[:longest]
-    while lengths[-1] <= longest:
-        marks = spark.sparkContext.broadcast(bits) if lengths[-1] > 2 else None
-        bits = bits | Marks.of(_counts(docs, lengths, least, marks))
-        lengths = (lengths[-1] + 1,)
-    written = _written_out(docs, longest, spark.sparkContext.broadcast(bits))
+    bits, marks = np.zeros(1 << (MARK_BITS - 6), np.uint64), None
+    for n in range(1, longest + 1):
+        bits |= Marks.of(_frequent(docs, n, least, marks))
+        if marks is not None:
+            marks.unpersist()
+        marks = spark.sparkContext.broadcast(bits)
+    written = _written_out(docs, longest, marks)
     return (
         written.groupBy("lang", "phrase", "words")
-        .agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "start")).alias("first"))
+        .agg(F.sum("n").alias("n"), F.min("doc_id").alias("first"))
         .where((F.col("n") >= least) | (F.col("words") == 0))
     )
 
