@@ -6,8 +6,7 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,7 +68,7 @@ def fit_contrastive(
     min_alerts: int = 20,
     min_class: int = 5,
     c: float = 1.0,
-    max_iter: int = 1000,
+    max_iter: int = 50,
 ) -> ContrastiveModel:
     """Balanced logistic regression of the label on rule truths and standardised risk, alerts only."""
     if min_alerts < 1 or min_class < 1:
@@ -112,17 +111,56 @@ def fit_contrastive(
         if failed:
             return ContrastiveModel(reason=reason, **frozen)
     balanced = F.when(F.col("label") == 1, n / (2.0 * positives)).otherwise(n / (2.0 * (n - positives)))
-    design = rows.withColumns({"w": balanced, "risk_z": (F.col("risk") - mean) / std})
-    assembler = VectorAssembler(inputCols=[*[truths[r] for r in rules], "risk_z"], outputCol="features")
-    learner = LogisticRegression(
-        featuresCol="features", labelCol="label", weightCol="w", standardization=False,
-        regParam=1.0 / (c * n), maxIter=max_iter, tol=1e-10,
-    )
-    model = learner.fit(assembler.transform(design))
-    values = [float(v) for v in model.coefficients]
+    design = [F.col(truths[r]) for r in rules] + [(F.col("risk") - mean) / std, F.lit(1.0)]
+    values = newton_logistic(rows, design, F.col("label"), balanced, [1.0 / c] * (len(rules) + 1) + [0.0], max_iter)
     # Numbers that ran away mean no evidence; an error of the cluster is none of these and rises.
-    if not all(math.isfinite(v) for v in (*values, float(model.intercept))):
+    if values is None:
         return ContrastiveModel(reason="logistic_fit_failed", **frozen)
     return ContrastiveModel(
-        coefficients=dict(zip(rules, values)), risk_coefficient=values[-1], intercept=float(model.intercept), **frozen
+        coefficients=dict(zip(rules, values)), risk_coefficient=values[-2], intercept=values[-1], **frozen
     )
+
+
+def newton_logistic(
+    rows: DataFrame, design: Sequence[Column], label: Column, weight: Column, ridge: Sequence[float], max_iter: int
+) -> list[float] | None:
+    """Weighted logistic regression with a ridge per coefficient; one aggregate pass per Newton step.
+
+    Slope and curvature are sums over rows, so a pass returns one row whatever the
+    number of rows.  A step that raises the loss is halved.  None if the numbers
+    are not finite or no step is small after ``max_iter`` passes.
+    """
+    d = len(design)
+    upper = [(i, j) for i in range(d) for j in range(i, d)]
+    penalty = np.array(ridge)
+    at, step = np.zeros(d), np.zeros(d)
+    lowest = math.inf
+    for _ in range(max_iter):
+        margin = F.lit(0.0)
+        for x, b in zip(design, at):
+            margin = margin + F.lit(float(b)) * x
+        chance = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("__m")))
+        sums = rows.select(margin.alias("__m"), label.alias("__y"), weight.alias("__w"), *[x.alias(f"__x{i}") for i, x in enumerate(design)]).agg(
+            F.sum(F.col("__w") * (F.greatest("__m", F.lit(0.0)) + F.log1p(F.exp(-F.abs("__m"))) - F.col("__y") * F.col("__m"))),
+            *[F.sum(F.col("__w") * (chance - F.col("__y")) * F.col(f"__x{i}")) for i in range(d)],
+            *[F.sum(F.col("__w") * chance * (1 - chance) * F.col(f"__x{i}") * F.col(f"__x{j}")) for i, j in upper],
+        ).first()
+        loss = sums[0] + float(penalty @ (at * at)) / 2
+        if not math.isfinite(loss):
+            return None
+        if loss > lowest + 1e-9 * abs(lowest):
+            step = step / 2
+            at = at - step
+            continue
+        lowest = loss
+        curve = np.diag(penalty)
+        for (i, j), v in zip(upper, sums[1 + d :]):
+            curve[i, j] += v
+            curve[j, i] = curve[i, j]
+        step = -np.linalg.solve(curve, np.array(sums[1 : 1 + d]) + penalty * at)
+        if not np.isfinite(step).all():
+            return None
+        at = at + step
+        if np.abs(step).max() < 1e-11:
+            return [float(b) for b in at]
+    return None

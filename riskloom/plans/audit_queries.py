@@ -14,9 +14,9 @@ from riskloom.plans.oracle import MARGIN, NAMES, sigmoid, sql, unpivot_rules
 from riskloom.plans.registry import query
 from riskloom.session import stage, with_constants
 
-TOP_K = 2
+TOP_K = 5
 METHODS = ("unweighted", "audit_weighted", "fp_penalized", "attribution_gated")
-MAX_JACCARD, MAX_RULES = 0.85, 4
+MAX_JACCARD, MAX_RULES = 0.85, 12
 RULE_FEATURES = {r["name"]: sorted({c["feature"] for c in r["conditions"]}) for r in RULES}
 
 
@@ -57,6 +57,7 @@ def audited(spark, sf_dir, *, label: str = "label", rows: DataFrame | None = Non
 
 
 _weights: dict[tuple, audit.Weights] = {}
+_models: dict[tuple, contrastive.ContrastiveModel] = {}
 
 
 def frozen_weights(spark, sf_dir) -> tuple[binding.Audit, audit.Weights]:
@@ -67,10 +68,21 @@ def frozen_weights(spark, sf_dir) -> tuple[binding.Audit, audit.Weights]:
     return binding.audit(spark, sf_dir), _weights[key]
 
 
-def with_evidence(rows: DataFrame, weights: audit.Weights) -> DataFrame:
+def frozen_contrast(spark, sf_dir) -> contrastive.ContrastiveModel:
+    """The logistic evidence of the selected rules, fitted on rule_audit alerts once per application."""
+    key = binding.version(spark, sf_dir)
+    if key not in _models:
+        source, weights = frozen_weights(spark, sf_dir)
+        _models[key] = contrastive.fit_contrastive(
+            source.part("rule_audit"), TRUTHS, weights.rules, label="label", risk="risk", alert="alert", activation=ACTIVATION
+        )
+    return _models[key]
+
+
+def with_evidence(rows: DataFrame, weights: audit.Weights, model: contrastive.ContrastiveModel) -> DataFrame:
     """Evidence of every method and their ensemble on scored rows."""
     columns = evidence.evidence_columns(TRUTHS, weights, METHODS, shares=shares(), activation=ACTIVATION)
-    out = rows.withColumns(columns)
+    out = rows.withColumns(columns | {"contrastive_meta": model.evidence(TRUTHS, "risk")})
     return out.withColumn("guarded_ensemble", evidence.guarded_ensemble(["fp_penalized", "attribution_gated"]))
 
 
@@ -189,6 +201,38 @@ SELECTION_CTES = (*RULE_AUDIT_CTES, OVERLAP, CHOICE)
 WEIGHT_CTES = (*SELECTION_CTES, WEIGHTS)
 
 
+CONTRAST_X = (*[f"u_{n} * rule__{n}" for n in NAMES], "(risk - m) / s", "1.0::double")
+
+
+def newton_sql(features: tuple[str, ...], rows: str, out: str) -> str:
+    """CTEs of a balanced logistic fit on alerts: Newton steps, each solved by elimination over lists."""
+    d = len(features)
+    eliminated = f"""list_reduce(list_prepend(a, list_transform(range(1, {d} + 1), lambda q: a)), lambda acc, other, k:
+      list_transform(acc, lambda r, i: case when i = k - 1 then list_transform(r, lambda v: v / r[k - 1])
+        else list_transform(r, lambda v, j: v - r[k - 1] / acc[k - 1][k - 1] * acc[k - 1][j]) end))"""
+    margin = " + ".join(f"b[{i + 1}] * x{i}" for i in range(d))
+    matrix = ", ".join(
+        "[" + ", ".join(f"sum(w * p * (1 - p) * x{i} * x{j}) + {int(i == j and i < d - 1)}" for j in range(d))
+        + f", sum(w * (p - y) * x{i}) + {int(i < d - 1)} * any_value(b)[{i + 1}]]"
+        for i in range(d)
+    )
+    return f"""
+  cx as materialized (select label as y, case when label = 1 then n / (2.0 * pos) else n / (2.0 * (n - pos)) end as w,
+    {', '.join(f'({x})::double as x{i}' for i, x in enumerate(features))} from {rows}, cz where role = 'rule_audit' and alert),
+  walked as (
+    with recursive fit(step, b) as (
+      select 0, list_transform(range({d}), lambda q: 0.0::double) union all
+      select step + 1, list_transform(b, lambda v, i: v - solved[i][{d + 1}]) from (
+        select step, b, {eliminated} as solved from (
+          select step, any_value(b) as b, [{matrix}] as a
+          from (select f.step, f.b, c.*, 1 / (1 + exp(-({margin}))) as p from fit f, cx c where f.step < 12) group by step)))
+    select b from fit order by step desc limit 1),
+  {out} as materialized (select case when n >= 20 and least(pos, n - pos) >= 5 and s > 1.5e-8 then b end as fitted from walked, cz)"""
+
+
+CZ = "cz as materialized (select avg(risk) as m, stddev_pop(risk) as s, count(*) as n, sum(label) as pos from truth where role = 'rule_audit' and alert)"
+CONTRAST = f"{CZ},{newton_sql(CONTRAST_X, 'evid0', 'contrast')}"
+
 EVIDENCE_CTES = (
     *WEIGHT_CTES,
     f"""
@@ -202,7 +246,10 @@ EVIDENCE_CTES = (
     case when on_any then greatest(0, least(1, {' + '.join(f'p_{n} * rule__{n}' for n in NAMES)})) else 0 end as fp_penalized,
     case when on_any then greatest(0, least(1, {' + '.join(f'p_{n} * rule__{n} * {share_sql(n)}' for n in NAMES)})) else 0 end
       as attribution_gated from sup),
-  evid as materialized (select *, (fp_penalized + attribution_gated) / 2 as guarded_ensemble from evid0)""",
+  {CONTRAST},
+  evid as materialized (select evid0.* exclude ({', '.join(f'u_{n}' for n in NAMES)}), (fp_penalized + attribution_gated) / 2 as guarded_ensemble,
+    case when on_any and fitted is not null then 1 / (1 + exp(-({' + '.join(f'fitted[{i}] * ({x})' for i, x in enumerate(CONTRAST_X, 1))}))) else 0 end as contrastive_meta
+    from evid0, cz, contrast)""",
 )
 
 
@@ -259,14 +306,14 @@ def rule_weights(spark, sf_dir):
 
 @query(
     "evidence_scores",
-    sql("truth", "select txn_id, " + ", ".join(f"round({m}, 6) as {m}" for m in (*METHODS, "guarded_ensemble"))
+    sql("truth", "select txn_id, " + ", ".join(f"round({m}, 6) as {m}" for m in (*METHODS, "contrastive_meta", "guarded_ensemble"))
         + " from evid where role in ('policy_select', 'test')", *EVIDENCE_CTES),
 )
 def evidence_scores(spark, sf_dir):
     """Frozen evidence of policy and test rows."""
     source, weights = frozen_weights(spark, sf_dir)
-    rows = with_evidence(source.part("policy_select", "test"), weights)
-    return rows.select("txn_id", *METHODS, "guarded_ensemble")
+    rows = with_evidence(source.part("policy_select", "test"), weights, frozen_contrast(spark, sf_dir))
+    return rows.select("txn_id", *METHODS, "contrastive_meta", "guarded_ensemble")
 
 
 @query(
@@ -447,19 +494,28 @@ def surrogate_paths(spark, sf_dir):
     return with_constants(table.join(stats, "leaf"), fidelity)
 
 
-@query("contrastive_evidence")
+@query(
+    "contrastive_evidence",
+    sql("truth", "select txn_id, round(contrastive_meta, 6) as contrastive_meta, (select fitted is not null from contrast) as available from evid where role = 'policy_select'",
+        *EVIDENCE_CTES),
+)
 def contrastive_evidence(spark, sf_dir):
     """Logistic evidence of true against false alerts, scored on policy rows."""
-    found = audited(spark, sf_dir)
-    kept = sorted(r["rule"] for r in found.completed.filter("selected").collect())
-    model = contrastive.fit_contrastive(
-        found.source.part("rule_audit"), TRUTHS, kept, label="label", risk="risk", alert="alert", activation=ACTIVATION
-    )
-    rows = found.source.part("policy_select")
+    model = frozen_contrast(spark, sf_dir)
+    rows = binding.audit(spark, sf_dir).part("policy_select")
     return rows.select("txn_id", model.evidence(TRUTHS, "risk").alias("contrastive_meta"), F.lit(model.available).alias("available"))
 
 
-@query("contrastive_coefficients")
+EVERY_RULE = (*[f"rule__{n}" for n in NAMES], "(risk - m) / s", "1.0::double")
+
+
+@query(
+    "contrastive_coefficients",
+    sql("truth", f"""select feature, round(coefficient, 6) as coefficient, round(exp(coefficient), 6) as odds_ratio,
+      round(abs(coefficient), 6) as absolute_coefficient, row_number() over (order by abs(coefficient) desc, place)::int as rank
+      from (select unnest({[*NAMES, "risk_z"]!r}) as feature, unnest(fitted[1:{len(NAMES) + 1}]) as coefficient, unnest(range({len(NAMES) + 1})) as place from contrast)""",
+        CZ, newton_sql(EVERY_RULE, "truth", "contrast")),
+)
 def contrastive_coefficients(spark, sf_dir):
     source = binding.audit(spark, sf_dir)
     model = contrastive.fit_contrastive(

@@ -9,24 +9,24 @@ from riskloom.operators import audit as audit_ops
 from riskloom.operators import controls, evidence, joins, matching, policy, resample
 from riskloom.operators.policy import Guardrails
 from riskloom.plans import binding
-from riskloom.plans.audit_queries import EVIDENCE_CTES, METHODS, audited, frozen_weights, shares, with_evidence
+from riskloom.plans.audit_queries import EVIDENCE_CTES, METHODS, audited, frozen_contrast, frozen_weights, shares, with_evidence
 from riskloom.plans.binding import ACTIVATION, TRUTHS
 from riskloom.plans.oracle import sql
 from riskloom.plans.registry import query
 from riskloom.session import stage, with_constants
 from riskloom.sources import artifacts
 
-ALL_METHODS = (*METHODS, "guarded_ensemble")
+ALL_METHODS = (*METHODS, "contrastive_meta", "guarded_ensemble")
 COVERAGES = (0.05, 0.10, 0.25, 0.50)
 RAILS = Guardrails(minimum_delta=0.005, minimum_support=0.05, minimum_fidelity=0.50)
 NAMES = {"risk": "risk", "alert": "alert", "row_id": "txn_id"}
-BINS, CALIPER = 10, 0.02
+BINS, CALIPER = 20, 0.02
 FOCUS, FOCUS_COVERAGE = "audit_weighted", 0.25
 
 
 def evidenced(spark, sf_dir, *roles: str) -> DataFrame:
     source, weights = frozen_weights(spark, sf_dir)
-    rows = with_evidence(source.part(*roles), weights)
+    rows = with_evidence(source.part(*roles), weights, frozen_contrast(spark, sf_dir))
     return stage(rows.select("txn_id", "event_time", "role", "label", "risk", "alert", *ALL_METHODS), "evidence")
 
 
@@ -92,7 +92,7 @@ CANDIDATES = """
     positives / alerts as aprec from grid left join picked using (role, coverage, method) join base2 using (role, coverage, method)
     left join fid using (role, method))"""
 CANDIDATE_CTES = (*EVIDENCE_CTES, LONG, FIDELITY, CANDIDATES)
-RANK_ORDER = "case method when 'guarded_ensemble' then 0 when 'attribution_gated' then 2 when 'fp_penalized' then 3 when 'audit_weighted' then 4 else 5 end"
+RANK_ORDER = "case method when 'guarded_ensemble' then 0 when 'contrastive_meta' then 1 when 'attribution_gated' then 2 when 'fp_penalized' then 3 when 'audit_weighted' then 4 else 5 end"
 LOCK = f"""
   elig as (select *, prec is not null and prec - sprec > 0.005::double and support / alerts >= 0.05 and support >= want
     and tpm - fpm > 0 and region >= 0.5 and varies as ok from cand where role = 'policy_select'),
@@ -109,8 +109,8 @@ FOCUS_SQL = f"""
       where a.role = 'test' and a.method = '__score_only' and g.method = '{FOCUS}' and g.coverage = {FOCUS_COVERAGE}::double
         and a.rank <= g.got) as baseline
     from evid e where e.alert and e.role = 'test')"""
-EDGES = """
-  edges as materialized (select list_sort(list_distinct(quantile_cont(risk, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9]))) as q
+EDGES = f"""
+  edges as materialized (select list_sort(list_distinct(quantile_cont(risk, {[k / BINS for k in range(1, BINS)]}))) as q
     from evid where alert and role = 'policy_select'),
   binned as materialized (select focus.*, len(list_filter(q, lambda t: risk >= t))::int as risk_bin from focus, edges)"""
 FOCUS_CTES = (*CANDIDATE_CTES, FOCUS_SQL)
@@ -169,12 +169,17 @@ def budget_selection(spark, sf_dir):
       round(wprec, 6) as score_only_requested_budget_precision, round(prec - sprec, 6) as delta_vs_score_only,
       round(1 - sprec, 6) as headroom_after_score_only, round(tpm, 6) as evidence_tp_mean, round(fpm, 6) as evidence_fp_mean,
       round(tpm - fpm, 6) as evidence_tp_fp_gap, round(cutoff, 6) as evidence_cutoff, varies as evidence_varies,
-      round(region, 6) as positive_region_fidelity, round(agree, 6) as alert_conditional_rank_fidelity
-      from cand where role = 'policy_select'""", *CANDIDATE_CTES),
+      round(region, 6) as positive_region_fidelity, round(agree, 6) as alert_conditional_rank_fidelity, reasons = '' as eligible, reasons as ineligible_reasons
+      from (select *, concat_ws(';', case when not varies then 'constant_evidence' end,
+        case when support / alerts < 0.05 then 'insufficient_rule_support' end,
+        case when support < want then 'insufficient_active_rules_for_fixed_budget' end,
+        case when not coalesce(tpm - fpm > 0, false) then 'tp_fp_evidence_guardrail_not_met' end,
+        case when not coalesce(region >= 0.5, false) then 'fidelity_guardrail_not_met' end,
+        case when not coalesce(prec - sprec > 0.005::double, false) then 'score_only_guardrail_not_met' end) as reasons from cand) where role = 'policy_select'""", *CANDIDATE_CTES),
 )
 def policy_candidates(spark, sf_dir):
     rows = evidenced(spark, sf_dir, "policy_select")
-    return policy.policy_candidates(rows, ALL_METHODS, COVERAGES, label="label", **NAMES)
+    return policy.with_eligibility(policy.policy_candidates(rows, ALL_METHODS, COVERAGES, label="label", **NAMES), RAILS)
 
 
 @query(
@@ -463,7 +468,8 @@ def negative_controls(spark, sf_dir):
     return controls.negative_controls(evidenced(spark, sf_dir, "test"), policies, label="label", **NAMES)
 
 
-STABILITY_SEEDS = (42, 123)
+# Seeds of the policy resamples.
+STABILITY_SEEDS = (42, 123, 2026, 1705, 2027)
 
 
 @query("policy_stability")
