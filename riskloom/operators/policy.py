@@ -38,19 +38,20 @@ def ranked_alerts(
     alert: str,
     row_id: str,
     label: str | None = None,
-    weight: str | None = None,
+    weight: Sequence[str] | None = None,
     score_only: bool = True,
 ) -> DataFrame:
     """Long table (method, row id, evidence, risk, rank) of the eligible alerts, written once.
 
     Eligible alerts have positive evidence; ``SCORE_ONLY`` ranks all alerts by risk.  With
-    ``weight`` (rows drawn more than once) ``rank_before`` is the weight ranked ahead of a row.
+    ``weight`` columns (rows drawn more than once, one column a replicate) ``rank_before_<i>`` is
+    the weight ranked ahead of a row: one order serves all replicates.
     """
     entries = [F.struct(F.lit(m).alias("method"), F.col(m).cast("double").alias("evidence")) for m in methods]
     if score_only:
         entries.append(F.struct(F.lit(SCORE_ONLY).alias("method"), F.col(risk).alias("evidence")))
     keep = [F.col(row_id), F.col(risk).alias("risk")]
-    keep += [F.col(c) for c in (label, weight) if c]
+    keep += [F.col(c) for c in (label, *(weight or ())) if c]
     long = (
         rows.filter(F.col(alert))
         .select(*keep, F.explode(F.array(*entries)).alias("e"))
@@ -111,12 +112,11 @@ def policies_from_table(table: DataFrame) -> list[LockedPolicy]:
     return [LockedPolicy(**r.asDict()) for r in table.orderBy("coverage").collect()]
 
 
-def _taken(count: Column | int, weight: str | None) -> Column:
+def _taken(count: int, weight: str | None, before: str) -> Column:
     """How much of a row lies inside the first ``count`` ranked rows."""
     if weight is None:
         return F.when(F.col("rank") <= count, 1).otherwise(0).cast("bigint")
-    limit = F.lit(count) if isinstance(count, int) else count
-    return F.greatest(F.lit(0), F.least(F.col(weight), limit - F.col("rank_before"))).cast("bigint")
+    return F.greatest(F.lit(0), F.least(F.col(weight), F.lit(count) - F.col(before))).cast("bigint")
 
 
 def policy_candidates(
@@ -133,46 +133,72 @@ def policy_candidates(
     ranked: DataFrame | None = None,
 ) -> DataFrame:
     """One row per (method, coverage): counts, precisions, deltas, evidence gap and fidelity."""
+    names = {"label": label, "risk": risk, "alert": alert, "row_id": row_id}
+    weights = None if weight is None else [weight]
+    return replicate_candidates(rows, methods, coverages, weights, fidelity=fidelity, ranked=ranked, **names).drop("replicate")
+
+
+def replicate_candidates(
+    rows: DataFrame,
+    methods: Sequence[str],
+    coverages: Sequence[float],
+    weights: Sequence[str] | None,
+    *,
+    label: str,
+    risk: str,
+    alert: str,
+    row_id: str,
+    fidelity: bool = True,
+    ranked: DataFrame | None = None,
+) -> DataFrame:
+    """The candidates of every replicate, whose row weights are the columns ``weights``; none means one unweighted one.
+
+    All replicates share one ranking and the same passes over the rows, however many there are.
+    """
     spark = rows.sparkSession
-    w = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
+    replicates: list[str | None] = list(weights) if weights is not None else [None]
     y = F.col(label)
     on = F.col(alert)
-    aggregates = [
-        F.sum(F.when(on, w).otherwise(0)).alias("alerts"),
-        F.sum(F.when(on & (y == 1), w).otherwise(0)).alias("positives"),
-    ]
-    for i, m in enumerate(methods):
-        e = F.col(m).cast("double")
+    aggregates = []
+    for r, weight in enumerate(replicates):
+        w = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
         aggregates += [
-            F.sum(F.when(on & (e > 0), w).otherwise(0)).alias(f"s{i}"),
-            F.sum(F.when(on & (y == 1), w * e)).alias(f"t{i}"),
-            F.sum(F.when(on & (y == 0), w * e)).alias(f"f{i}"),
-            F.min(F.when(on & (w > 0), e)).alias(f"lo{i}"),
-            F.max(F.when(on & (w > 0), e)).alias(f"hi{i}"),
+            F.sum(F.when(on, w).otherwise(0)).alias(f"alerts_{r}"),
+            F.sum(F.when(on & (y == 1), w).otherwise(0)).alias(f"positives_{r}"),
         ]
+        for i, m in enumerate(methods):
+            e = F.col(m).cast("double")
+            aggregates += [
+                F.sum(F.when(on & (e > 0), w).otherwise(0)).alias(f"s{i}_{r}"),
+                F.sum(F.when(on & (y == 1), w * e)).alias(f"t{i}_{r}"),
+                F.sum(F.when(on & (y == 0), w * e)).alias(f"f{i}_{r}"),
+                F.min(F.when(on & (w > 0), e)).alias(f"lo{i}_{r}"),
+                F.max(F.when(on & (w > 0), e)).alias(f"hi{i}_{r}"),
+            ]
     facts = rows.agg(*aggregates).first()
-    alerts, positives = int(facts["alerts"] or 0), int(facts["positives"] or 0)
     if ranked is None:
         ranked = stage(
-            ranked_alerts(rows, methods, risk=risk, alert=alert, row_id=row_id, label=label, weight=weight),
+            ranked_alerts(rows, methods, risk=risk, alert=alert, row_id=row_id, label=label, weight=weights),
             "ranked-alerts",
         )
-    requested = {c: budget_count(alerts, c) for c in coverages}
-    # One pass over the ranked rows gives, per method and count, the selected rows, positives and cut-off;
-    # the counts are the requested ones and, for the comparator, every realised one.
-    realised = {(m, c): min(requested[c], int(facts[f"s{i}"] or 0)) for i, m in enumerate(methods) for c in coverages}
-    counts = sorted({*requested.values(), *realised.values()})
-    sums = []
-    for i, n in enumerate(counts):
-        taken = _taken(n, weight)
-        sums += [
-            F.sum(taken).alias(f"n{i}"),
-            F.sum(F.when(y == 1, taken).otherwise(0)).alias(f"y{i}"),
-            F.min(F.when(taken > 0, F.col("evidence"))).alias(f"c{i}"),
-        ]
+    # One pass over the ranked rows gives, per method, replicate and count, the selected rows, positives and
+    # cut-off; the counts are the requested ones and, for the comparator, every realised one.
+    plans, sums = [], []
+    for r, weight in enumerate(replicates):
+        alerts = int(facts[f"alerts_{r}"] or 0)
+        requested = {c: budget_count(alerts, c) for c in coverages}
+        realised = {(m, c): min(requested[c], int(facts[f"s{i}_{r}"] or 0)) for i, m in enumerate(methods) for c in coverages}
+        counts = sorted({*requested.values(), *realised.values()})
+        plans.append((alerts, requested, realised, {n: i for i, n in enumerate(counts)}))
+        for i, n in enumerate(counts):
+            taken = _taken(n, weight, f"rank_before_{r}")
+            sums += [
+                F.sum(taken).alias(f"n{i}_{r}"),
+                F.sum(F.when(y == 1, taken).otherwise(0)).alias(f"y{i}_{r}"),
+                F.min(F.when(taken > 0, F.col("evidence"))).alias(f"c{i}_{r}"),
+            ]
     per = {r["method"]: r for r in ranked.groupBy("method").agg(*sums).collect()}
     score_row = per.get(SCORE_ONLY)
-    at = {n: i for i, n in enumerate(counts)}
 
     def share(a: float, b: float) -> float | None:
         return a / b if b else None
@@ -180,35 +206,37 @@ def policy_candidates(
     def minus(a: float | None, b: float | None) -> float | None:
         return None if a is None or b is None else a - b
 
-    all_precision = share(positives, alerts)
     table = []
-    for i, m in enumerate(methods):
-        support = int(facts[f"s{i}"] or 0)
-        tp_mean = share(facts[f"t{i}"] or 0.0, positives)
-        fp_mean = share(facts[f"f{i}"] or 0.0, alerts - positives)
-        varies = facts[f"lo{i}"] is not None and facts[f"hi{i}"] > facts[f"lo{i}"]
-        for c in coverages:
-            n = realised[m, c]
-            mine = per.get(m)
-            chosen = int(mine[f"n{at[n]}"]) if mine and n else 0
-            hits = int(mine[f"y{at[n]}"]) if mine and n else 0
-            cutoff = float(mine[f"c{at[n]}"]) if mine and n else None
-            precision = share(hits, chosen)
-            score_hits = int(score_row[f"y{at[n]}"]) if score_row and n else 0
-            score_precision = share(score_hits, n)
-            full = requested[c]
-            full_hits = int(score_row[f"y{at[full]}"]) if score_row and full else 0
-            table.append(
-                (
-                    m, float(c), alerts, chosen, full, share(chosen, alerts), chosen < full, support,
-                    share(support, alerts), all_precision, precision, minus(precision, all_precision), n,
-                    score_precision, share(full_hits, full), minus(precision, score_precision),
-                    minus(1.0, score_precision), tp_mean, fp_mean, minus(tp_mean, fp_mean), cutoff, varies,
+    for r, (alerts, requested, realised, at) in enumerate(plans):
+        positives = int(facts[f"positives_{r}"] or 0)
+        all_precision = share(positives, alerts)
+        for i, m in enumerate(methods):
+            support = int(facts[f"s{i}_{r}"] or 0)
+            tp_mean = share(facts[f"t{i}_{r}"] or 0.0, positives)
+            fp_mean = share(facts[f"f{i}_{r}"] or 0.0, alerts - positives)
+            varies = facts[f"lo{i}_{r}"] is not None and facts[f"hi{i}_{r}"] > facts[f"lo{i}_{r}"]
+            for c in coverages:
+                n = realised[m, c]
+                mine = per.get(m)
+                chosen = int(mine[f"n{at[n]}_{r}"]) if mine and n else 0
+                hits = int(mine[f"y{at[n]}_{r}"]) if mine and n else 0
+                cutoff = float(mine[f"c{at[n]}_{r}"]) if mine and n else None
+                precision = share(hits, chosen)
+                score_hits = int(score_row[f"y{at[n]}_{r}"]) if score_row and n else 0
+                score_precision = share(score_hits, n)
+                full = requested[c]
+                full_hits = int(score_row[f"y{at[full]}_{r}"]) if score_row and full else 0
+                table.append(
+                    (
+                        r, m, float(c), alerts, chosen, full, share(chosen, alerts), chosen < full, support,
+                        share(support, alerts), all_precision, precision, minus(precision, all_precision), n,
+                        score_precision, share(full_hits, full), minus(precision, score_precision),
+                        minus(1.0, score_precision), tp_mean, fp_mean, minus(tp_mean, fp_mean), cutoff, varies,
+                    )
                 )
-            )
     candidates = spark.createDataFrame(
         table,
-        "method string, coverage double, alert_count bigint, selected_count bigint, "
+        "replicate int, method string, coverage double, alert_count bigint, selected_count bigint, "
         "requested_selected_count bigint, realized_alert_coverage double, support_shift_underfill boolean, "
         "supported_alert_count bigint, supported_alert_fraction double, all_alert_precision double, "
         "selected_precision double, precision_gain_vs_all_alerts double, score_only_selected_count bigint, "
@@ -223,31 +251,43 @@ def policy_candidates(
                 "alert_conditional_rank_fidelity": F.lit(None).cast("double"),
             }
         )
-    # At most one fidelity row per method.
+    # At most one fidelity row per method and replicate.
+    if weights is None:
+        return candidates.join(F.broadcast(method_fidelity(rows, methods, risk=risk, alert=alert)), "method", "left")
     return candidates.join(
-        F.broadcast(method_fidelity(rows, methods, risk=risk, alert=alert, weight=weight)), "method", "left"
+        F.broadcast(replicate_fidelity(rows, methods, weights, alert=alert)), ["replicate", "method"], "left"
     )
 
 
-def method_fidelity(
-    rows: DataFrame, methods: Sequence[str], *, risk: str, alert: str, weight: str | None = None
-) -> DataFrame:
+def replicate_fidelity(rows: DataFrame, methods: Sequence[str], weights: Sequence[str], *, alert: str) -> DataFrame:
+    """AUC of evidence for being an alert, per replicate; rows are summed once, with a column per weight."""
+    entries = F.array(
+        *[F.struct(F.lit(m).alias("method"), F.col(m).cast("double").alias("score")) for m in methods]
+    )
+    long = rows.select(F.col(alert).alias("on"), *weights, F.explode(entries).alias("e")).select("*", "e.*").drop("e")
+    sums = long.groupBy("method", "score").agg(
+        F.array(*[F.sum(F.when(F.col("on"), F.col(w)).otherwise(0)).cast("bigint") for w in weights]).alias("pos"),
+        F.array(*[F.sum(F.when(F.col("on"), 0).otherwise(F.col(w))).cast("bigint") for w in weights]).alias("neg"),
+    )
+    cells = sums.select("method", "score", F.posexplode(F.arrays_zip("pos", "neg")).alias("replicate", "n"))
+    cells = stage(cells.select("replicate", "method", "score", "n.pos", "n.neg"), "replicate-cells")
+    return ranking_metrics(cells, partition=["replicate", "method"]).select(
+        "replicate", "method", F.col("roc_auc").alias("positive_region_fidelity"),
+        F.lit(None).cast("double").alias("alert_conditional_rank_fidelity"),
+    )
+
+
+def method_fidelity(rows: DataFrame, methods: Sequence[str], *, risk: str, alert: str) -> DataFrame:
     """AUC of evidence for being an alert, and its rank correlation with risk among alerts."""
     entries = F.array(
         *[F.struct(F.lit(m).alias("method"), F.col(m).cast("double").alias("evidence")) for m in methods]
     )
     keep = [F.col(risk).alias("risk"), F.col(alert).cast("int").alias("alert")]
-    if weight:
-        keep.append(F.col(weight))
     long = rows.select(*keep, F.explode(entries).alias("e")).select("*", "e.method", "e.evidence").drop("e")
-    cells = score_cells(
-        long, "evidence", "alert", partition=["method"], weight=F.col(weight) if weight else None
-    )
+    cells = score_cells(long, "evidence", "alert", partition=["method"])
     region = ranking_metrics(cells, partition=["method"]).select(
         "method", F.col("roc_auc").alias("positive_region_fidelity")
     )
-    if weight:
-        return region.withColumn("alert_conditional_rank_fidelity", F.lit(None).cast("double"))
     agree = rank_correlation(long.filter("alert = 1"), "risk", "evidence", partition=["method"]).select(
         "method", F.col("rank_correlation").alias("alert_conditional_rank_fidelity")
     )

@@ -152,14 +152,15 @@ def with_global_rank(
     *,
     partition: Sequence[str] = (),
     out: str = "rank",
-    weight: str | None = None,
+    weight: str | Sequence[str] | None = None,
 ) -> DataFrame:
     """Number the rows 1..n (per partition) by ``order`` with ties broken by md5 of the row id.
 
     Rows with a null partition key are a partition of their own.
 
     ``order`` lists (numeric column, "asc" | "desc").  With ``weight`` the result is
-    the exclusive running weight ``<out>_before`` instead of a rank.  ``df`` should be
+    the exclusive running weight ``<out>_before`` instead of a rank; with several weights
+    (replicates of one order) one column ``<out>_before_<i>`` each.  ``df`` should be
     a staged, narrow table because it is read three times.
     """
     parts = list(partition)
@@ -184,20 +185,26 @@ def with_global_rank(
         F.when(at_point, F.conv(F.substring("__tie", 1, 3), 16, 10).cast("int")).otherwise(F.lit(-1)),
     )
     levels.append("__tie_l")
-    amount = F.col(weight) if weight else F.lit(1).cast("bigint")
-    counts = base.groupBy(*parts, *levels).agg(F.sum(amount).alias("__n"))
+    weights = [] if weight is None else [weight] if isinstance(weight, str) else list(weight)
+    amounts = [F.col(w) for w in weights] or [F.lit(1).cast("bigint")]
+    counts = base.groupBy(*parts, *levels).agg(*[F.sum(a).alias(f"__n{i}") for i, a in enumerate(amounts)])
     earlier = (
         Window.partitionBy(*parts, F.lit(0)).orderBy(*levels).rowsBetween(Window.unboundedPreceding, -1)
     )
-    offsets = counts.select(*parts, *levels, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__offset"))
+    offsets = counts.select(
+        *parts, *levels, *[F.coalesce(F.sum(f"__n{i}").over(earlier), F.lit(0)).alias(f"__offset{i}") for i in range(len(amounts))]
+    )
     inside = Window.partitionBy(*parts, *levels).orderBy(*keys, "__tie")
     joined = null_safe_join(base, offsets, [*parts, *levels])
-    if weight:
-        running = F.sum(amount).over(inside.rowsBetween(Window.unboundedPreceding, -1))
-        ranked = joined.withColumn(f"{out}_before", F.col("__offset") + F.coalesce(running, F.lit(0)))
+    if weights:
+        running = inside.rowsBetween(Window.unboundedPreceding, -1)
+        names = [f"{out}_before"] if isinstance(weight, str) else [f"{out}_before_{i}" for i in range(len(weights))]
+        ranked = joined.withColumns(
+            {n: F.col(f"__offset{i}") + F.coalesce(F.sum(a).over(running), F.lit(0)) for i, (n, a) in enumerate(zip(names, amounts))}
+        )
     else:
-        ranked = joined.withColumn(out, F.col("__offset") + F.row_number().over(inside))
-    scratch = [*keys, *[f"{k}_b" for k in keys], *levels, "__tie", "__n", "__offset"]
+        ranked = joined.withColumn(out, F.col("__offset0") + F.row_number().over(inside))
+    scratch = [*keys, *[f"{k}_b" for k in keys], *levels, "__tie", *[f"__offset{i}" for i in range(len(amounts))]]
     return ranked.drop(*scratch)
 
 

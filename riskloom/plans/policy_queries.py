@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.functions.hashing import MERSENNE_31, POISSON_1, replicate_coefficients
 from riskloom.operators import audit as audit_ops
 from riskloom.operators import controls, evidence, joins, matching, policy, resample
 from riskloom.operators.policy import Guardrails
@@ -367,8 +368,6 @@ P_REPS = 300
 
 
 def _pr_sql() -> str:
-    from riskloom.functions.hashing import MERSENNE_31, POISSON_1, replicate_coefficients
-
     pairs = ", ".join(
         f"{{'rep': {r}, 'a': {a}, 'b': {b}}}" for r, (a, b) in ((r, replicate_coefficients(42, r)) for r in range(P_REPS))
     )
@@ -472,14 +471,80 @@ def negative_controls(spark, sf_dir):
 STABILITY_SEEDS = (42, 123, 2026, 1705, 2027)
 
 
-@query("policy_stability")
+def _seeds_sql() -> str:
+    """CTEs of the policy locked again on every weighted resample of the policy rows."""
+    coefficients = ", ".join(
+        f"{{'seed': {s}, 'a': {a}, 'b': {b}}}" for s, (a, b) in ((s, replicate_coefficients(s, 0)) for s in STABILITY_SEEDS)
+    )
+    weight = "case " + " ".join(f"when u < {p!r}::double then {k}" for k, p in enumerate(POISSON_1)) + f" else {len(POISSON_1)} end"
+    entries = ", ".join(f"{{'m': '{m}', 'v': {m}::double}}" for m in ALL_METHODS)
+    earlier = "rows between unbounded preceding and 1 preceding"
+    return f"""
+  sdraw as (select txn_id, label as y, risk, alert, {', '.join(ALL_METHODS)}, unnest([{coefficients}]) as c,
+    (('0x' || substr(md5(txn_id), 1, 12))::bigint % {MERSENNE_31}) as n31 from evid where role = 'policy_select'),
+  sw as materialized (select *, {weight} as w from (select *, c.seed as seed, ((n31 * c.a + c.b) % {MERSENNE_31}) / {MERSENNE_31}.0::double as u from sdraw)),
+  sarows as materialized (select seed, txn_id, y, risk, w, unnest([{entries}, {{'m': '__score_only', 'v': risk}}]) as e from sw where alert),
+  slong as materialized (select seed, y, w, e.m as method, e.v as ev, coalesce(sum(w) over (partition by seed, e.m
+    order by e.v desc, risk desc, md5(txn_id) {earlier}), 0) as before from sarows where e.m = '__score_only' or e.v > 0),
+  sna as (select seed, sum(w) as alerts from sw where alert group by 1),
+  ssize as (select seed, coverage, alerts, least(alerts, greatest(1, ceil(coverage * alerts)))::bigint as want from sna, cov),
+  ssup as (select seed, method, sum(w) as support from slong where method <> '__score_only' group by 1, 2),
+  smean as (select seed, e.m as method, sum(w * y * e.v) / sum(w * y) - sum(w * (1 - y) * e.v) / sum(w * (1 - y)) as gap,
+    max(case when w > 0 then e.v end) > min(case when w > 0 then e.v end) as varies from sarows where e.m <> '__score_only' group by 1, 2),
+  sgrid as materialized (select z.*, method, coalesce(support, 0) as support, least(want, coalesce(support, 0)) as got, gap, varies
+    from ssize z join smean using (seed) left join ssup using (seed, method)),
+  spick as (select g.seed, g.coverage, g.method, sum(case when l.method = g.method then y * greatest(0, least(w, g.got - before)) end) as hits,
+    sum(case when l.method = '__score_only' then y * greatest(0, least(w, g.got - before)) end) as shits
+    from sgrid g join slong l on l.seed = g.seed and l.method in (g.method, '__score_only') group by 1, 2, 3),
+  scell as (select seed, e.m as method, e.v as v, sum(w * alert::int) as p, sum(w * (1 - alert::int)) as n
+    from (select seed, w, alert, unnest([{entries}]) as e from sw) group by all),
+  sauc as (select seed, method, sum(p * (below + n / 2.0)) / sum(p) / sum(n) as region from (
+    select *, coalesce(sum(n) over (partition by seed, method order by v {earlier}), 0) as below from scell) group by 1, 2),
+  sbest as materialized (select *, hits / got as prec, shits / got as sprec from sgrid join spick using (seed, coverage, method) join sauc using (seed, method)
+    where got > 0 and hits / got - shits / got > 0.005::double and support / alerts >= 0.05 and support >= want and gap > 0 and region >= 0.5 and varies
+    qualify row_number() over (partition by seed, coverage order by hits / got - shits / got desc, hits / got desc, gap desc, {RANK_ORDER}, method) = 1),
+  spair as materialized (select z.seed, z.coverage, b.method as mine, b.prec - b.sprec as d, l.method as other
+    from ssize z join lockd l using (coverage) left join sbest b on b.seed = z.seed and b.coverage = z.coverage),
+  sover as (select coverage, mine, other, count(*) filter (has = 2) / count(*) as jaccard from (
+    select p.coverage, p.mine, p.other, a.txn_id, count(distinct a.method) as has from (select distinct coverage, mine, other from spair where mine <> other) p
+      join along a on a.role = 'policy_select' and a.method in (p.mine, p.other)
+      join sizes2 z on z.role = a.role and z.coverage = p.coverage where a.rank <= z.want group by 1, 2, 3, 4) group by 1, 2, 3),
+  stab as materialized (select p.seed, p.coverage, p.mine, p.other, p.d, f.got, f.prec, f.sprec, f.alerts,
+      case when p.mine is not distinct from p.other then 1 when p.mine is not null and p.other is not null then o.jaccard
+        else (select (c.got = 0)::int from cand c where c.role = 'policy_select' and c.coverage = p.coverage and c.method = coalesce(p.mine, p.other)) end as jaccard
+    from spair p left join sover o on o.coverage = p.coverage and o.mine = p.mine and o.other = p.other
+    left join cand f on f.role = 'policy_select' and f.coverage = p.coverage and f.method = p.mine)"""
+
+
+STABILITY = _seeds_sql()
+
+
+@query(
+    "policy_stability",
+    sql("truth", """select seed, coverage, mine as method, mine is null as abstain, round(d, 6) as validation_delta_vs_score_only, other as reference_method,
+      other is null as reference_abstain, mine is not distinct from other as method_matches_reference, (mine is null) = (other is null) as abstention_matches_reference,
+      coalesce(got, 0)::bigint as full_validation_selected_count, round(coalesce(got / alerts, 0), 6) as full_validation_realized_coverage,
+      round(jaccard, 6) as full_validation_selection_jaccard, round(prec, 6) as full_validation_selected_precision,
+      round(sprec, 6) as full_validation_score_only_precision, round(prec - sprec, 6) as full_validation_delta_vs_score_only from stab""", *LOCK_CTES, STABILITY),
+)
 def policy_stability(spark, sf_dir):
     """The policy locked again on weighted resamples and applied to the unchanged rows."""
     rows = evidenced(spark, sf_dir, "policy_select")
     return resample.policy_stability(rows, ALL_METHODS, COVERAGES, RAILS, label="label", seeds=STABILITY_SEEDS, **NAMES)
 
 
-@query("stability_guard")
+@query(
+    "stability_guard",
+    sql("truth", """select coverage, case when kept then method end as method, not kept as abstain,
+      case when abstain then 'no_method_beats_score_only_guardrail' when kept then 'validation_guardrails_passed'
+        else 'validation_policy_stability_guardrail_not_met' end as reason, alerts as validation_alert_count,
+      case when kept then got else 0 end::bigint as validation_selected_count, round(aprec, 6) as validation_all_alert_precision,
+      round(case when abstain then wprec else sprec end, 6) as validation_score_only_precision, round(case when kept then prec end, 6) as validation_selected_precision,
+      round(case when kept then prec - sprec end, 6) as validation_delta_vs_score_only, round(case when kept then cutoff end, 6) as validation_evidence_cutoff,
+      0.005::double as minimum_score_only_delta
+      from (select *, not abstain and share >= 0.6 as kept from lockd join (select coverage, avg((mine is not distinct from other
+        and coalesce(prec - sprec > 0.005::double, false))::int) as share from stab group by 1) using (coverage))""", *LOCK_CTES, STABILITY),
+)
 def stability_guard(spark, sf_dir):
     """Locked policies after abstaining where resamples disagree."""
     rows, policies = locked(spark, sf_dir)
