@@ -126,10 +126,11 @@ def audit_rules(
     attribution: DataFrame | None = None,
     registry: DataFrame | None = None,
     criteria: Mapping[str, float] | None = None,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Pass/fail checks and the composite score of each rule, from ``alert_statistics``.
 
-    All inputs hold one row per rule (and scope), so the joins here are small.
+    ``by`` names further keys of all inputs, such as a seed or a predictor.  All inputs hold one row per rule (and scope), so the joins here are small.
     """
     limits = {**CRITERIA, **(criteria or {})}
     cells = []
@@ -139,11 +140,11 @@ def audit_rules(
             cells += [
                 F.max(F.when(here, F.col(c))).alias(f"{name}_{scope}_{c}") for c in (*STATISTICS, "positives")
             ]
-    table = statistics.groupBy("rule").agg(*cells)
+    table = statistics.groupBy(*by, "rule").agg(*cells)
     if attribution is None:
         table = table.withColumns({"hit_rate": F.lit(None).cast("double"), "share": F.lit(None).cast("double")})
     else:
-        table = table.join(attribution, "rule", "left")
+        table = table.join(attribution, [*by, "rule"], "left")
     for role in ("train", "audit"):
         for c in ("rows", "positives", "active_count"):
             table = table.withColumn(f"{role}_alert_{c}", F.coalesce(F.col(f"{role}_alert_{c}"), F.lit(0)))

@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.operators import attribution, audit, contrastive, counterfactual, evidence, quality, resample, rules, trees
+from riskloom.functions.hashing import MERSENNE_31, POISSON_1, replicate_coefficients
+from riskloom.operators import attribution, audit, contrastive, counterfactual, evidence, quality, rules, survival, trees
 from riskloom.plans import binding
 from riskloom.plans.binding import ACTIVATION, RULE_NAMES, RULES, SCORECARD, TRUTHS
 from riskloom.plans.oracle import MARGIN, NAMES, sigmoid, sql, unpivot_rules
@@ -157,20 +158,20 @@ OVERLAP = f"""
     for a in NAMES for b in NAMES if a != b)})"""
 
 
-def choice_sql(most: int, pool: str = "true", n: str = "") -> str:
+def choice_sql(most: int, pool: str = "true", n: str = "", audited: str = "audited", overlap: str = "overlap") -> str:
     """CTEs of the greedy choice, which visits one rule of the pool per step, by score."""
     return f"""
-  queue{n} as materialized (select rule, row_number() over (order by score desc, rule) as k from audited where failures = '' and {pool}),
+  queue{n} as materialized (select rule, row_number() over (order by score desc, rule) as k from {audited} where failures = '' and {pool}),
   walk{n} as (
     with recursive w(k, kept, decided) as (
       select 0, []::varchar[], []::struct(rule varchar, status varchar, top double)[] union all
       select q.k::int,
-        case when len(kept) < {most} and not exists (select 1 from overlap where ra = q.rule and list_contains(kept, rb) and j > {MAX_JACCARD})
+        case when len(kept) < {most} and not exists (select 1 from {overlap} where ra = q.rule and list_contains(kept, rb) and j > {MAX_JACCARD})
           then list_append(kept, q.rule) else kept end,
         list_append(decided, {{'rule': q.rule,
-          'status': case when exists (select 1 from overlap where ra = q.rule and list_contains(kept, rb) and j > {MAX_JACCARD})
+          'status': case when exists (select 1 from {overlap} where ra = q.rule and list_contains(kept, rb) and j > {MAX_JACCARD})
             then 'redundant' when len(kept) < {most} then 'selected' else 'rule_budget_exceeded' end,
-          'top': coalesce((select max(j) from overlap where ra = q.rule and list_contains(kept, rb)), 0)}})
+          'top': coalesce((select max(j) from {overlap} where ra = q.rule and list_contains(kept, rb)), 0)}})
       from w join queue{n} q on q.k = w.k + 1)
     select kept, decided from w order by k desc limit 1),
   decisions{n} as materialized (select d.rule, d.status, d.top from (select unnest(decided) as d from walk{n}))"""
@@ -377,59 +378,60 @@ def independent_pools(spark, sf_dir):
     return out
 
 
-@query("audit_stability")
+# Seeds of the audit resamples.
+AUDIT_SEEDS = (42, 123, 2026, 1705, 2027)
+
+
+def _survival_sql() -> tuple[str, list[str]]:
+    coefficients = ", ".join(
+        f"{{'seed': {s}, 'a': {a}, 'b': {b}}}" for s, (a, b) in ((s, replicate_coefficients(s, 0)) for s in AUDIT_SEEDS)
+    )
+    weight = "case " + " ".join(f"when u < {p!r}::double then {k}" for k, p in enumerate(POISSON_1)) + f" else {len(POISSON_1)} end"
+    rules = " union all ".join(
+        f"select seed, '{n}' as rule, w, label as y, rule__{n} >= 0.6 as hot, {hit_sql(n)} as hit, {share_sql(n)} as share from rw" for n in NAMES
+    )
+    overlap = " union all ".join(
+        f"select seed, '{a}' as ra, '{b}' as rb, coalesce(sum(case when rule__{a} >= 0.6 and rule__{b} >= 0.6 then w end), 0) "
+        f"/ nullif(sum(case when rule__{a} >= 0.6 or rule__{b} >= 0.6 then w end), 0) as j from rw group by 1"
+        for a in NAMES for b in NAMES if a != b
+    )
+    ctes = [
+        f"""
+  rdraw as (select *, unnest([{coefficients}]) as c, (('0x' || substr(md5(txn_id), 1, 12))::bigint % {MERSENNE_31}) as n31 from attr where role = 'rule_audit' and alert),
+  rw as materialized (select *, {weight} as w from (select *, c.seed as seed, ((n31 * c.a + c.b) % {MERSENNE_31}) / {MERSENNE_31}.0::double as u from rdraw)),
+  rsums as (select seed, rule, sum(w) as n, sum(w * y) as p, coalesce(sum(case when hot then w end), 0) as act, coalesce(sum(case when hot then w * y end), 0) as actp,
+    sum(case when hot then w * hit end) / nullif(sum(case when hot then w end), 0) as hit, sum(case when hot then w * share end) / nullif(sum(case when hot then w end), 0) as share
+    from ({rules}) group by 1, 2),
+  rstats as (select *, act / n as coverage, actp / nullif(act, 0) - p / n as gain, actp / nullif(act, 0) / (p / n) as lift,
+    (act - actp) / nullif(n - p, 0) as fpa, actp / nullif(p, 0) - (act - actp) / nullif(n - p, 0) as gap from rsums),
+  raudit as materialized (select seed, rule, a.coverage, a.lift, {SCORE} as score, {FAILURES} as failures
+    from rstats a join stats t using (rule) where t.role = 'train' and t.scope = 'alert'),
+  roverlap as materialized (select seed, ra, rb, coalesce(j, 1) as j from ({overlap}))"""
+    ]
+    parts = []
+    for s in AUDIT_SEEDS:
+        n = f"_s{s}"
+        ctes.append(f"aud{n} as materialized (select * from raudit where seed = {s}), over{n} as materialized (select * from roverlap where seed = {s})")
+        ctes.append(choice_sql(MAX_RULES, n=n, audited=f"aud{n}", overlap=f"over{n}"))
+        parts.append(f"select {s} as seed, rule, score, coverage, lift from decisions{n} join aud{n} using (rule) where status = 'selected'")
+    chosen = " union all ".join(parts)
+    body = f"""select seed::int as seed, count(rule)::int as selected_rule_count, any_value(k)::int as reference_selected_rule_count,
+      count(rule) filter (list_contains(ref, rule))::int as surviving_reference_rule_count, round(count(rule) filter (list_contains(ref, rule)) / any_value(k), 6) as reference_rule_survival_rate,
+      round(count(rule) filter (list_contains(ref, rule)) / (any_value(k) + count(rule) - count(rule) filter (list_contains(ref, rule))), 6) as selected_rule_jaccard,
+      list_sort(list(rule)) as selected_rules, round(avg(score), 6) as mean_selected_audit_score, round(avg(coverage), 6) as mean_selected_audit_alert_coverage,
+      round(avg(lift), 6) as mean_selected_audit_alert_lift
+      from ({chosen}), (select list(rule) as ref, count(*) as k from decisions where status = 'selected') group by 1"""
+    return body, ctes
+
+
+@query("audit_stability", sql("truth", _survival_sql()[0], *SELECTION_CTES, *_survival_sql()[1]))
 def audit_stability(spark, sf_dir):
     """Which selected rules survive when the audit alerts are resampled."""
     found = audited(spark, sf_dir)
-    seeds = (42, 123, 2026)
     reference = [r["rule"] for r in found.completed.filter("selected").select("rule").collect()]
-    return rule_survival(found, reference, seeds)
-
-
-def rule_survival(found: Audited, reference: list[str], seeds) -> DataFrame:
-    spark = found.table.sparkSession
-    alerts = found.source.part("rule_audit").filter("alert")
-    train = found.table.select("rule", *[c for c in found.table.columns if c.startswith("train_")])
-    rows = []
-    for seed in seeds:
-        drawn = stage(alerts.withColumn("w", resample.resample_weight("txn_id", seed)).filter("w > 0"), "drawn")
-        table = stage(resampled_audit(drawn, train), "resampled-audit")
-        histogram = quality.pattern_histogram(drawn, list(TRUTHS.values()), [ACTIVATION], "label", F.lit(True), weight="w")
-        completed = audit.remove_redundant(
-            table, quality.rule_overlap(histogram, RULE_NAMES), max_jaccard=MAX_JACCARD, max_rules=MAX_RULES
-        )
-        kept = completed.filter("selected").select("rule", "audit_alert_score", "audit_alert_coverage", "audit_alert_lift").collect()
-        names = sorted(r["rule"] for r in kept)
-        shared = set(names) & set(reference)
-
-        def mean(column):
-            values = [r[column] for r in kept if r[column] is not None]
-            return sum(values) / len(values) if values else None
-
-        rows.append(
-            (seed, len(names), len(reference), len(shared), len(shared) / len(reference) if reference else None,
-             audit.selected_jaccard(names, reference), names, mean("audit_alert_score"), mean("audit_alert_coverage"),
-             mean("audit_alert_lift"))
-        )
-    return spark.createDataFrame(
-        rows,
-        "seed int, selected_rule_count int, reference_selected_rule_count int, surviving_reference_rule_count int, "
-        "reference_rule_survival_rate double, selected_rule_jaccard double, selected_rules array<string>, "
-        "mean_selected_audit_score double, mean_selected_audit_alert_coverage double, mean_selected_audit_alert_lift double",
-    )
-
-
-def resampled_audit(drawn: DataFrame, train: DataFrame) -> DataFrame:
-    """Audit table of weighted alerts against the unchanged training statistics."""
-    counts = quality.rule_counts(drawn, TRUTHS, "label", ACTIVATION, weight="w")
-    statistics = audit.weighted_statistics(counts).withColumns({"role": F.lit("rule_audit"), "scope": F.lit("alert")})
-    old = train.select(
-        "rule", *[F.col(f"train_alert_{c}").alias(c) for c in (*audit.STATISTICS, "positives")],
-        F.lit("train").alias("role"), F.lit("alert").alias("scope"),
-    )
-    rates = audit.attribution_rates(drawn, TRUTHS, hits(), shares(), activation=ACTIVATION, weight=F.col("w"))
-    return audit.audit_rules(
-        statistics.unionByName(old), part="role", train="train", audit="rule_audit", attribution=rates
+    return survival.rule_survival(
+        found.source.part("rule_audit").filter("alert"), found.table, reference, TRUTHS, hits(), shares(),
+        label="label", row_id="txn_id", seeds=AUDIT_SEEDS, activation=ACTIVATION, max_jaccard=MAX_JACCARD, max_rules=MAX_RULES,
     )
 
 
