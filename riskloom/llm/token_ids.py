@@ -17,7 +17,7 @@ import numpy as np
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
-#: Chunks a worker remembers; beyond that it starts anew.
+#: Chunks a worker remembers in each of two generations; when the younger is full it becomes the older one.
 REMEMBERED = 300_000
 #: Longer chunks are encoded each time and not remembered.
 LONG_CHUNK = 64
@@ -68,6 +68,7 @@ class TextEncoder:
         bytes_as_text = ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {c: bytes_as_text.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)}
         self.chunks: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -82,11 +83,14 @@ class TextEncoder:
         """The ids of every wanted chunk; most are remembered already."""
         missing = wanted.difference(self.chunks)
         if len(self.chunks) + len(missing) > REMEMBERED:
-            self.chunks, self.pieces = {}, {}
+            self.older, self.chunks, self.pieces = self.chunks, {}, {}
             missing = wanted
         made, hard = {}, []
-        pieces = self.pieces
+        pieces, older = self.pieces, self.older
         for chunk in missing:
+            if chunk in older:
+                made[chunk] = older[chunk]
+                continue
             text = chunk.decode()
             if LATIN.fullmatch(text) is None or self.special in text:
                 hard.append(chunk)

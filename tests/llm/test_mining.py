@@ -212,3 +212,13 @@ def test_piece_digests(spark, corpus, pieces, edge_rows):
     whole = sentence_pieces.encode_pieces(corpus([(1, "a b"), (2, None)]), piece_model()).orderBy("doc_id").collect()
     assert [(r["piece_ids"], r["decoded"]) for r in whole] == [(pieces.library.encode("a b"), "a b"), ([], "")]
     assert sentence_pieces.encoding_digests(corpus([]), piece_model()).collect() == []
+
+
+def test_chunks_of_an_older_generation_keep_their_ids(monkeypatch):
+    from riskloom.llm import token_ids
+    from riskloom.llm.queries import default_tokenizer
+
+    texts = [" ".join(f"word{i * k} don't É{k}" for i in range(30)).encode() for k in range(12)]
+    monkeypatch.setattr(token_ids, "REMEMBERED", 45)
+    own = token_ids.TextEncoder(default_tokenizer())
+    assert [ids for t in texts * 2 for ids in own.encode_texts([t])] == own.whole([t.decode() for t in texts * 2])
