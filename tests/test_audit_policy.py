@@ -339,3 +339,60 @@ def test_pr_auc_bootstrap_equals_brute_force(spark, monkeypatch):
     assert got["observed_difference"] == pytest.approx(difference(np.ones(300)))
     assert got["bootstrap_mean"] == pytest.approx(np.mean(draws)) and got["ci_low"] == pytest.approx(np.quantile(draws, 0.025))
     assert got["valid_iterations"] == 20
+
+
+def test_newton_logistic_has_no_slope_left(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 2))
+    y = (rng.random(300) < 1 / (1 + np.exp(-(2 * x[:, 0] - x[:, 1])))).astype(float)
+    w = rng.uniform(0.5, 2, 300)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in np.column_stack([x, y, w])], "a double, b double, y double, w double")
+    design = [F.col("a"), F.col("b"), F.lit(1.0)]
+    fit = contrastive.newton_logistic(df, design, F.col("y"), F.col("w"), [1.0, 1.0, 0.0], 50)
+    full = np.column_stack([x, np.ones(300)])
+    p = 1 / (1 + np.exp(-full @ fit))
+    assert np.abs(full.T @ (w * (p - y)) + np.array([1, 1, 0]) * fit).max() < 1e-8
+    assert contrastive.newton_logistic(df, design, F.col("y"), F.col("w"), [1.0, 1.0, 0.0], 2) is None
+
+
+def test_replicates_in_one_pass_equal_one_at_a_time(spark):
+    rng = random.Random(12)
+    rows = [(f"t{i}", round(rng.random(), 2), rng.random() < 0.7, rng.randrange(2), round(max(0.0, rng.random() - 0.2), 1), round(rng.random(), 1), rng.randrange(4), rng.randrange(3)) for i in range(240)]
+    df = stage(spark.createDataFrame(rows, "id string, risk double, alert boolean, y int, m1 double, m2 double, w0 int, w1 int"), "replicates")
+    names = {"label": "y", "risk": "risk", "alert": "alert", "row_id": "id"}
+    together = policy.replicate_candidates(df, ["m1", "m2"], [0.1, 0.5], ["w0", "w1"], **names).collect()
+    for i in (0, 1):
+        # rows repeated as often as their weight says
+        repeated = df.where(f"w{i} > 0").withColumn("k", F.explode(F.sequence(F.lit(1), F.col(f"w{i}"))))
+        repeated = stage(repeated.withColumn("id", F.concat_ws("#", "id", "k")), "repeated")
+        alone = {(r["method"], r["coverage"]): r for r in policy.policy_candidates(repeated, ["m1", "m2"], [0.1, 0.5], **names).collect()}
+        mine = [r for r in together if r["replicate"] == i]
+        assert len(mine) == 4
+        for r in mine:
+            other = alone[r["method"], r["coverage"]]
+            for c in ("alert_count", "selected_count", "supported_alert_count", "evidence_cutoff", "evidence_tp_fp_gap", "positive_region_fidelity", "all_alert_precision"):
+                assert r[c] == pytest.approx(other[c]), c
+
+
+def test_survival_equals_repeated_alerts(spark):
+    from riskloom.operators import quality, resample, survival
+
+    rng = random.Random(13)
+    rows = [(f"t{i}", rng.randrange(2), rng.random(), rng.random()) for i in range(200)]
+    alerts = stage(spark.createDataFrame(rows, "id string, y int, rule__a double, rule__b double"), "alerts")
+    truths, hit = {"a": "rule__a", "b": "rule__b"}, {"a": F.col("rule__b"), "b": F.lit(1.0)}
+    patterns = survival.resampled_patterns(alerts, truths, hit, hit, label="y", row_id="id", seeds=[3, 4])
+    for seed in (3, 4):
+        drawn = alerts.withColumn("w", resample.resample_weight("id", seed)).where("w > 0")
+        counts = {r["rule"]: r for r in quality.rule_counts(drawn, truths, "y", 0.6, weight="w").collect()}
+        cells = [r for r in patterns.collect() if r["seed"] == seed]
+        for k, rule in enumerate("ab"):
+            on = [c for c in cells if c["pattern"][k] == "1"]
+            assert sum(c["n"] for c in on) == counts[rule]["active"]
+            assert sum(c["n"] for c in on if c["y"] == 1) == counts[rule]["active_positives"]
+            assert sum(c["n"] for c in cells) == counts[rule]["rows"]
+        rates = {r["rule"]: r for r in audit.attribution_rates(drawn, truths, hit, hit, weight=F.col("w")).collect()}
+        on = [c for c in cells if c["pattern"][0] == "1"]
+        assert sum(c["h"][0] for c in on) / sum(c["n"] for c in on) == pytest.approx(rates["a"]["hit_rate"])
