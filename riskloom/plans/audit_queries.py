@@ -196,7 +196,7 @@ def _in_pool(pool: str) -> str:
     return f"rule in ({', '.join(repr(r) for r in POOLS[pool])})"
 
 
-POOL_CTES = tuple(part for pool in POOLS for part in (choice_sql(2, _in_pool(pool), f"_{pool}"), weights_sql(f"_{pool}")))
+POOL_CTES = tuple(part for pool in POOLS for part in (choice_sql(MAX_RULES, _in_pool(pool), f"_{pool}"), weights_sql(f"_{pool}")))
 RULE_AUDIT_CTES = (STATS, ATTRIBUTED, AUDITED)
 SELECTION_CTES = (*RULE_AUDIT_CTES, OVERLAP, CHOICE)
 WEIGHT_CTES = (*SELECTION_CTES, WEIGHTS)
@@ -369,7 +369,7 @@ def independent_pools(spark, sf_dir):
     found = audited(spark, sf_dir)
     out = None
     for pool, names in POOLS.items():
-        chosen = audit.remove_redundant(found.table, found.overlap, rules=names, max_jaccard=MAX_JACCARD, max_rules=2)
+        chosen = audit.remove_redundant(found.table, found.overlap, rules=names, max_jaccard=MAX_JACCARD, max_rules=MAX_RULES)
         weights = audit.rule_weights(chosen)
         part = chosen.select("rule", "selection_status").join(weights, "rule", "left").select(
             F.lit(pool).alias("pool"), "rule", "selection_status", "audit_weight", "fp_penalized_weight"
