@@ -42,25 +42,25 @@ def _share(a: Column, b: Column) -> Column:
 
 def alert_statistics(
     df: DataFrame, truths: Mapping[str, str], label: str, alert: str, part: str, *, activation: float = 0.6,
-    auc: bool = True,
+    auc: bool = True, by: Sequence[str] = (),
 ) -> DataFrame:
-    """Rule statistics per part, once over all rows and once over alerts.
+    """Rule statistics per part (and ``by``), once over all rows and once over alerts.
 
     Counts come from one pass grouped by (part, alert); AUCs, which no check uses, from value counts.
     """
-    counts = rule_counts(df, truths, label, activation, by=[part, alert])
+    counts = rule_counts(df, truths, label, activation, by=[*by, part, alert])
     scopes = F.when(F.col(alert), F.array(F.lit("population"), F.lit("alert"))).otherwise(
         F.array(F.lit("population"))
     )
-    keys = [part, "scope", "rule"]
+    keys = [*by, part, "scope", "rule"]
     sums = (
         counts.select("*", F.explode(scopes).alias("scope"))
         .groupBy(*keys)
         .agg(*[F.sum(c).alias(c) for c in ("rows", "positives", "active", "active_positives", "truth_sum")])
     )
     if not auc:
-        return weighted_statistics(sums, [part, "scope"])
-    cells = rule_cells(df, truths, label, by=[part, alert])
+        return weighted_statistics(sums, [*by, part, "scope"])
+    cells = rule_cells(df, truths, label, by=[*by, part, alert])
     merged = (
         cells.select("*", F.explode(scopes).alias("scope"))
         .groupBy(*keys, "score")
@@ -69,7 +69,7 @@ def alert_statistics(
     areas = ranking_metrics(stage(merged, "rule-cells"), partition=keys).select(
         *keys, F.col("roc_auc").alias("rule_auc")
     )
-    return weighted_statistics(sums, [part, "scope"]).drop("rule_auc").join(areas, keys, "left")
+    return weighted_statistics(sums, [*by, part, "scope"]).drop("rule_auc").join(areas, keys, "left")
 
 
 def weighted_statistics(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -97,9 +97,9 @@ def weighted_statistics(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def attribution_rates(
     df: DataFrame, truths: Mapping[str, str], hits: Mapping[str, Column], shares: Mapping[str, Column],
-    *, activation: float = 0.6, weight: Column | None = None,
+    *, activation: float = 0.6, weight: Column | None = None, by: Sequence[str] = (),
 ) -> DataFrame:
-    """Mean attribution hit and share of each rule over its active rows of ``df`` (alerts)."""
+    """Mean attribution hit and share of each rule over its active rows of ``df`` (alerts), per ``by``."""
     aggregates = []
     w = F.lit(1.0) if weight is None else weight.cast("double")
     for i, (rule, column) in enumerate(truths.items()):
@@ -114,7 +114,8 @@ def attribution_rates(
             for i, r in enumerate(truths)
         ]
     )
-    return df.agg(*aggregates).select(F.explode(entries).alias("e")).select("e.*")
+    totals = df.groupBy(*by).agg(*aggregates) if by else df.agg(*aggregates)
+    return totals.select(*by, F.explode(entries).alias("e")).select(*by, "e.*")
 
 
 def audit_rules(

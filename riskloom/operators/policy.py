@@ -40,17 +40,18 @@ def ranked_alerts(
     label: str | None = None,
     weight: Sequence[str] | None = None,
     score_only: bool = True,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Long table (method, row id, evidence, risk, rank) of the eligible alerts, written once.
 
-    Eligible alerts have positive evidence; ``SCORE_ONLY`` ranks all alerts by risk.  With
+    ``by`` names keys, such as a predictor, that are ranked apart.  Eligible alerts have positive evidence; ``SCORE_ONLY`` ranks all alerts by risk.  With
     ``weight`` columns (rows drawn more than once, one column a replicate) ``rank_before_<i>`` is
     the weight ranked ahead of a row: one order serves all replicates.
     """
     entries = [F.struct(F.lit(m).alias("method"), F.col(m).cast("double").alias("evidence")) for m in methods]
     if score_only:
         entries.append(F.struct(F.lit(SCORE_ONLY).alias("method"), F.col(risk).alias("evidence")))
-    keep = [F.col(row_id), F.col(risk).alias("risk")]
+    keep = [*map(F.col, by), F.col(row_id), F.col(risk).alias("risk")]
     keep += [F.col(c) for c in (label, *(weight or ())) if c]
     long = (
         rows.filter(F.col(alert))
@@ -61,7 +62,7 @@ def ranked_alerts(
     )
     long = stage(long, "alert-evidence")
     return with_global_rank(
-        long, [("evidence", "desc"), ("risk", "desc")], row_id, partition=["method"], weight=weight
+        long, [("evidence", "desc"), ("risk", "desc")], row_id, partition=[*by, "method"], weight=weight
     )
 
 
@@ -277,21 +278,24 @@ def replicate_fidelity(rows: DataFrame, methods: Sequence[str], weights: Sequenc
     )
 
 
-def method_fidelity(rows: DataFrame, methods: Sequence[str], *, risk: str, alert: str) -> DataFrame:
-    """AUC of evidence for being an alert, and its rank correlation with risk among alerts."""
+def method_fidelity(
+    rows: DataFrame, methods: Sequence[str], *, risk: str, alert: str, by: Sequence[str] = ()
+) -> DataFrame:
+    """AUC of evidence for being an alert, and its rank correlation with risk among alerts, per ``by``."""
+    keys = [*by, "method"]
     entries = F.array(
         *[F.struct(F.lit(m).alias("method"), F.col(m).cast("double").alias("evidence")) for m in methods]
     )
-    keep = [F.col(risk).alias("risk"), F.col(alert).cast("int").alias("alert")]
+    keep = [*by, F.col(risk).alias("risk"), F.col(alert).cast("int").alias("alert")]
     long = rows.select(*keep, F.explode(entries).alias("e")).select("*", "e.method", "e.evidence").drop("e")
-    cells = score_cells(long, "evidence", "alert", partition=["method"])
-    region = ranking_metrics(cells, partition=["method"]).select(
-        "method", F.col("roc_auc").alias("positive_region_fidelity")
+    cells = score_cells(long, "evidence", "alert", partition=keys)
+    region = ranking_metrics(cells, partition=keys).select(
+        *keys, F.col("roc_auc").alias("positive_region_fidelity")
     )
-    agree = rank_correlation(long.filter("alert = 1"), "risk", "evidence", partition=["method"]).select(
-        "method", F.col("rank_correlation").alias("alert_conditional_rank_fidelity")
+    agree = rank_correlation(long.filter("alert = 1"), "risk", "evidence", partition=keys).select(
+        *keys, F.col("rank_correlation").alias("alert_conditional_rank_fidelity")
     )
-    return region.join(agree, "method", "left")
+    return region.join(agree, keys, "left")
 
 
 def with_eligibility(candidates: DataFrame, rails: Guardrails) -> DataFrame:

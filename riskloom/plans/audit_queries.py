@@ -103,30 +103,44 @@ STATS = f"""
     actp / nullif(p, 0) - (act - actp) / nullif(n - p, 0) as gap,
     case when p > 0 and p < n then (ry - p * (p + 1) / 2.0) / p / (n - p) end as auc, mean_truth from sums)"""
 
-EFFECTS = {f: f"({c!r}::double * {f})" for f, c in SCORECARD.items()}
-TOTAL_EFFECT = "greatest(" + " + ".join(f"abs({e})" for e in EFFECTS.values()) + ", 1e-12)"
-TOP_EFFECTS = "list_sort([" + ", ".join(
-    f"{{'s': -abs({e}), 'i': {i}, 'f': '{f}', 'v': {e}}}" for i, (f, e) in enumerate(EFFECTS.items())) + f"])[1:{TOP_K}]"
+def effects_sql(coefficients: dict[str, float]) -> dict[str, str]:
+    return {f: f"({c!r}::double * {f})" for f, c in coefficients.items()}
 
 
-def share_sql(rule: str) -> str:
-    known = [f for f in RULE_FEATURES[rule] if f in EFFECTS]
-    return f"(({' + '.join(f'abs({EFFECTS[f]})' for f in known)}) / {TOTAL_EFFECT})" if known else "0.0::double"
+def total_effect(effects: dict[str, str]) -> str:
+    return "greatest(" + " + ".join(f"abs({e})" for e in effects.values()) + ", 1e-12)"
 
 
-def hit_sql(rule: str) -> str:
-    known = [f for f in RULE_FEATURES[rule] if f in EFFECTS]
+EFFECTS = effects_sql(SCORECARD)
+
+
+def top_effects(effects: dict[str, str]) -> str:
+    return "list_sort([" + ", ".join(
+        f"{{'s': -abs({e}), 'i': {i}, 'f': '{f}', 'v': {e}}}" for i, (f, e) in enumerate(effects.items())) + f"])[1:{TOP_K}]"
+
+
+def share_sql(rule: str, effects: dict[str, str] = EFFECTS) -> str:
+    known = [f for f in RULE_FEATURES[rule] if f in effects]
+    return f"(({' + '.join(f'abs({effects[f]})' for f in known)}) / {total_effect(effects)})" if known else "0.0::double"
+
+
+def hit_sql(rule: str, effects: dict[str, str] = EFFECTS) -> str:
+    known = [f for f in RULE_FEATURES[rule] if f in effects]
     names = ", ".join(f"'{f}'" for f in known)
     return f"list_has_any(list_transform(top_effects, lambda e: e.f), [{names}])::int::double" if known else "0.0::double"
 
 
-ATTRIBUTED = f"""
-  attr as materialized (select *, {TOP_EFFECTS} as top_effects from truth),
+def attributed_sql(effects: dict[str, str] = EFFECTS) -> str:
+    return f"""
+  attr as materialized (select *, {top_effects(effects)} as top_effects from truth),
   rates as materialized ({' union all '.join(
-    f"select '{n}' as rule, avg(case when rule__{n} >= 0.6 then {hit_sql(n)} end) as hit, "
-    f"avg(case when rule__{n} >= 0.6 then {share_sql(n)} end) as share from attr where role = 'rule_audit' and alert"
+    f"select '{n}' as rule, avg(case when rule__{n} >= 0.6 then {hit_sql(n, effects)} end) as hit, "
+    f"avg(case when rule__{n} >= 0.6 then {share_sql(n, effects)} end) as share from attr where role = 'rule_audit' and alert"
     for n in NAMES)})"""
 
+
+ATTRIBUTED = attributed_sql()
+
 CHECKS = (
     ("a.act >= 10", "audit_alert_active_count"),
     ("a.coverage >= 0.001", "audit_alert_min_coverage"),
@@ -231,27 +245,34 @@ def newton_sql(features: tuple[str, ...], rows: str, out: str) -> str:
   {out} as materialized (select case when n >= 20 and least(pos, n - pos) >= 5 and s > 1.5e-8 then b end as fitted from walked, cz)"""
 
 
-CZ = "cz as materialized (select avg(risk) as m, stddev_pop(risk) as s, count(*) as n, sum(label) as pos from truth where role = 'rule_audit' and alert)"
-CONTRAST = f"{CZ},{newton_sql(CONTRAST_X, 'evid0', 'contrast')}"
 
-EVIDENCE_CTES = (
-    *WEIGHT_CTES,
-    f"""
+def risk_moments(source: str = "truth") -> str:
+    return f"cz as materialized (select avg(risk) as m, stddev_pop(risk) as s, count(*) as n, sum(label) as pos from {source} where role = 'rule_audit' and alert)"
+
+
+CZ = risk_moments()
+
+
+def evidence_sql(effects: dict[str, str] = EFFECTS, source: str = "truth") -> str:
+    """CTEs of every method's evidence on the rows of ``source`` from the frozen weights."""
+    return f"""
   wts as materialized (select {', '.join(f"coalesce(max(case when rule = '{n}' then w end), 0) as w_{n}, "
     f"coalesce(max(case when rule = '{n}' then pw end), 0) as p_{n}, "
     f"coalesce(max(case when rule = '{n}' then 1.0 end), 0) as u_{n}" for n in NAMES)}, count(*) as k from weights),
-  sup as materialized (select truth.*, wts.*, ({' or '.join(f'(rule__{n} >= 0.6 and u_{n} > 0)' for n in NAMES)}) as on_any from truth, wts),
+  sup as materialized (select {source}.*, wts.*, ({' or '.join(f'(rule__{n} >= 0.6 and u_{n} > 0)' for n in NAMES)}) as on_any from {source}, wts),
   evid0 as materialized (select *,
     case when on_any then greatest(0, least(1, ({' + '.join(f'u_{n} * rule__{n}' for n in NAMES)}) / k)) else 0 end as unweighted,
     case when on_any then greatest(0, least(1, {' + '.join(f'w_{n} * rule__{n}' for n in NAMES)})) else 0 end as audit_weighted,
     case when on_any then greatest(0, least(1, {' + '.join(f'p_{n} * rule__{n}' for n in NAMES)})) else 0 end as fp_penalized,
-    case when on_any then greatest(0, least(1, {' + '.join(f'p_{n} * rule__{n} * {share_sql(n)}' for n in NAMES)})) else 0 end
+    case when on_any then greatest(0, least(1, {' + '.join(f'p_{n} * rule__{n} * {share_sql(n, effects)}' for n in NAMES)})) else 0 end
       as attribution_gated from sup),
-  {CONTRAST},
+  {risk_moments(source)},{newton_sql(CONTRAST_X, 'evid0', 'contrast')},
   evid as materialized (select evid0.* exclude ({', '.join(f'u_{n}' for n in NAMES)}), (fp_penalized + attribution_gated) / 2 as guarded_ensemble,
     case when on_any and fitted is not null then 1 / (1 + exp(-({' + '.join(f'fitted[{i}] * ({x})' for i, x in enumerate(CONTRAST_X, 1))}))) else 0 end as contrastive_meta
-    from evid0, cz, contrast)""",
-)
+    from evid0, cz, contrast)"""
+
+
+EVIDENCE_CTES = (*WEIGHT_CTES, evidence_sql())
 
 
 # --- queries ---------------------------------------------------------------------------------

@@ -171,10 +171,19 @@ SCORECARD = {
 SCORE_BASE = -1.5
 
 
-def scorecard(values) -> Column:
+# Frozen predictors by name: base, coefficients and threshold of each.  The first one's alerts gave the rules their weights.
+PREDICTORS = {
+    "scorecard": (SCORE_BASE, SCORECARD, ALERT_THRESHOLD),
+    "gap_led": (-1.4, {"amount_paid": 2e-5, "amount_relative_difference": 12.0, "cross_bank": 0.4}, 0.55),
+    "history_led": (-1.0, {"amount_paid": 1e-5, "sender_prior_transaction_count": 0.05, "sender_balance_before": -5e-5,
+                           "same_currency": -0.2}, 0.45),
+}
+
+
+def scorecard(values, base: float = SCORE_BASE, coefficients: dict[str, float] = SCORECARD) -> Column:
     """The frozen scorecard over any columns, for rescoring changed values."""
-    margin = F.lit(SCORE_BASE)
-    for feature, coefficient in SCORECARD.items():
+    margin = F.lit(base)
+    for feature, coefficient in coefficients.items():
         margin = margin + F.lit(coefficient) * values[feature]
     return fuzzy.sigmoid(margin)
 
