@@ -286,20 +286,21 @@ def pairs_within(rows: DataFrame, group: str) -> DataFrame:
 
 
 def _prefixes(batches, similarity: int):
-    """Per set: its rare prefix shingles, its other prefix shingles, and the digest of all its common shingles."""
+    """Per set: its rare prefix shingles, its other ones with the place of the first of them, and the digest of all its common shingles."""
     for batch in batches:
-        made: dict[str, list] = {n: [] for n in ("rare", "common", "digest")}
+        made: dict[str, list] = {n: [] for n in ("rare", "common", "first", "digest")}
         for rows in batch.column(2).to_pylist():
             rows = sorted((r["n"], r["shingle"]) for r in rows)
             least = -(-similarity * len(rows) // 100)
             prefix = rows[: len(rows) - least + 1]
             made["rare"].append([s for n, s in prefix if 1 < n <= RUN_ROWS])
             made["common"].append([s for n, s in prefix if n > RUN_ROWS])
+            made["first"].append(len(prefix) - len(made["common"][-1]))
             made["digest"].append(xxhash.xxh3_128_digest(np.array([s for n, s in rows if n > RUN_ROWS], np.int64).tobytes()))
         lists = pa.list_(pa.int64())
         sizes = pa.array([len(r) for r in batch.column(2)], pa.int64())
-        columns = [batch.column(0), sizes, pa.array(made["rare"], lists), pa.array(made["common"], lists), pa.array(made["digest"], pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "size", "rare", "common", "digest"])
+        columns = [batch.column(0), sizes, pa.array(made["rare"], lists), pa.array(made["common"], lists), pa.array(made["first"], pa.int64()), pa.array(made["digest"], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "size", "rare", "common", "first", "digest"])
 
 
 def dense_candidates(dense: DataFrame, docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
@@ -312,7 +313,10 @@ def dense_candidates(dense: DataFrame, docs: DataFrame, similarity: int = SIMILA
     shingles as y, let m be the smallest: it shares as many with x and is no larger
     than y, so x and m are linked as well, and so are y and the smallest one of x's
     kind, and these two.  So sets meet the smallest one of each kind only, where
-    both prefixes hold the same common shingle.
+    both prefixes hold the same common shingle.  Nothing before the first shared
+    shingle is shared, so what follows it in the smaller rest must be enough for
+    the similarity: pages of one template whose own shingles already differ too
+    much do not meet.
     """
 
     def work(rows, texts):
@@ -328,13 +332,17 @@ def dense_candidates(dense: DataFrame, docs: DataFrame, similarity: int = SIMILA
     postings = map_slices(texts, work, "doc_id bigint, own bigint, shingle bigint").distinct()
     counted = postings.withColumn("n", F.count("*").over(Window.partitionBy("shingle")))
     sets = counted.groupBy("doc_id", "own").agg(F.collect_list(F.struct("n", "shingle")).alias("rows"))
-    made = sets.mapInArrow(lambda batches: _prefixes(batches, similarity), "doc_id bigint, size bigint, rare array<bigint>, common array<bigint>, digest binary")
+    made = sets.mapInArrow(lambda batches: _prefixes(batches, similarity), "doc_id bigint, size bigint, rare array<bigint>, common array<bigint>, first bigint, digest binary")
     known = stage(made.join(dense, "doc_id"), "prefixes")
 
     few = pairs_within(known.select("doc_id", "component", F.explode("rare").alias("shingle")).distinct(), "shingle")
-    kinds = known.where(F.size("common") > 0).groupBy("digest").agg(F.min(F.struct("size", "doc_id", "component", "common")).alias("m"))
-    smallest = kinds.select("m.size", "m.doc_id", "m.component", F.explode("m.common").alias("shingle"))
-    shared = known.select("size", "doc_id", "component", F.explode("common").alias("shingle"))
+    kinds = known.where(F.size("common") > 0).groupBy("digest").agg(F.min(F.struct("size", "doc_id", "component", "common", "first")).alias("m"))
+
+    def by_shingle(rows):
+        rest = (F.col("size") - F.col("first") - F.col("at")).alias("rest")
+        return rows.select("size", "doc_id", "component", "first", F.posexplode("common").alias("at", "shingle")).select("size", "doc_id", "component", "shingle", rest)
+
+    smallest, shared = by_shingle(kinds.select("m.*")), by_shingle(known)
     # Most sets that hold a shingle are often one component, whose members need not meet: one side is outside of it.
     counts = shared.groupBy("shingle", "component").agg(F.count("*").alias("n"))
     main = counts.groupBy("shingle").agg(F.max(F.struct("n", "component")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("shingle", F.col("main.component").alias("main"))
@@ -345,7 +353,7 @@ def dense_candidates(dense: DataFrame, docs: DataFrame, similarity: int = SIMILA
     pairs = few
     for left, right in ((outside(shared), smallest), (shared, outside(smallest))):
         x, y = left.alias("x"), right.alias("y")
-        met = x.join(y, "shingle").where(f"x.component <> y.component and 100 * least(x.size, y.size) >= {similarity} * greatest(x.size, y.size)")
+        met = x.join(y, "shingle").where(f"x.component <> y.component and {100 + similarity} * least(x.rest, y.rest) >= {similarity} * (x.size + y.size)")
         pairs = pairs.union(met.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")))
     return pairs.distinct()
 
