@@ -113,6 +113,14 @@ def test_pages_that_share_common_shingles_only_meet_the_smallest_of_their_kind(s
     assert [found.get(doc, doc) for doc, _ in rows] == [component for _, _, component, _ in want]
 
 
+def test_pages_of_one_template_do_not_all_meet(spark, corpus):
+    rows = template_rows(260, 40)
+    alone = spark.createDataFrame([(doc, doc) for doc, _ in rows], "doc_id bigint, component bigint")
+    pairs = {tuple(r) for r in near_dedup.dense_candidates(alone, corpus(rows)).collect()}
+    linked = {(component, doc) for doc, _, component, kept in brute_components(rows) if not kept}
+    assert linked <= pairs and len(pairs) < len(rows)
+
+
 def test_the_stage_takes_near_copies_of_80_percent(spark, corpus):
     rows = template_rows(2, 0)
     assert near_dedup.least_shared(85) == 92 and near_dedup.least_shared(80) < 92
