@@ -308,7 +308,8 @@ def test_outcomes_fail_closed(spark, change, outcome):
     assert controls.conservative_outcome(df).first()["outcome"] == outcome
 
 
-def test_pr_auc_bootstrap_equals_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("heavy", [False, True])
+def test_pr_auc_bootstrap_equals_brute_force(spark, monkeypatch, heavy):
     import numpy as np
 
     from riskloom.functions.hashing import MERSENNE_31, POISSON_1, replicate_coefficients
@@ -316,6 +317,9 @@ def test_pr_auc_bootstrap_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(resample, "BUCKET_ROWS", 40)
     rng = random.Random(4)
     rows = [(f"r{k}", int(rng.random() < 0.3), round(rng.random(), 1 if k % 2 else 3), rng.random()) for k in range(300)]
+    if heavy:
+        # Half of all rows share one score, far more than a bucket takes; the other score is constant.
+        rows = [(i, y, 0.4 if k % 2 else a, 1.0) for k, (i, y, a, _) in enumerate(rows)]
     df = spark.createDataFrame(rows, "id string, y int, a double, b double")
     got = resample.paired_pr_auc_bootstrap(df, label="y", first="a", second="b", row_id="id", replicates=20, seed=3).first()
     numbers = dict(tuple(r) for r in df.select("id", resample.row_number_31(F.col("id"))).collect())
