@@ -165,7 +165,7 @@ def time_group_split(df: DataFrame, groups: Mapping[str, Sequence] | DataFrame,
     """Assign whole time groups to splits; absent or unassigned groups are an error.
 
     ``groups`` maps each split to its groups, or is a table (``time`` column, split).
-    Rows without a time belong to no group and are left out.
+    A row without a time is in no assigned group, hence an error as well.
     """
     kind = df.schema[time].dataType.simpleString()
     if isinstance(groups, DataFrame):
@@ -178,7 +178,7 @@ def time_group_split(df: DataFrame, groups: Mapping[str, Sequence] | DataFrame,
         raise ValueError("train, validation and test groups must all be given")
     if not assigned.groupBy(time).count().where("count > 1").isEmpty():
         raise ValueError("time groups must be disjoint")
-    observed = df.select(time).filter(F.col(time).isNotNull()).distinct()
+    observed = df.select(time).distinct()
     unassigned = observed.join(assigned, time, "left_anti").limit(5).collect()
     if unassigned:
         raise ValueError(f"observed time groups are unassigned: {[r[0] for r in unassigned]}")

@@ -91,6 +91,8 @@ def test_group_split_errors(spark):
         splits.time_group_split(df, {"train": [0, 1], "validation": [2], "test": [3, 9]}, time="month")
     with pytest.raises(ValueError, match="disjoint"):
         splits.time_group_split(df, {"train": [0], "validation": [0], "test": [1]}, time="month")
+    with pytest.raises(ValueError, match="None"):
+        splits.time_group_split(df.union(df.limit(1).selectExpr("cast(null as int)")), {"train": [0, 1], "validation": [2], "test": [3]}, time="month")
 
 
 def test_class_guard(spark):
