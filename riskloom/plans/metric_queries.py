@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from riskloom.operators import contracts, metrics, scoring
 from riskloom.plans import binding
 from riskloom.plans.binding import ALERT_THRESHOLD
-from riskloom.plans.oracle import sql
+from riskloom.plans.oracle import settled_sql, sql
 from riskloom.plans.registry import query
 from riskloom.session import stage, with_constants
 
@@ -33,10 +33,19 @@ DECISION_COLUMNS = """n as n_rows, np::bigint as n_positive, round(np / n, 6) as
     round(brier, 6) as brier, round(nll, 6) as nll, round((tp + fp) / n, 6) as predicted_positive_rate"""
 
 
+# Scores are told apart by ten decimals: exp() differs by engine in the last place, so equal sums written in another order would tie in one only.
+TIED = f"""
+  s as materialized (select label as y, {settled_sql('risk')} as p from roled where role = 'test')"""
+
+
 def _test(spark, sf_dir):
     return binding.audit(spark, sf_dir).part("test")
 
 
+def _tied(spark, sf_dir):
+    return _test(spark, sf_dir).withColumn("risk", binding.settled("risk"))
+
+
 @query("binary_metrics", sql("roled", f"select {DECISION_COLUMNS} from d", TEST, DECISION))
 def binary_metrics(spark, sf_dir):
     return metrics.threshold_metrics(_test(spark, sf_dir), "label", "risk", ALERT_THRESHOLD)
@@ -64,10 +73,11 @@ def pr_auc(spark, sf_dir):
 @query(
     "pr_curve",
     sql("roled", """select round(p, 6) as threshold, round(tp / (tp + fp), 6) as "precision", round(tp / np, 6) as recall
-      from curve""", TEST, CURVE),
+      from curve""", TIED, CURVE),
 )
 def pr_curve(spark, sf_dir):
-    return metrics.pr_curve(metrics.score_cells(_test(spark, sf_dir), "risk", "label"))
+    """Precision and recall at every distinct score; scores are distinct from the tenth decimal on."""
+    return metrics.pr_curve(metrics.score_cells(_tied(spark, sf_dir), "risk", "label"))
 
 
 @query(
@@ -132,14 +142,24 @@ GRID = """
 )
 
 
+# The quantile written out: of two equal neighbours it is exactly their value, which quantile_cont misses by a last place.
+EXACT_GRID = f"""
+  held as materialized (select p, sum(pos + neg) over (order by p) as upto, sum(pos + neg) over () as n from curve),
+  spots as materialized (select distinct floor(x)::bigint as low, least(floor(x) + 1, n - 1)::bigint as high, x - floor(x) as part
+    from (select any_value(n) as n, unnest([{", ".join(f"(any_value(n) - 1) * {i / 500!r}::double" for i in range(501))}]) as x from held)),
+  g as (select distinct t from (select a.p + (b.p - a.p) * part as t from spots asof join held a on low < a.upto asof join held b on high < b.upto
+    union all select 0.0::double union all select 1.0::double)),
+  sweep as (select g.t, tp, fp from g asof left join curve on curve.p >= g.t)"""
+
+
 @query(
     "threshold_sweep",
     sql("roled", """select round(t, 6) as threshold, max(coalesce(tp, 0))::bigint as tp, max(coalesce(fp, 0))::bigint as fp
-      from sweep group by t""", TEST, CURVE, GRID),
+      from sweep group by t""", TIED, CURVE, EXACT_GRID),
 )
 def threshold_sweep(spark, sf_dir):
-    """True and false positives at every candidate threshold."""
-    rows = metrics.threshold_counts(_test(spark, sf_dir), "label", "risk")
+    """True and false positives at every candidate threshold: 0, 1 and the scores' 501 quantiles; scores have ten decimals."""
+    rows = metrics.threshold_counts(_tied(spark, sf_dir), "label", "risk")
     return spark.createDataFrame(rows, "threshold double, tp bigint, fp bigint")
 
 
