@@ -5,10 +5,10 @@ words is retained where its next-word counts diverge enough from its parent's
 distribution; a retained context's distribution is smoothed by its parent's.  A
 word is scored in the longest retained suffix of the words before it.
 
-Words below a frequency share one symbol in contexts and as next symbol; such a
-word's probability is the symbol's times its share of it.  So the alphabet has
-at most ``1 / MIN_SHARE`` words, however large the corpus is, and a block asks
-about a context at most once per word of it.
+Words below a training count share one symbol in contexts and as next symbol; such
+a word's probability is the symbol's times its share of it.  The count is the same
+for every corpus, so the alphabet grows with the corpus and a word's treatment hangs
+on its own count alone.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from riskloom.llm import exchange
 
 #: Additive smoothing of the root.
 ADDED = 0.1
-#: Training count, and share of all training tokens, that a word of the alphabet has at least.
-MIN_COUNT, MIN_SHARE = 16, 1e-5
+#: Training count that a word of the alphabet has at least; a power of two, as counts are told by class.
+MIN_COUNT = 16
 #: Weight of the parent's distribution, in counts.
 PARENT_WEIGHT = 20.0
 #: A context is retained where its log-likelihood gain over the parent exceeds this per next symbol, and this once.
@@ -115,12 +115,10 @@ class Root:
         words, mass = totals[:CLASSES], totals[CLASSES:]
         self.tokens, self.words = int(mass.sum()), int(words.sum())
         self.whole = self.tokens + ADDED * (self.words + 1)
-        least = max(MIN_COUNT, MIN_SHARE * self.tokens)
-        level = int(np.ceil(np.log2(least)))
-        self.least = 1 << level
+        level = MIN_COUNT.bit_length() - 1
         self.rare = (int(mass[:level].sum()) + ADDED * (int(words[:level].sum()) + 1)) / self.whole
         self.shares = (self.counts + ADDED) / self.whole
-        self.often = self.counts >= self.least
+        self.often = self.counts >= MIN_COUNT
 
     def packed(self) -> bytes:
         return zlib.compress(self.totals.astype("<i8").tobytes() + self.counts.astype("<i8").tobytes(), 1)
