@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,9 +78,13 @@ def history_bundle(spark, sf_dir):
         f"round({c}, 6) as {c}" if "count" not in c else c for c in HISTORY) + " from hist"),
 )
 def history_bundle_two_level(spark, sf_dir):
-    """The plan used for hot keys, forced on every key."""
-    rows = _payments(spark, sf_dir, *KEYS, "amount_paid", "amount_received")
-    return with_history(rows, payment_trails(), plain_limit=0).select("txn_id", *HISTORY)
+    """The plan used for hot keys, forced on every key; rows travel by numeric keys and get their id at the end."""
+    keys = binding.KEY_COLUMNS
+    columns = dict.fromkeys([*binding.ID_PARTS, *keys.values(), "amount_paid", "amount_received"])
+    rows = stage(binding.lines(spark, sf_dir).select(*columns), "payments")
+    trails = [replace(t, keys=tuple(keys[k] for k in t.keys)) for t in payment_trails()]
+    found = with_history(rows, trails, row_id="l_orderkey", plain_limit=0)
+    return found.select(binding.txn_id().alias("txn_id"), *HISTORY)
 
 
 @query(
