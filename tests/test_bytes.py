@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.operators import matching, policy, ranks
-from riskloom.plans import binding, model_queries, policy_queries
+from riskloom.operators import matching, policy, predictors, ranks
+from riskloom.plans import binding, model_queries, policy_queries, predictor_queries
 from riskloom.sources import readers
 
 NAMES = {"risk": "risk", "alert": "alert", "row_id": "id"}
@@ -73,3 +73,17 @@ def test_payments_are_written_before_they_are_checked(spark, tiny, monkeypatch):
     raw = binding.transactions(spark, tiny).withColumnsRenamed({v: k for k, v in readers.PAYMENT_COLUMNS.items() if k not in ("Account", "Account.1")})
     readers.load_payments(raw.drop("sender_balance_before"))
     assert "Join" not in seen[0]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_rank_within_groups_is_shuffled_once(spark):
+    df = spark.range(300).select(F.col("id").cast("string").alias("id"), (F.col("id") % 2).alias("g"), F.sqrt("id").alias("m"), F.cbrt("id").alias("n"))
+    plan = ranks.with_global_rank(df, [("m", "desc"), ("n", "desc")], "id", partition=["g"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_frozen_predictors_are_not_copied(spark, tiny, monkeypatch):
+    written = []
+    monkeypatch.setattr(predictors, "stage", lambda df, label="": written.append(label) or df)
+    predictor_queries.predictor_attribution(spark, tiny)
+    predictor_queries.predictor_audit(spark, tiny)
+    assert not written
