@@ -6,7 +6,9 @@ word hashes those of every n-gram, without a Python object per word.
 1. Words, then pairs, then longer n-grams: every task adds up its fingerprints,
    a shuffle sums them, frequent ones are marked in a bit table of fixed size.
    Only n-grams are sent whose two shorter parts are marked, as a phrase is no
-   more frequent than its parts.
+   more frequent than its parts.  Fingerprints travel as steps between sorted
+   neighbours, by ranges; n-grams of one sent fingerprint are counted together,
+   which can mark a rare one, but misses none.
 2. N-grams that are marked are cut out of the texts where they occur, and their
    counts are summed once more by the phrase itself, with a pointer to the first
    document.  So two phrases of one fingerprint are told apart by their text,
@@ -15,6 +17,7 @@ word hashes those of every n-gram, without a Python object per word.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -32,9 +35,12 @@ MARK_BITS = 27
 SLICE_BYTES, RUN_BYTES = 4 << 20, 1 << 20
 #: Fingerprints that a task adds up before it hands them on.
 HELD = 1_000_000
-
-#: Rows of a batch on its way to Spark.
-BATCH_ROWS = 50_000
+#: Upper bits of a fingerprint that are sent, more than the table of marks takes.
+SENT_BITS = 40
+#: Text bytes whose n-grams one range of fingerprints takes, on average.
+RANGE_BYTES = 8 << 20
+#: Ranges of a small corpus.
+LEAST_RANGES = 64
 
 #: A-Z become a-z.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -189,15 +195,35 @@ class Marks:
         return bits
 
 
-def _summed(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    found, counts = np.unique(np.concatenate(parts), return_counts=True)
-    for at in range(0, len(found), BATCH_ROWS):
-        part = slice(at, at + BATCH_ROWS)
-        yield pa.RecordBatch.from_arrays([pa.array(found[part].view(np.int64)), pa.array(counts[part])], ["fingerprint", "n"])
+def _planes(values: np.ndarray) -> bytes:
+    """64-bit numbers as bytes of one place after the other."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def packed(found: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted fingerprints as steps, and their counts."""
+    steps = np.diff(found, prepend=found.dtype.type(0))
+    return zlib.compress(_planes(steps) + _planes(counts), 1)
+
 
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(2, 8, -1)
+    steps, counts = (np.ascontiguousarray(p.T).view("<u8").ravel() for p in planes)
+    return np.cumsum(steps, dtype=np.uint64), counts
 
-def _frequent(docs: DataFrame, n: int, least: int, marks) -> DataFrame:
-    """Fingerprints of n-grams found ``least`` times or more; two words and more only where both shorter parts are marked."""
+
+def _summed(parts: list[np.ndarray], ranges: int) -> pa.RecordBatch:
+    """What a task has found, packed by range."""
+    found, counts = np.unique(np.concatenate(parts) >> np.uint64(64 - SENT_BITS), return_counts=True)
+    width = -(-(1 << SENT_BITS) // ranges)
+    cuts = np.searchsorted(found, np.arange(ranges + 1, dtype=np.uint64) * np.uint64(width))
+    held = np.flatnonzero(np.diff(cuts))
+    data = [packed(found[cuts[r] : cuts[r + 1]], counts[cuts[r] : cuts[r + 1]]) for r in held.tolist()]
+    return pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(data, pa.binary())], ["range", "data"])
+
+
+def _frequent(docs: DataFrame, n: int, least: int, marks, ranges: int) -> DataFrame:
+    """Fingerprints, as far as they are sent, of n-grams found ``least`` times or more; two words and more only where both shorter parts are marked."""
 
     def run(batches):
         table = Marks(marks.value) if n > 1 else None
@@ -212,13 +238,21 @@ def _frequent(docs: DataFrame, n: int, least: int, marks) -> DataFrame:
             held.append(prints)
             size += len(prints)
             if size > HELD:
-                yield from _summed(held)
+                yield _summed(held, ranges)
                 held, size = [], 0
         if held:
-            yield from _summed(held)
+            yield _summed(held, ranges)
+
+    def total(rows):
+        found, counts = (np.concatenate(c) for c in zip(*(unpacked(d.as_py()) for d in rows.column("data"))))
+        order = np.argsort(found, kind="stable")
+        found, counts = found[order], counts[order]
+        heads = np.flatnonzero(np.diff(found, prepend=~found[:1]))
+        often = found[heads[np.add.reduceat(counts, heads) >= least]] << np.uint64(64 - SENT_BITS)
+        return pa.table({"fingerprint": pa.array(often.view(np.int64))})
 
-    counted = docs.select("text", "lang").mapInArrow(run, "fingerprint bigint, n bigint")
-    return counted.groupBy("fingerprint").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("fingerprint")
+    counted = docs.select("text", "lang").mapInArrow(run, "range int, data binary")
+    return counted.groupBy("range").applyInArrow(total, "fingerprint bigint")
 
 
 PHRASES = "lang string, phrase string, words int, n bigint, doc_id {kind}"
@@ -270,9 +304,11 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10) -> DataFra
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.col("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(LEAST_RANGES, -(-size // RANGE_BYTES))
     bits, marks = np.zeros(1 << (MARK_BITS - 6), np.uint64), None
     for n in range(1, longest + 1):
-        bits |= Marks.of(_frequent(docs, n, least, marks))
+        bits |= Marks.of(_frequent(docs, n, least, marks, ranges))
         if marks is not None:
             marks.unpersist()
         marks = spark.sparkContext.broadcast(bits)

@@ -142,6 +142,28 @@ def test_phrases_survive_collisions_and_a_full_table(spark, corpus, monkeypatch)
     assert all((ids[i] == ids[j]) == (texts[i] == texts[j]) for i in range(len(ids)) for j in range(len(ids)))
 
 
+def test_fingerprints_travel_packed():
+    rng = np.random.default_rng(5)
+    prints = rng.integers(0, 1 << 64, 300_000, np.uint64)
+    batch = phrases._summed([prints, prints[:1000]], 7)
+    assert sum(len(d.as_py()) for d in batch.column("data")) < 4 * len(prints)
+    found, counts = (np.concatenate(c) for c in zip(*(phrases.unpacked(d.as_py()) for d in batch.column("data"))))
+    want, n = np.unique(np.concatenate([prints, prints[:1000]]) >> np.uint64(24), return_counts=True)
+    assert (found == want).all() and (counts == n).all()
+
+
+def test_frequent_fingerprints_are_all_marked(spark, corpus):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(40)) for _ in range(200)]
+    table = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string").repartition(5)
+    got = {r["fingerprint"] for r in phrases._frequent(table, 1, 300, None, 64).collect()}
+    counts = Counter(" ".join(texts).split())
+    salts = np.array([phrases.hash_text("en")], np.uint64)
+    often = phrases.Words([" ".join(sorted(w for w, c in counts.items() if c >= 300)).encode()], salts, phrases.Polynomials())
+    want = (often.grams(1)[1] >> np.uint64(24) << np.uint64(24)).view(np.int64)
+    assert 0 < len(want) < 26 and got == set(want.tolist())
+
+
 def test_phrases_of_an_empty_table(spark, corpus):
     assert phrase_rows(spark, []) == []
     assert phrase_rows(spark, [(1, None, None), (None, "", "en")]) == []
