@@ -32,11 +32,11 @@ from riskloom.session import stage
 #: Bits of the table of marks; it is broadcast, 16 MB at any size of the corpus.
 MARK_BITS = 27
 #: Text bytes that a task works on at a time, and bytes of one run of prefix polynomials.
-SLICE_BYTES, RUN_BYTES = 4 << 20, 1 << 20
+SLICE_BYTES, RUN_BYTES = 2 << 20, 1 << 20
 #: Fingerprints that a task adds up before it hands them on.
 HELD = 1_000_000
 #: Upper bits of a fingerprint that are sent, more than the table of marks takes.
-SENT_BITS = 40
+SENT_BITS = 36
 #: Text bytes whose n-grams one range of fingerprints takes, on average.
 RANGE_BYTES = 8 << 20
 #: Ranges of a small corpus.
@@ -181,17 +181,27 @@ class Marks:
     def __init__(self, bits: np.ndarray):
         self.bits = bits
 
+    @staticmethod
+    def places(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The two numbers whose upper bits are set for a fingerprint, as far as it is sent."""
+        sent = fingerprints >> np.uint64(64 - SENT_BITS) << np.uint64(64 - SENT_BITS)
+        return sent, _mixed(sent)
+
     def holds(self, fingerprints: np.ndarray) -> np.ndarray:
-        at = fingerprints >> np.uint64(64 - MARK_BITS)
+        one, two = self.places(fingerprints)
+        return self._set(one) & self._set(two)
+
+    def _set(self, numbers: np.ndarray) -> np.ndarray:
+        at = numbers >> np.uint64(64 - MARK_BITS)
         return (self.bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
     @staticmethod
-    def of(fingerprints: DataFrame) -> np.ndarray:
-        """Bit table of a column ``fingerprint``: at most 2**(MARK_BITS-6) rows of 64 bits come to the driver."""
-        at = F.shiftrightunsigned("fingerprint", 64 - MARK_BITS)
-        marked = fingerprints.groupBy(F.shiftright(at, 6).alias("place")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(fingerprint, {64 - MARK_BITS}) & 63 as int))")).alias("bits")).toArrow()
+    def of(places: DataFrame) -> np.ndarray:
+        """Bit table of a column ``place`` of 64-bit numbers: at most 2**(MARK_BITS-6) rows of 64 bits come to the driver."""
+        at = F.shiftrightunsigned("place", 64 - MARK_BITS)
+        marked = places.groupBy(F.shiftright(at, 6).alias("row")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(place, {64 - MARK_BITS}) & 63 as int))")).alias("bits")).toArrow()
         bits = np.zeros(1 << (MARK_BITS - 6), np.uint64)
-        bits[marked["place"].to_numpy()] = marked["bits"].to_numpy().view(np.uint64)
+        bits[marked["row"].to_numpy()] = marked["bits"].to_numpy().view(np.uint64)
         return bits
 
 
@@ -223,7 +233,7 @@ def _summed(parts: list[np.ndarray], ranges: int) -> pa.RecordBatch:
 
 
 def _frequent(docs: DataFrame, n: int, least: int, marks, ranges: int) -> DataFrame:
-    """Fingerprints, as far as they are sent, of n-grams found ``least`` times or more; two words and more only where both shorter parts are marked."""
+    """Places to mark, of n-grams found ``least`` times or more; two words and more only where both shorter parts are marked."""
 
     def run(batches):
         table = Marks(marks.value) if n > 1 else None
@@ -249,13 +259,13 @@ def _frequent(docs: DataFrame, n: int, least: int, marks, ranges: int) -> DataFr
         found, counts = found[order], counts[order]
         heads = np.flatnonzero(np.diff(found, prepend=~found[:1]))
         often = found[heads[np.add.reduceat(counts, heads) >= least]] << np.uint64(64 - SENT_BITS)
-        return pa.table({"fingerprint": pa.array(often.view(np.int64))})
+        return pa.table({"place": pa.array(np.concatenate(Marks.places(often)).view(np.int64))})
 
     counted = docs.select("text", "lang").mapInArrow(run, "range int, data binary")
-    return counted.groupBy("range").applyInArrow(total, "fingerprint bigint")
+    return counted.groupBy("range").applyInArrow(total, "place bigint")
 
 
-PHRASES = "lang string, phrase string, words int, n bigint, doc_id {kind}"
+PHRASES = "lang string, phrase string, n bigint, doc_id {kind}"
 
 
 def _written_out(docs: DataFrame, longest: int, marks) -> DataFrame:
@@ -271,6 +281,11 @@ def _written_out(docs: DataFrame, longest: int, marks) -> DataFrame:
             texts = [words.data[a:b] for a, b in zip(words.starts.tolist(), words.ends.tolist())] if len(ids) else []
             for n, (first, grams) in enumerate(words.exact_grams(ids, longest), 1):
                 kept = table.holds(words.prints(first, n))
+                if n > 1:
+                    kept &= good[first] & good[first + 1]
+                # a phrase is no more frequent than its parts
+                good = np.zeros(len(ids) + 1, bool)
+                good[first[kept]] = True
                 # the same words in two languages are two phrases
                 alike = grams[kept] * len(rows) + words.lang_of(langs)[words.text[first[kept]]]
                 _, at, counts = np.unique(alike, return_index=True, return_counts=True)
@@ -280,7 +295,6 @@ def _written_out(docs: DataFrame, longest: int, marks) -> DataFrame:
                     [
                         pa.array([langs[t] for t in where.tolist()], "string"),
                         pa.array([b" ".join(texts[i : i + n]).decode() for i in at.tolist()], "string"),
-                        pa.array(np.full(len(at), n, np.int32)),
                         pa.array(counts),
                         pa.array([doc_ids[t] for t in where.tolist()], arrow.field("doc_id").type),
                     ],
@@ -290,7 +304,7 @@ def _written_out(docs: DataFrame, longest: int, marks) -> DataFrame:
             for text, count in zip(*(x.tolist() for x in np.unique(words.text, return_counts=True))):
                 totals[langs[text]] = totals.get(langs[text], 0) + count
             empty = [None] * len(totals)
-            made = [list(totals), empty, [0] * len(totals), list(totals.values()), empty]
+            made = [list(totals), empty, list(totals.values()), empty]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(made, arrow)], schema=arrow)
 
     return docs.select("doc_id", "text", "lang").mapInArrow(run, schema)
@@ -314,8 +328,9 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10) -> DataFra
         marks = spark.sparkContext.broadcast(bits)
     written = _written_out(docs, longest, marks)
     return (
-        written.groupBy("lang", "phrase", "words")
+        written.groupBy("lang", "phrase")
         .agg(F.sum("n").alias("n"), F.min("doc_id").alias("first"))
+        .select("lang", "phrase", F.when(F.col("phrase").isNull(), 0).otherwise(F.size(F.split("phrase", " "))).alias("words"), "n", "first")
         .where((F.col("n") >= least) | (F.col("words") == 0))
     )
 
@@ -337,11 +352,10 @@ def mine_phrases(docs: DataFrame, top: int = 2000, longest: int = 3, least: int
     known = counts.where("words > 0").select("lang", "phrase", F.col("n").alias("f"))
     parts = F.split("phrase", " ")
     found = counts.where("words > 1").select("lang", "phrase", "words", F.col("n").alias("a"), "first", parts.alias("parts"))
-    cuts = found.select("lang", "phrase", "a", "words", "first", "parts", F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k")).select(
-        "lang", "phrase", "a", "first", "k",
-        F.concat_ws(" ", F.slice("parts", F.lit(1), F.col("k"))).alias("left"), F.concat_ws(" ", F.slice("parts", F.col("k") + 1, F.col("words"))).alias("right"),
-    )
-    scored = cuts.join(known.toDF("lang", "left", "l"), ["lang", "left"]).join(known.toDF("lang", "right", "r"), ["lang", "right"])
+    # The two parts are cut out of the phrase on both sides of a shuffle, which carries the phrase alone.
+    cuts = found.select("lang", "phrase", "a", "words", "first", F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k"))
+    left, right = F.expr("lang = lang_l and substring_index(phrase, ' ', k) = left"), F.expr("lang = lang_r and substring_index(phrase, ' ', k - words) = right")
+    scored = cuts.join(known.toDF("lang_l", "left", "l"), left).join(known.toDF("lang_r", "right", "r"), right)
     square = F.expr("cast(cast(a as decimal(16,0)) * cast(a as decimal(16,0)) * 1000000 as decimal(38,0)) div cast(cast(l as decimal(16,0)) * cast(r as decimal(16,0)) as decimal(38,0))")
     lowest = scored.groupBy("lang", "phrase").agg(F.min(F.struct(square.alias("score"), "k", "l", "r")).alias("cut"), F.first("a").alias("a"), F.first("first").alias("first"))
     inside = found.where("words > 2").select("lang", F.col("a").alias("around"), "parts", "words", F.explode(F.sequence(F.lit(2), F.col("words") - 1)).alias("size"))

@@ -148,7 +148,7 @@ def test_fingerprints_travel_packed():
     batch = phrases._summed([prints, prints[:1000]], 7)
     assert sum(len(d.as_py()) for d in batch.column("data")) < 4 * len(prints)
     found, counts = (np.concatenate(c) for c in zip(*(phrases.unpacked(d.as_py()) for d in batch.column("data"))))
-    want, n = np.unique(np.concatenate([prints, prints[:1000]]) >> np.uint64(24), return_counts=True)
+    want, n = np.unique(np.concatenate([prints, prints[:1000]]) >> np.uint64(64 - phrases.SENT_BITS), return_counts=True)
     assert (found == want).all() and (counts == n).all()
 
 
@@ -156,12 +156,26 @@ def test_frequent_fingerprints_are_all_marked(spark, corpus):
     rng = random.Random(8)
     texts = [" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(40)) for _ in range(200)]
     table = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string").repartition(5)
-    got = {r["fingerprint"] for r in phrases._frequent(table, 1, 300, None, 64).collect()}
+    got = {r["place"] for r in phrases._frequent(table, 1, 300, None, 64).collect()}
     counts = Counter(" ".join(texts).split())
     salts = np.array([phrases.hash_text("en")], np.uint64)
     often = phrases.Words([" ".join(sorted(w for w, c in counts.items() if c >= 300)).encode()], salts, phrases.Polynomials())
-    want = (often.grams(1)[1] >> np.uint64(24) << np.uint64(24)).view(np.int64)
-    assert 0 < len(want) < 26 and got == set(want.tolist())
+    want = np.concatenate(phrases.Marks.places(often.grams(1)[1])).view(np.int64)
+    assert 0 < len(want) < 52 and got == set(want.tolist())
+
+
+def test_phrases_around_rare_parts_are_not_written_out(spark, corpus):
+    class Marked:
+        value = np.zeros(1 << (phrases.MARK_BITS - 6), np.uint64)
+
+    salts = np.array([phrases.hash_text("en")], np.uint64)
+    words = phrases.Words([b"a b c"], salts, phrases.Polynomials())
+    # a, b, c, a b and a b c are marked, b c is not
+    for at in np.concatenate([x for f, n in (([0, 1, 2], 1), ([0], 2), ([0], 3)) for x in phrases.Marks.places(words.prints(np.array(f), n))]):
+        place = int(at) >> (64 - phrases.MARK_BITS)
+        Marked.value[place >> 6] |= np.uint64(1 << (place & 63))
+    table = spark.createDataFrame([(1, "a b c", "en")], "doc_id bigint, text string, lang string")
+    assert {r["phrase"] for r in phrases._written_out(table, 3, Marked).collect()} == {None, "a", "b", "c", "a b"}
 
 
 def test_phrases_of_an_empty_table(spark, corpus):
