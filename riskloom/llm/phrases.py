@@ -11,7 +11,7 @@ word hashes those of every n-gram, without a Python object per word.
    which can mark a rare one, but misses none.
 2. N-grams that are marked are cut out of the texts where they occur, and their
    counts are summed once more by the phrase itself, with a pointer to the first
-   document.  So two phrases of one fingerprint are told apart by their text,
+   document; tasks send them sorted and packed.  So two phrases of one fingerprint are told apart by their text,
    and what a full bit table lets through costs time, but changes no result.
 """
 
@@ -39,6 +39,8 @@ HELD = 1_000_000
 SENT_BITS = 36
 #: Text bytes whose n-grams one range of fingerprints takes, on average.
 RANGE_BYTES = 8 << 20
+#: Phrases that a task adds up before it hands them on, and text bytes whose phrases one range takes.
+WRITTEN_HELD, WRITTEN_BYTES = 400_000, 16 << 20
 #: Ranges of a small corpus.
 LEAST_RANGES = 64
 
@@ -265,49 +267,104 @@ def _frequent(docs: DataFrame, n: int, least: int, marks, ranges: int) -> DataFr
     return counted.groupBy("range").applyInArrow(total, "place bigint")
 
 
-PHRASES = "lang string, phrase string, n bigint, doc_id {kind}"
+def _listed(keys: pa.Array, counts: pa.Array, doc_ids: pa.Array) -> tuple[bytes, bytes]:
+    """Sorted keys, counts and documents, packed."""
+    keys = pa.array(keys, pa.large_string()).cast(pa.large_binary())
+    ends = np.frombuffer(keys.buffers()[1], np.int64)[keys.offset : keys.offset + len(keys) + 1]
+    text = keys.buffers()[2][ends[0] : ends[-1]].to_pybytes()
+    held = pa.BufferOutputStream()
+    with pa.ipc.new_stream(held, pa.schema([("doc_id", doc_ids.type)])) as stream:
+        stream.write_batch(pa.record_batch([doc_ids], ["doc_id"]))
+    return zlib.compress(len(keys).to_bytes(8, "little") + _planes(np.diff(ends)) + _planes(counts.to_numpy()) + text, 1), zlib.compress(held.getvalue(), 1)
 
 
-def _written_out(docs: DataFrame, longest: int, marks) -> DataFrame:
-    """Marked n-grams as text, with counts and the document of an occurrence per slice; a null phrase counts all words of a language."""
-    schema = docs.sparkSession.createDataFrame([], PHRASES.format(kind=docs.schema["doc_id"].dataType.simpleString())).schema
-    arrow = to_arrow_schema(schema)
+def _unlisted(data: bytes, doc_ids: bytes) -> pa.Table:
+    data = zlib.decompress(data)
+    n = int.from_bytes(data[:8], "little")
+    sizes, counts = (np.ascontiguousarray(p.T).view("<i8").ravel() for p in np.frombuffer(data, np.uint8, 16 * n, 8).reshape(2, 8, -1))
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    keys = pa.LargeStringArray.from_buffers(n, pa.py_buffer(ends), pa.py_buffer(data[8 + 16 * n :]))
+    return pa.table([keys, pa.array(counts), pa.ipc.open_stream(zlib.decompress(doc_ids)).read_all().column(0)], ["key", "n", "doc_id"])
+
+
+def _merged(rows: pa.Table) -> pa.Table:
+    """One row of equal keys, in order: all counts, the smallest doc_id."""
+    names = [c for c in rows.column_names if c not in ("n", "doc_id")]
+    made = rows.group_by(names, use_threads=False).aggregate([("n", "sum"), ("doc_id", "min")])
+    return made.rename_columns([*names, "n", "doc_id"]).sort_by([(c, "ascending") for c in names])
+
+
+def _written_out(docs: DataFrame, longest: int, marks, ranges: int = LEAST_RANGES) -> DataFrame:
+    """Marked n-grams as text: lang, phrase, n, doc_id, the smallest that holds it; a null phrase counts all words of a language.
+
+    A task adds up phrases by their text, sorts and packs them by ranges of their
+    fingerprints; equal phrases meet in one range.  A key is the language, a line
+    feed, which no phrase holds, and the phrase.
+    """
+    spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
+    doc_type = to_arrow_schema(spark.createDataFrame([], f"doc_id {kind}").schema).field("doc_id").type
+
+    def rows_of(where: np.ndarray, keys: list[bytes], counts: np.ndarray, doc_ids: list) -> pa.Table:
+        columns = [pa.array(where % np.uint64(ranges)).cast(pa.int32()), pa.array(keys, pa.large_binary()).cast(pa.large_string()), pa.array(counts, pa.int64()), pa.array(doc_ids, doc_type)]
+        return pa.table(columns, ["range", "key", "n", "doc_id"])
+
+    def found(rows: pa.RecordBatch, words: Words, table: Marks) -> Iterator[pa.Table]:
+        langs, doc_ids = rows.column("lang").to_pylist(), rows.column("doc_id").to_pylist()
+        heads = [lang.encode() + b"\n" for lang in langs]
+        place = np.empty(len(doc_ids), np.int64)
+        place[sorted(range(len(doc_ids)), key=lambda t: (doc_ids[t] is None, doc_ids[t] if doc_ids[t] is not None else 0))] = np.arange(len(doc_ids))
+        ids = words.exact_ids()
+        texts = [words.data[a:b] for a, b in zip(words.starts.tolist(), words.ends.tolist())] if len(ids) else []
+        for n, (first, grams) in enumerate(words.exact_grams(ids, longest), 1):
+            prints = words.prints(first, n)
+            kept = table.holds(prints)
+            if n > 1:
+                kept &= good[first] & good[first + 1]
+            # a phrase is no more frequent than its parts
+            good = np.zeros(len(ids) + 1, bool)
+            good[first[kept]] = True
+            # by doc_id, so that the first of equal n-grams is in the smallest
+            kept = np.flatnonzero(kept)
+            kept = kept[np.argsort(place[words.text[first[kept]]], kind="stable")]
+            # the same words in two languages are two phrases
+            alike = grams[kept] * len(rows) + words.lang_of(langs)[words.text[first[kept]]]
+            _, at, counts = np.unique(alike, return_index=True, return_counts=True)
+            where, at = prints[kept][at], first[kept][at]
+            text = words.text[at].tolist()
+            yield rows_of(where, [heads[t] + b" ".join(texts[i : i + n]) for t, i in zip(text, at.tolist())], counts, [doc_ids[t] for t in text])
+        text, counts = np.unique(words.text, return_counts=True)
+        yield rows_of(words.salts[text], [heads[t] for t in text.tolist()], counts, [None] * len(text))
+
+    def packets(held: list[pa.Table]) -> pa.RecordBatch:
+        whole = _merged(pa.concat_tables(held)).combine_chunks()
+        cuts = np.searchsorted(whole.column("range").to_numpy(), np.arange(ranges + 1))
+        at = np.flatnonzero(np.diff(cuts))
+        keys, counts, doc_ids = (whole.column(c).combine_chunks() for c in ("key", "n", "doc_id"))
+        made = [_listed(*(c[int(cuts[r]) : int(cuts[r + 1])] for c in (keys, counts, doc_ids))) for r in at.tolist()]
+        return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(pa.array(list(c), pa.binary()) for c in zip(*made))], ["range", "data", "docs"])
 
     def run(batches):
         table = Marks(marks.value)
+        held, size = [], 0
         for rows, words in _texts(batches):
-            langs, doc_ids = rows.column("lang").to_pylist(), rows.column("doc_id").to_pylist()
-            ids = words.exact_ids()
-            texts = [words.data[a:b] for a, b in zip(words.starts.tolist(), words.ends.tolist())] if len(ids) else []
-            for n, (first, grams) in enumerate(words.exact_grams(ids, longest), 1):
-                kept = table.holds(words.prints(first, n))
-                if n > 1:
-                    kept &= good[first] & good[first + 1]
-                # a phrase is no more frequent than its parts
-                good = np.zeros(len(ids) + 1, bool)
-                good[first[kept]] = True
-                # the same words in two languages are two phrases
-                alike = grams[kept] * len(rows) + words.lang_of(langs)[words.text[first[kept]]]
-                _, at, counts = np.unique(alike, return_index=True, return_counts=True)
-                at = first[kept][at]
-                where = words.text[at]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([langs[t] for t in where.tolist()], "string"),
-                        pa.array([b" ".join(texts[i : i + n]).decode() for i in at.tolist()], "string"),
-                        pa.array(counts),
-                        pa.array([doc_ids[t] for t in where.tolist()], arrow.field("doc_id").type),
-                    ],
-                    schema=arrow,
-                )
-            totals: dict[str, int] = {}
-            for text, count in zip(*(x.tolist() for x in np.unique(words.text, return_counts=True))):
-                totals[langs[text]] = totals.get(langs[text], 0) + count
-            empty = [None] * len(totals)
-            made = [list(totals), empty, list(totals.values()), empty]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(made, arrow)], schema=arrow)
-
-    return docs.select("doc_id", "text", "lang").mapInArrow(run, schema)
+            for part in found(rows, words, table):
+                held.append(part)
+                size += len(part)
+            if size > WRITTEN_HELD:
+                yield packets(held)
+                held, size = [], 0
+        if size:
+            yield packets(held)
+
+    def total(rows):
+        whole = _merged(pa.concat_tables(_unlisted(data.as_py(), doc_ids.as_py()) for data, doc_ids in zip(rows.column("data"), rows.column("docs"))))
+        return whole.cast(pa.schema([("key", pa.string()), ("n", pa.int64()), ("doc_id", doc_type)]))
+
+    packed_rows = docs.select("doc_id", "text", "lang").mapInArrow(run, "range int, data binary, docs binary")
+    summed = packed_rows.groupBy("range").applyInArrow(total, f"key string, n bigint, doc_id {kind}")
+    phrase = F.substring_index("key", "\n", -1)
+    lang = F.expr("left(key, length(key) - length(substring_index(key, '\\n', -1)) - 1)")
+    return summed.select(lang.alias("lang"), F.nullif(phrase, F.lit("")).alias("phrase"), "n", "doc_id")
 
 
 def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10) -> DataFrame:
@@ -326,13 +383,9 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10) -> DataFra
         if marks is not None:
             marks.unpersist()
         marks = spark.sparkContext.broadcast(bits)
-    written = _written_out(docs, longest, marks)
-    return (
-        written.groupBy("lang", "phrase")
-        .agg(F.sum("n").alias("n"), F.min("doc_id").alias("first"))
-        .select("lang", "phrase", F.when(F.col("phrase").isNull(), 0).otherwise(F.size(F.split("phrase", " "))).alias("words"), "n", "first")
-        .where((F.col("n") >= least) | (F.col("words") == 0))
-    )
+    written = _written_out(docs, longest, marks, max(LEAST_RANGES, -(-size // WRITTEN_BYTES)))
+    words = F.when(F.col("phrase").isNull(), 0).otherwise(F.size(F.split("phrase", " "))).alias("words")
+    return written.select("lang", "phrase", words, "n", F.col("doc_id").alias("first")).where((F.col("n") >= least) | (F.col("words") == 0))
 
 
 def mine_phrases(docs: DataFrame, top: int = 2000, longest: int = 3, least: int = 10, covered: int = 50) -> DataFrame:

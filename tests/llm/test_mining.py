@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from riskloom.llm import hard_negatives, phrases, sentence_pieces
@@ -178,6 +179,30 @@ def test_phrases_around_rare_parts_are_not_written_out(spark, corpus):
     assert {r["phrase"] for r in phrases._written_out(table, 3, Marked).collect()} == {None, "a", "b", "c", "a b"}
 
 
+def test_phrases_travel_sorted_and_packed(spark):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "Ünï", "c"]) for _ in range(40)) for _ in range(300)]
+
+    class Marked:
+        value = np.full(1 << (phrases.MARK_BITS - 6), ~np.uint64(0))
+
+    table = spark.createDataFrame([(None if i % 7 == 0 else i, t, "e\nn" if i % 2 else "") for i, t in enumerate(texts)], "doc_id bigint, text string, lang string").repartition(5)
+    want = defaultdict(lambda: [0, []])
+    for i, t in enumerate(texts):
+        words = t.translate(LOWER).split()
+        for n in (1, 2, 3):
+            for at in range(len(words) - n + 1):
+                entry = want["e\nn" if i % 2 else "", " ".join(words[at : at + n])]
+                entry[0] += 1
+                entry[1] += [i] if i % 7 else []
+    got = {(r["lang"], r["phrase"]): (r["n"], r["doc_id"]) for r in phrases._written_out(table, 3, Marked, 7).collect() if r["phrase"]}
+    assert got == {k: (n, min(ids, default=None)) for k, (n, ids) in want.items()}
+    keys = pa.array(sorted(f"en\n{a} {b} {c}" for a in want for b in "xyz" for c in range(20)), pa.large_string())
+    rows = pa.table([keys, pa.array(np.arange(len(keys))), pa.array([None, *range(1, len(keys))], pa.int64())], ["key", "n", "doc_id"])
+    sent = phrases._listed(*(rows.column(c).combine_chunks() for c in rows.column_names))
+    assert sum(map(len, sent)) < 0.3 * rows.nbytes and phrases._unlisted(*sent).equals(rows)
+
+
 def test_phrases_of_an_empty_table(spark, corpus):
     assert phrase_rows(spark, []) == []
     assert phrase_rows(spark, [(1, None, None), (None, "", "en")]) == []
