@@ -9,6 +9,11 @@ Words below a training count share one symbol in contexts and as next symbol; su
 a word's probability is the symbol's times its share of it.  The count is the same
 for every corpus, so the alphabet grows with the corpus and a word's treatment hangs
 on its own count alone.
+
+Blocks and buckets tell each other whole counts, packed; probabilities are worked
+out from them on either side.  Symbols are numbered by frequency.  Of contexts of two
+symbols a block asks only about those that can be retained, as far as it knows: a
+context's total is the count of its two symbols as a pair, told before.
 """
 
 from __future__ import annotations
@@ -18,6 +23,7 @@ import zlib
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from riskloom.llm import exchange
 
@@ -29,9 +35,8 @@ MIN_COUNT = 16
 PARENT_WEIGHT = 20.0
 #: A context is retained where its log-likelihood gain over the parent exceeds this per next symbol, and this once.
 GAIN_PER_SYMBOL, GAIN_ONCE = 1.0, 5.0
-RARE, START = 1, 2
+RARE, START, FIRST = 1, 2, 3
 CLASSES = 48  # count classes, by powers of two
-_HEAD = 8 * (2 * CLASSES)
 
 
 def in_training(doc_id: object) -> bool:
@@ -39,18 +44,73 @@ def in_training(doc_id: object) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 10 != 0
 
 
+def packed(*columns: np.ndarray) -> bytes:
+    """Whole numbers from 0, column by column, the lowest bytes first, no more of them than the largest needs."""
+    made = []
+    for c in columns:
+        c = np.ascontiguousarray(c).astype("<u8")
+        width = -(-int(c.max()).bit_length() // 8) if len(c) else 0
+        made += [bytes([width]), len(c).to_bytes(8, "little"), c.view(np.uint8).reshape(-1, 8).T[:width].tobytes()]
+    return zlib.compress(b"".join(made), 1)
+
+
+def unpacked(data: bytes) -> list[np.ndarray]:
+    data, columns, at = zlib.decompress(data), [], 0
+    while at < len(data):
+        width, n = data[at], int.from_bytes(data[at + 1 : at + 9], "little")
+        whole = np.zeros((n, 8), np.uint8)
+        whole[:, :width] = np.frombuffer(data, np.uint8, width * n, at + 9).reshape(width, n).T
+        columns.append(whole.view("<u8").ravel())
+        at += 9 + width * n
+    return columns
+
+
+def _steps(values: np.ndarray) -> np.ndarray:
+    """Differences of neighbours, small ones of either sign as small numbers."""
+    steps = np.diff(values.astype(np.int64), prepend=0)
+    return (steps << 1) ^ (steps >> 63)
+
+
+def _unstepped(steps: np.ndarray) -> np.ndarray:
+    steps = steps.astype(np.int64)
+    return np.cumsum((steps >> 1) ^ -(steps & 1))
+
+
+def _by_bucket(bucket: np.ndarray, buckets: int) -> np.ndarray:
+    """The stable order by bucket; small numbers are sorted by their digits."""
+    return np.argsort(bucket.astype(np.uint16 if buckets <= 1 << 16 else np.int64), kind="stable")
+
+
+def _order(columns: list[np.ndarray]) -> np.ndarray:
+    """An order of rows by several columns, as one number where they fit into one."""
+    bits = [int(c.max()).bit_length() if len(c) else 0 for c in columns]
+    if sum(bits) > 63:
+        return np.lexsort(columns[::-1])
+    key = np.zeros(len(columns[0]), np.int64)
+    for c, width in zip(columns, bits):
+        key = key << width | c
+    return np.argsort(key)
+
+
+class Numbers(dict):
+    """Words numbered as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        return number
+
+
 class Tokens:
     """The words of a block's documents, each document closed by an end token."""
 
     def __init__(self, ids: list, texts: list[bytes]):
-        vocabulary: dict[bytes, int] = {b"": 0}  # the end token; no word is empty
+        vocabulary = Numbers({b"": 0})  # the end token; no word is empty
         parts, sizes = [], []
         for text in texts:
             words = text.lower().split()
-            codes = [vocabulary.setdefault(w, len(vocabulary)) for w in words]
-            codes.append(0)
-            parts.append(np.array(codes, np.int32))
-            sizes.append(len(codes))
+            words.append(b"")
+            parts.append(np.fromiter(map(vocabulary.__getitem__, words), np.int32, len(words)))
+            sizes.append(len(words))
         self.hashes = np.array([xxhash.xxh64_intdigest(w) for w in vocabulary], np.uint64)
         self.stream = np.concatenate(parts) if parts else np.zeros(0, np.int32)
         self.sizes = np.array(sizes, np.int64)
@@ -60,7 +120,8 @@ class Tokens:
 
     def cuts(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
         bucket = (self.hashes % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
+        order = np.argsort(self.hashes)
+        order = order[_by_bucket(bucket[order], buckets)]
         return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
@@ -70,31 +131,30 @@ class Tokens:
 def _ask_counts(buckets: int):
     def work(ids, texts, _):
         tokens = Tokens(ids, texts)
-        counts = np.bincount(tokens.stream[tokens.learned], minlength=len(tokens.hashes)).astype("<u4")
+        counts = np.bincount(tokens.stream[tokens.learned], minlength=len(tokens.hashes))
         order, cuts = tokens.cuts(buckets)
+        parts = [order[cuts[b] : cuts[b + 1]] for b in range(buckets)]
         # Every bucket is asked, as every bucket's totals are needed.
-        return {b: tokens.hashes[order[cuts[b] : cuts[b + 1]]].astype("<u8").tobytes() + counts[order[cuts[b] : cuts[b + 1]]].tobytes() for b in range(buckets)}
+        return {b: packed(np.diff(tokens.hashes[part], prepend=np.uint64(0)), counts[part]) for b, part in enumerate(parts)}
 
     return work
 
 
 def _answer_counts(asked: dict[int, bytes]) -> dict[int, bytes]:
-    """Totals of the bucket's words by count class, then each asked word's count."""
-    hashes, counts, sizes = [], [], []
-    for data in asked.values():
-        n = len(data) // 12
-        hashes.append(np.frombuffer(data, "<u8", n))
-        counts.append(np.frombuffer(data, "<u4", n, 8 * n))
-        sizes.append(n)
-    distinct, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
+    """Totals of the bucket's words by count class, then each asked word's count and place among the bucket's frequent ones, from 1."""
+    hashes, counts = zip(*map(unpacked, asked.values()))
+    cuts = np.cumsum([0, *map(len, hashes)])
+    distinct, inverse = np.unique(np.concatenate([np.cumsum(h, dtype=np.uint64) for h in hashes]), return_inverse=True)
     total = np.zeros(len(distinct), np.int64)
     np.add.at(total, inverse, np.concatenate(counts).astype(np.int64))
     known = total[total > 0]
     level = np.floor(np.log2(known)).astype(np.int64) if len(known) else np.zeros(0, np.int64)
-    head = np.concatenate([np.bincount(level, minlength=CLASSES), np.bincount(level, weights=known, minlength=CLASSES).astype(np.int64)]).astype("<i8").tobytes()
-    cuts = np.concatenate([[0], np.cumsum(sizes)])
-    each = total[inverse].astype("<i8")
-    return {block: zlib.compress(head + each[cuts[i] : cuts[i + 1]].tobytes(), 1) for i, block in enumerate(asked)}
+    head = np.concatenate([np.bincount(level, minlength=CLASSES), np.bincount(level, weights=known, minlength=CLASSES).astype(np.int64)])
+    often = np.flatnonzero(total >= MIN_COUNT)
+    place = np.zeros(len(distinct), np.int64)
+    place[often[np.argsort(-total[often], kind="stable")]] = np.arange(1, len(often) + 1)
+    each, places = total[inverse], place[inverse]
+    return {block: packed(head, each[cuts[i] : cuts[i + 1]], places[cuts[i] : cuts[i + 1]]) for i, block in enumerate(asked)}
 
 
 class Root:
@@ -103,11 +163,15 @@ class Root:
     def __init__(self, tokens: Tokens, answers: dict[int, bytes], buckets: int):
         order, cuts = tokens.cuts(buckets)
         self.counts = np.zeros(len(tokens.hashes), np.int64)
+        self.symbols = np.full(len(tokens.hashes), RARE, np.int64)
         totals = np.zeros(2 * CLASSES, np.int64)
         for b in range(buckets):
-            told = zlib.decompress(answers[b])
-            totals += np.frombuffer(told, "<i8", 2 * CLASSES)
-            self.counts[order[cuts[b] : cuts[b + 1]]] = np.frombuffer(told, "<i8", offset=_HEAD)
+            head, counts, places = (c.astype(np.int64) for c in unpacked(answers[b]))
+            part = order[cuts[b] : cuts[b + 1]]
+            totals += head
+            self.counts[part] = counts
+            # Places of all buckets alternate, so that frequent symbols have small numbers.
+            self.symbols[part] = np.where(places > 0, FIRST + (places - 1) * buckets + b, RARE)
         self._set(totals)
 
     def _set(self, totals: np.ndarray) -> None:
@@ -121,22 +185,21 @@ class Root:
         self.often = self.counts >= MIN_COUNT
 
     def packed(self) -> bytes:
-        return zlib.compress(self.totals.astype("<i8").tobytes() + self.counts.astype("<i8").tobytes(), 1)
+        return packed(self.totals, self.counts, self.symbols)
 
     @classmethod
     def unpacked(cls, data: bytes) -> "Root":
-        made, data = cls.__new__(cls), zlib.decompress(data)
-        made.counts = np.frombuffer(data, "<i8", offset=_HEAD)
-        made._set(np.frombuffer(data, "<i8", 2 * CLASSES))
+        made = cls.__new__(cls)
+        totals, made.counts, made.symbols = (c.astype(np.int64) for c in unpacked(data))
+        made._set(totals)
         return made
 
 
 class Grams:
-    """The distinct (v, u, w) of a block: the next symbol w after u v, and the distinct (v, w) among them."""
+    """The distinct (v, u, w) of a block: the next symbol w after u v, and the distinct (v, w) among them; or the latter alone."""
 
-    def __init__(self, tokens: Tokens, root: Root):
-        symbols = np.where(root.often, (tokens.hashes >> np.uint64(32)) | np.uint64(4), np.uint64(RARE)).astype(np.uint32)
-        self.alphabet, code = np.unique(np.append(symbols, [np.uint32(START)]), return_inverse=True)
+    def __init__(self, tokens: Tokens, root: Root, pairs_only: bool = False):
+        self.alphabet, code = np.unique(np.append(root.symbols, START).astype(np.uint32), return_inverse=True)
         start, code = int(code[-1]), code[:-1]
         next_ = code[tokens.stream].astype(np.int64)
         v = np.empty(len(next_), np.int64)
@@ -146,93 +209,142 @@ class Grams:
         second = tokens.starts[tokens.sizes > 1] + 1
         u[second] = start
         size = len(self.alphabet)
-        keys, self.inverse = np.unique((v * size + u) * size + next_, return_inverse=True)
-        self.w, rest = keys % size, keys // size
-        self.u, self.v = rest % size, rest // size
-        self.counts = np.bincount(self.inverse[tokens.learned], minlength=len(keys))
-        pairs, self.pair = np.unique(self.v * size + self.w, return_inverse=True)
+        if pairs_only:
+            pairs, pair = np.unique(v * size + next_, return_inverse=True)
+            self.pair_counts = np.bincount(pair[tokens.learned], minlength=len(pairs))
+        else:
+            keys, self.inverse = np.unique((v * size + u) * size + next_, return_inverse=True)
+            self.w, rest = keys % size, keys // size
+            self.u, self.v = rest % size, rest // size
+            self.counts = np.bincount(self.inverse[tokens.learned], minlength=len(keys))
+            pairs, self.pair = np.unique(self.v * size + self.w, return_inverse=True)
         self.pair_v, self.pair_w = pairs // size, pairs % size
-        self.pair_counts = np.bincount(self.pair, self.counts, minlength=len(pairs)).astype(np.int64)
-        shares = np.zeros(size)
-        shares[code[root.often]] = root.shares[root.often]
-        shares[self.alphabet == RARE] = root.rare
-        self.pair_shares = shares[self.pair_w]
-
-    def cut(self, buckets: int, *columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The order that gathers rows by the bucket of their context, and where each bucket begins."""
-        mixed = np.zeros(len(columns[0]), np.uint64)
-        with np.errstate(over="ignore"):
-            for c in columns:
-                mixed = (mixed ^ self.alphabet[c]) * np.uint64(0x9FB21C651E98DF25)
-                mixed ^= mixed >> np.uint64(32)
-        bucket = (mixed % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+        self.whole, self.rare = root.whole, root.rare
+        self.known = np.zeros(size, np.int64)
+        self.known[code[root.often]] = root.counts[root.often]
+        self.pair_shares = _shares(self.known[self.pair_w], root.whole, root.rare)
 
-    def sent(self, cut: tuple[np.ndarray, np.ndarray], symbols: tuple[np.ndarray, ...], counts: np.ndarray, values: np.ndarray) -> dict[int, bytes]:
-        """Columns of each bucket, one after the other: symbols, counts, values."""
-        order, cuts = cut
-        made = {}
-        for b in np.flatnonzero(np.diff(cuts)).tolist():
-            part = order[cuts[b] : cuts[b + 1]]
-            columns = [self.alphabet[x[part]].astype("<u4").tobytes() for x in symbols]
-            made[b] = zlib.compress(b"".join([*columns, counts[part].astype("<u4").tobytes(), values[part].astype("<f4").tobytes()]), 1)
-        return made
 
+def _shares(known: np.ndarray, whole: float, rare: float) -> np.ndarray:
+    """The root's probability of symbols with such counts; 0 is the symbol of rare words."""
+    return np.where(known > 0, (known + ADDED) / whole, rare)
 
-def _told(cut: tuple[np.ndarray, np.ndarray], answers: dict[int, bytes]) -> np.ndarray:
-    """The answered values in the order of the block's rows."""
-    order, cuts = cut
-    values = np.zeros(len(order))
-    for b, data in answers.items():
-        if b >= 0:
-            values[order[cuts[b] : cuts[b + 1]]] = np.frombuffer(data, "<f4")
-    return values
 
+def _groups(*columns: np.ndarray) -> np.ndarray:
+    """A group number for equal neighbours of sorted columns."""
+    new = np.zeros(len(columns[0]), bool)
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.cumsum(new)
 
-def _note(answers: dict[int, bytes]) -> bytes:
-    return next(data for b, data in answers.items() if b < 0)
 
+class Cut:
+    """Rows of a block gathered by the bucket of their context: what is asked about them, and what is told."""
+
+    def __init__(self, grams: Grams, buckets: int, rows: np.ndarray, context: tuple[np.ndarray, ...], next_: np.ndarray):
+        """``rows`` numbers rows that are sorted by ``context``, then by ``next_``."""
+        self.grams, self.size = grams, len(next_)
+        mixed = np.zeros(len(rows), np.uint64)
+        with np.errstate(over="ignore"):
+            for c in context:
+                mixed = (mixed ^ grams.alphabet[c[rows]]) * np.uint64(0x9FB21C651E98DF25)
+                mixed ^= mixed >> np.uint64(32)
+        bucket = (mixed % np.uint64(buckets)).astype(np.int64)
+        order = _by_bucket(bucket, buckets)
+        self.order, self.bounds = rows[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
+        self.context, self.next = [c[self.order] for c in context], next_[self.order]
+        self.heads = np.flatnonzero(np.diff(_groups(*self.context), prepend=-1))
+        self.sizes = np.diff(self.heads, append=len(self.order))
+        self.head_bounds = np.searchsorted(self.heads, self.bounds)
+
+    def asked(self, counts: np.ndarray, *behind: np.ndarray) -> dict[int, bytes]:
+        """For each bucket: contexts, their rows, and what the parent's probabilities follow from.
+
+        ``behind`` is nothing, or the parent's own total and counts, row by row.
+        """
+        alphabet, known = self.grams.alphabet, self.grams.known
+        numbers = np.array([self.grams.whole, self.grams.rare]).tobytes()
+        made = {}
+        for b in np.flatnonzero(np.diff(self.bounds)).tolist():
+            part, heads = slice(self.bounds[b], self.bounds[b + 1]), slice(self.head_bounds[b], self.head_bounds[b + 1])
+            at, order = self.heads[heads], self.order[part]
+            columns = [_steps(alphabet[self.context[0][at]])] + [alphabet[c[at]] for c in self.context[1:]]
+            columns += [self.sizes[heads], alphabet[self.next[part]], counts[order], _steps(known[np.unique(self.next[part])])]
+            if behind:
+                columns += [_steps(behind[0][self.order[at]]), behind[1][order]]
+            made[b] = numbers + packed(*columns)
+        return made
 
-def _answer_values(symbols: int, score):
-    """Rows of all blocks with the same symbols become one; ``score(*symbols, counts, values)`` answers for each."""
+    def told(self, answers: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(whether its context is retained, the context's total, its own count) of every row.
+
+        Totals are zero for contexts that are not retained, and so are counts behind two symbols.
+        """
+        columns = [unpacked(answers[b]) for b in np.flatnonzero(np.diff(self.bounds)).tolist()]
+        kept, total, counts = (np.concatenate(c).astype(np.int64) for c in zip(*columns)) if columns else np.zeros((3, 0), np.int64)
+        kept = np.repeat(kept > 0, self.sizes)
+        made = np.zeros((3, self.size), np.int64)
+        made[0, self.order] = kept
+        made[1, self.order[kept]] = np.repeat(total, self.sizes[kept[self.heads]])
+        made[2, self.order[kept] if len(self.context) > 1 else self.order] = counts
+        return made[0] > 0, made[1], made[2]
+
+
+def _read(data: bytes, symbols: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """(context symbols and next symbol, counts, parent's probabilities, rows of each context) of a packet."""
+    whole, rare = np.frombuffer(data, np.float64, 2)
+    columns = unpacked(data[16:])
+    context, (sizes, next_, counts, known) = columns[:symbols], columns[symbols : symbols + 4]
+    sizes = sizes.astype(np.int64)
+    context[0] = _unstepped(context[0])
+    _, code = np.unique(next_, return_inverse=True)
+    parent = _shares(_unstepped(known)[code], whole, rare)
+    if len(columns) > symbols + 4:
+        parent = inside(columns[-1].astype(np.int64), np.repeat(_unstepped(columns[-2]), sizes), parent)
+    names = [*(np.repeat(c.astype(np.uint32), sizes) for c in context), next_.astype(np.uint32)]
+    return names, counts.astype(np.int64), parent, sizes
+
+
+def _answer_contexts(symbols: int):
+    """Rows of all blocks with the same symbols become one; every block is told which of its contexts are retained, and totals and counts."""
 
     def work(asked: dict[int, bytes]) -> dict[int, bytes]:
-        kinds = ["<u4"] * (symbols + 1) + ["<f4"]
-        columns, sizes = [[] for _ in kinds], []
-        for data in map(zlib.decompress, asked.values()):
-            n = len(data) // (4 * len(kinds))
-            for k, kind in enumerate(kinds):
-                columns[k].append(np.frombuffer(data, kind, n, 4 * n * k))
-            sizes.append(n)
-        *names, counts, values = (np.concatenate(c) for c in columns)
-        order = np.lexsort(names[::-1])
+        parts = [_read(data, symbols) for data in asked.values()]
+        names = [np.concatenate(c) for c in zip(*(p[0] for p in parts))]
+        counts, parent = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
+        sizes = [p[3] for p in parts]
+        del parts
+        order = _order(names)
         group = _groups(*[c[order] for c in names])
-        at = order[np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))]
-        scores = score(*[c[at] for c in names], np.bincount(group, counts[order].astype(np.float64)), values[at].astype(np.float64))
-        each = np.empty(len(values), "<f4")
-        each[order] = scores[group]
-        cuts = np.concatenate([[0], np.cumsum(sizes)])
-        return {block: each[cuts[i] : cuts[i + 1]].tobytes() for i, block in enumerate(asked)}
+        at = order[np.flatnonzero(np.diff(group, prepend=-1))]
+        sums = np.bincount(group, counts[order]).astype(np.int64)
+        context = _groups(*[c[at] for c in names[:-1]])
+        total, kept = _retained(context, sums, parent[at])
+        row = np.empty(len(order), np.int64)
+        row[order] = group
+        made, start = {}, 0
+        for block, rows in zip(asked, sizes):
+            mine = row[start : (start := start + int(rows.sum()))]
+            of = context[mine[np.cumsum(rows) - rows]]
+            if symbols > 1:
+                mine = mine[np.repeat(kept[of], rows)]
+            made[block] = packed(kept[of], total[of[kept[of]]], sums[mine])
+        return made
 
     return work
 
 
-def _groups(*columns: np.ndarray) -> np.ndarray:
-    """A group number for equal neighbours of sorted columns."""
-    new = np.zeros(len(columns[0]), bool)
-    for c in columns:
-        new[1:] |= c[1:] != c[:-1]
-    return np.cumsum(new)
+def inside(counts: np.ndarray, total: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    """Probabilities in contexts with such totals, smoothed by the parent's."""
+    return (counts + PARENT_WEIGHT * parent) / (total + PARENT_WEIGHT)
 
 
 def _retained(context: np.ndarray, counts: np.ndarray, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(probability in the context, whether the context is retained) of sorted (context, next symbol) rows."""
-    total = np.bincount(context, counts)
-    inside = (counts + PARENT_WEIGHT * parent) / (total[context] + PARENT_WEIGHT)
-    gain = np.bincount(context, counts * np.log(inside / parent))
+    """(total, whether it is retained) of every context, from its sorted (context, next symbol) rows."""
+    total = np.bincount(context, counts).astype(np.int64)
+    gain = np.bincount(context, counts * np.log(inside(counts, total[context], parent) / parent))
     kinds = np.bincount(context, counts > 0)
-    return inside, (gain > GAIN_PER_SYMBOL * kinds + GAIN_ONCE)[context]
+    return total, gain > GAIN_PER_SYMBOL * kinds + GAIN_ONCE
 
 
 # Question 2: contexts of one symbol.
@@ -240,17 +352,21 @@ def _retained(context: np.ndarray, counts: np.ndarray, parent: np.ndarray) -> tu
 
 def pair_scores(v: np.ndarray, w: np.ndarray, counts: np.ndarray, shares: np.ndarray) -> np.ndarray:
     """P(w | v) of sorted distinct (v, w); the root's share with a minus sign where v is not retained."""
-    inside, kept = _retained(_groups(v), counts, shares)
-    return np.where(kept, inside, -shares)
+    context = _groups(v)
+    total, kept = _retained(context, counts, shares)
+    return np.where(kept[context], inside(counts, total[context], shares), -shares)
+
+
+def _pair_cut(grams: Grams, buckets: int) -> Cut:
+    return Cut(grams, buckets, np.arange(len(grams.pair_v)), (grams.pair_v,), grams.pair_w)
 
 
 def _ask_pairs(buckets: int):
     def work(ids, texts, answers):
         tokens = Tokens(ids, texts)
         root = Root(tokens, answers, buckets)
-        grams = Grams(tokens, root)
-        cut = grams.cut(buckets, grams.pair_v)
-        return grams.sent(cut, (grams.pair_v, grams.pair_w), grams.pair_counts, grams.pair_shares) | {-1: root.packed()}
+        grams = Grams(tokens, root, pairs_only=True)
+        return _pair_cut(grams, buckets).asked(grams.pair_counts) | {-1: root.packed()}
 
     return work
 
@@ -260,22 +376,66 @@ def _ask_pairs(buckets: int):
 
 def context_scores(v: np.ndarray, u: np.ndarray, w: np.ndarray, counts: np.ndarray, one: np.ndarray) -> np.ndarray:
     """log10 P(w | longest retained suffix of u v) of sorted distinct (v, u, w); ``one`` is the answer for (v, w)."""
-    parent = np.abs(one)
-    inside, kept = _retained(_groups(v, u), counts, parent)
-    return np.log10(np.where(kept & (one > 0), inside, parent))
+    context, parent = _groups(v, u), np.abs(one)
+    total, kept = _retained(context, counts, parent)
+    return np.log10(np.where(kept[context] & (one > 0), inside(counts, total[context], parent), parent))
+
+
+class Pairs:
+    """What a block knows of its (v, w) once they are answered."""
+
+    def __init__(self, grams: Grams, buckets: int, answers: dict[int, bytes]):
+        self.kept, self.total, self.counts = _pair_cut(grams, buckets).told(answers)
+        self.chance = np.where(self.kept, inside(self.counts, self.total, grams.pair_shares), grams.pair_shares)
+
+    def open_rows(self, grams: Grams) -> np.ndarray:
+        """Rows (v, u, w) whose context may be retained.
+
+        A context is not retained where v alone is not.  Nor is one that training has
+        once at most, as long as v has few occurrences: what follows once has a chance
+        of 1 / (total of v + PARENT_WEIGHT) at least behind v, which bounds the gain.
+        And where all of a context's occurrences are the block's own, its gain is known;
+        buckets that hear nothing of a context take it for not retained.
+        """
+        context = _groups(grams.v, grams.u)
+        heads = np.flatnonzero(np.diff(context, prepend=-1))
+        v, u, size = grams.v[heads], grams.u[heads], len(grams.alphabet)
+        pairs = grams.pair_v * size + grams.pair_w
+        at = np.minimum(np.searchsorted(pairs, u * size + v), len(pairs) - 1)
+        # The start is no symbol's next; the count of a pair that may end a text is more than the context's total.
+        total = np.where(pairs[at] == u * size + v, self.counts[at], np.iinfo(np.int64).max)
+        behind = self.total[grams.pair[heads]]
+        seldom = (total <= 1) & (np.log((behind + 2 * PARENT_WEIGHT) / (1 + PARENT_WEIGHT)) < GAIN_PER_SYMBOL + GAIN_ONCE - 1e-6)
+        own = np.bincount(context, grams.counts).astype(np.int64) == total
+        known = ~_retained(context, grams.counts, self.chance[grams.pair])[1]
+        return np.flatnonzero((self.kept[grams.pair[heads]] & ~seldom & ~(own & known))[context])
+
+
+def _gram_cut(grams: Grams, buckets: int, pairs: Pairs) -> Cut:
+    return Cut(grams, buckets, pairs.open_rows(grams), (grams.v, grams.u), grams.w)
 
 
 def _ask_grams(buckets: int):
     def work(ids, texts, answers):
-        tokens = Tokens(ids, texts)
-        note = _note(answers)
-        grams = Grams(tokens, Root.unpacked(note))
-        one = _told(grams.cut(buckets, grams.pair_v), answers)
-        return grams.sent(grams.cut(buckets, grams.v, grams.u), (grams.v, grams.u, grams.w), grams.counts, one[grams.pair]) | {-1: note}
+        grams = Grams(Tokens(ids, texts), Root.unpacked(_note(answers)))
+        pairs = Pairs(grams, buckets, answers)
+        return _gram_cut(grams, buckets, pairs).asked(grams.counts, pairs.total[grams.pair], pairs.counts[grams.pair])
 
     return work
 
 
+def _note(answers: dict[int, bytes]) -> bytes:
+    return next(data for b, data in answers.items() if b < 0)
+
+
+def gram_logs(grams: Grams, buckets: int, paired: dict[int, bytes], answers: dict[int, bytes]) -> np.ndarray:
+    """log10 P(w | longest retained suffix of u v) of a block's (v, u, w), from both answers."""
+    pairs = Pairs(grams, buckets, paired)
+    chance = pairs.chance[grams.pair]
+    kept, total, counts = _gram_cut(grams, buckets, pairs).told(answers)
+    return np.log10(np.where(kept, inside(counts, total, chance), chance))
+
+
 RESULT = "held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
@@ -288,14 +448,16 @@ def score_documents(docs: DataFrame, *, block_bytes: int = exchange.BLOCK_BYTES)
     """
     texts, buckets = exchange.dealt(docs.select("doc_id", "text"), block_bytes=block_bytes)
     counted = exchange.answer(exchange.ask(texts, _ask_counts(buckets)), _answer_counts)
-    paired = exchange.answer(exchange.ask(texts, _ask_pairs(buckets), counted), _answer_values(2, pair_scores))
-    modelled = exchange.answer(exchange.ask(texts, _ask_grams(buckets), paired), _answer_values(3, context_scores))
+    paired = exchange.answer(exchange.ask(texts, _ask_pairs(buckets), counted), _answer_contexts(1))
+    modelled = exchange.answer(exchange.ask(texts, _ask_grams(buckets), paired), _answer_contexts(2))
+    # Blocks need both answers again; those about pairs come from the same shuffle a second time, which is less than a note through two.
+    both = modelled.union(paired.withColumn("bucket", F.when(F.col("bucket") < 0, F.col("bucket")).otherwise(F.col("bucket") + buckets)))
 
     def work(ids, texts, answers, table):
         tokens = Tokens(ids, texts)
         root = Root.unpacked(_note(answers))
         grams = Grams(tokens, root)
-        logs = _told(grams.cut(buckets, grams.v, grams.u), answers)
+        logs = gram_logs(grams, buckets, {b - buckets: data for b, data in answers.items() if b >= buckets}, answers)
         own = np.where(root.often, 0.0, np.log10(root.shares / root.rare))
         scores = logs[grams.inverse] + own[tokens.stream]
         base = np.log10(root.shares)[tokens.stream]
@@ -311,4 +473,4 @@ def score_documents(docs: DataFrame, *, block_bytes: int = exchange.BLOCK_BYTES)
         }
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return exchange.finish(texts, modelled, work, f"doc_id {kind}, {RESULT}")
+    return exchange.finish(texts, both, work, f"doc_id {kind}, {RESULT}")
