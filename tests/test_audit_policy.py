@@ -275,6 +275,22 @@ def test_negative_controls_select_equal_counts(spark):
     assert summary["control_count_fair"]
 
 
+def test_negative_controls_write_no_ranking(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(controls, "stage", lambda df, label="table": written.append(label) or stage(df, label))
+    rows = [(f"r{i}", i % 3 == 0, 0.5 + (i % 4) / 10, (i * 7 % 10) / 10) for i in range(40)]
+    rows = [(i, int(y), r, e) for i, y, r, e in rows]
+    locked = [policy.LockedPolicy(c, "ev", False, "", 0, 0, None, None, None, None, None, 0.0) for c in (0.1, 0.4, 1.0)]
+    df = alerts_of(spark, rows)
+    got = {(r["coverage_budget"], r["control"]): (r["selected_count"], r["selected_positive_count"]) for r in controls.negative_controls(df, locked, label="y", **NAMES).collect()}
+    assert sorted(written) == ["alerts", "controls"]
+    ranked = policy.ranked_alerts(df, ["ev"], label="y", **NAMES).collect()
+    for coverage, count in ((0.1, 4), (0.4, 16), (1.0, 36)):
+        for control, method in ((controls.LOCKED, "ev"), (controls.SCORE, policy.SCORE_ONLY)):
+            top = [r["y"] for r in ranked if r["method"] == method and r["rank"] <= count]
+            assert got[coverage, control] == (len(top), sum(top)) and len(top) == count
+
+
 OUTCOME = {
     "abstain": False, "score_only_headroom": 0.4, "ci_low": 0.01, "ci_high": 0.1, "valid_iterations": 500, "matched_ci_low": 0.01,
     "matched_ci_high": 0.1, "matched_pairs": 50, "risk_conditioned_tp_fp_gap": 0.1, "control_count_fair": True,
