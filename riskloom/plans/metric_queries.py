@@ -77,7 +77,8 @@ def pr_auc(spark, sf_dir):
 )
 def pr_curve(spark, sf_dir):
     """Precision and recall at every distinct score; scores are distinct from the tenth decimal on."""
-    return metrics.pr_curve(metrics.score_cells(_tied(spark, sf_dir), "risk", "label"))
+    curve = metrics.pr_curve(metrics.score_cells(_tied(spark, sf_dir), "risk", "label"))
+    return curve.withColumns({c: binding.sixth(c) for c in ("threshold", "precision", "recall")})
 
 
 @query(

@@ -20,6 +20,20 @@ def test_neighbouring_doubles_are_one_threshold(spark, monkeypatch):
     assert curve == {0.65: pytest.approx(0.5), 0.2: pytest.approx(1 / 3)}
 
 
+def test_curve_rounds_half_way_values_like_its_sql(spark, monkeypatch):
+    # Thresholds half-way between two places of six decimals, and precisions such as 1/640 and 3/3200.
+    rows = [(i % 639 // 638, 0.5000005 + i / 1e6) for i in range(4000)]
+    made = spark.createDataFrame(rows, "label int, risk double")
+    monkeypatch.setattr(metric_queries, "_test", lambda *_: made)
+    duck = duckdb.connect()
+    duck.execute("create table roled (label int, risk double, role varchar)")
+    duck.execute("insert into roled select (i % 639) // 638, 0.5000005::double + i / 1e6::double, 'test' from range(4000) r(i)")
+    text = entry.oracle_sql()["pr_curve"]
+    expected = duck.execute("with " + text[text.index("\n  s as materialized (select"):]).fetchall()
+    got = [tuple(r) for r in entry.queries()["pr_curve"](spark, "").collect()]
+    assert sorted(got) == sorted(expected)
+
+
 def test_sweep_sql_keeps_ties_at_their_quantile(spark, monkeypatch):
     scores = [math.sqrt(i) / 20 for i in range(1, 60) for _ in range(60)]
     labels = [i % 3 // 2 for i in range(len(scores))]
