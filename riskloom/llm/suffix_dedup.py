@@ -12,8 +12,9 @@ Three questions go from the blocks of texts to the buckets of anchors:
    earlier document with the same surroundings (then all stretches over the
    anchor go), and are there other surroundings of the same anchor;
 3. for these, with the bytes of the surroundings: the suffixes that start
-   before the anchor are sorted by a hash-compared mergesort, and a stretch
-   goes where its run of equal suffixes has an earlier document.
+   before the anchor are sorted by a hash of their stretch, which is checked on
+   the bytes, and a stretch goes where its run of equal suffixes has an earlier
+   document.
 
 Surroundings are sent once per block and question, so a passage that a third of
 all documents share stays as small as its distinct surroundings.
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm import exchange
-from riskloom.llm.suffix_sort import PrefixHashes, equal_runs, merge_sorted
+from riskloom.llm.suffix_sort import PrefixHashes, gather_equal
 
 SPAN = 50
 GRAM = 26
@@ -360,8 +361,7 @@ def _masks_of(keys: np.ndarray) -> np.ndarray:
     by_segment = np.lexsort((keys["doc"][row], segment))
     row, at, segment = row[by_segment], at[by_segment], segment[by_segment]
     starts = row * AROUND + at
-    order = merge_sorted(hashes, starts, segment, SPAN)
-    runs = equal_runs(hashes, starts, segment, order, SPAN)
+    order, runs = gather_equal(hashes, starts, segment, SPAN)
     docs = keys["doc"][row[order]]
     # Equal suffixes keep their order, so a run begins with its earliest document.
     heads = np.flatnonzero(np.concatenate([[True], runs[1:] != runs[:-1]])) if len(runs) else np.zeros(0, np.int64)

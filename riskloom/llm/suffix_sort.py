@@ -92,6 +92,28 @@ def merge_sorted(hashes: PrefixHashes, starts: np.ndarray, segment: np.ndarray,
     return order
 
 
+def gather_equal(hashes: PrefixHashes, starts: np.ndarray, segment: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order that puts a segment's suffixes with equal first ``limit`` bytes side by side, and a run number for each place.
+
+    Equal ones keep their order.  One sort by the stretches' hashes gathers them, without comparisons;
+    where hashes claim equality, the bytes are compared.
+    """
+    made = hashes.of(starts, limit)
+    order = np.lexsort((made, segment))
+    ordered, made, segment = starts[order], made[order], segment[order]
+    joined = (made[1:] == made[:-1]) & (segment[1:] == segment[:-1])
+    _verify(hashes, ordered, np.flatnonzero(joined), limit)
+    return order, np.concatenate([[0], np.cumsum(~joined)]) if len(order) else np.zeros(0, np.int64)
+
+
+def _verify(hashes: PrefixHashes, ordered: np.ndarray, claimed: np.ndarray, limit: int) -> None:
+    reach = np.arange(limit)
+    for at in range(0, len(claimed), 1 << 16):
+        part = claimed[at : at + (1 << 16)]
+        if (hashes.data[ordered[part][:, None] + reach] != hashes.data[ordered[part + 1][:, None] + reach]).any():
+            raise ArithmeticError("two different stretches have the same polynomial hash")
+
+
 def equal_runs(hashes: PrefixHashes, starts: np.ndarray, segment: np.ndarray, order: np.ndarray, limit: int) -> np.ndarray:
     """A run number per sorted suffix: neighbours of a segment share it where their first ``limit`` bytes are equal.
 
@@ -101,11 +123,7 @@ def equal_runs(hashes: PrefixHashes, starts: np.ndarray, segment: np.ndarray, or
     same = segment[order][1:] == segment[order][:-1]
     near = np.flatnonzero(same)
     claimed = near[hashes.common(ordered[near], ordered[near + 1], limit) >= limit]
-    for at in range(0, len(claimed), 1 << 16):
-        part = claimed[at : at + (1 << 16)]
-        reach = np.arange(limit)
-        if (hashes.data[ordered[part][:, None] + reach] != hashes.data[ordered[part + 1][:, None] + reach]).any():
-            raise ArithmeticError("two different stretches have the same polynomial hash")
+    _verify(hashes, ordered, claimed, limit)
     joined = np.zeros(max(len(order) - 1, 0), bool)
     joined[claimed] = True
     return np.concatenate([[0], np.cumsum(~joined)]) if len(order) else np.zeros(0, np.int64)

@@ -257,3 +257,22 @@ def test_all_operators_are_registered():
 def test_equal_keys_of_a_shard_share_an_entry():
     arrays = id_shards.index_arrays([None, 3, 3, 9], np.arange(5))
     assert sorted(arrays["rows"].tolist()) == [1, 3] and arrays["nulls"].tolist() == [1, 0, 0, 0]
+
+
+def test_equal_stretches_are_found_without_comparing_suffixes(monkeypatch):
+    monkeypatch.setattr(PrefixHashes, "compare", None)
+    random = np.random.default_rng(5)
+    keys = np.zeros(300, suffix_dedup._THIRD)
+    keys["gram"], keys["doc"] = np.arange(300) % 4, random.permutation(300)
+    keys["before"], keys["after"] = suffix_dedup.LEFT, suffix_dedup.RIGHT
+    # Halves of a few kinds around the anchor: whole, half and no stretches in common.
+    keys["bytes"] = np.concatenate([random.integers(97, 123, (3, 40))[random.integers(0, 3, 300)], random.integers(97, 123, (3, 34))[random.integers(0, 3, 300)]], axis=1)
+    first = {}
+    for key in np.sort(keys, order="doc"):
+        for at in range(suffix_dedup.WINDOW):
+            first.setdefault((key["gram"], at, key["bytes"][at : at + suffix_dedup.SPAN].tobytes()), key["doc"])
+    masks = [
+        sum(1 << at for at in range(suffix_dedup.WINDOW) if first[key["gram"], at, key["bytes"][at : at + suffix_dedup.SPAN].tobytes()] < key["doc"])
+        for key in keys
+    ]
+    assert suffix_dedup.sorted_masks(keys).tolist() == masks and len(set(masks)) > 2
