@@ -416,3 +416,25 @@ def test_survival_equals_repeated_alerts(spark):
         rates = {r["rule"]: r for r in audit.attribution_rates(drawn, truths, hit, hit, weight=F.col("w")).collect()}
         on = [c for c in cells if c["pattern"][0] == "1"]
         assert sum(c["h"][0] for c in on) / sum(c["n"] for c in on) == pytest.approx(rates["a"]["hit_rate"])
+
+
+def test_shuffled_labels_write_audit_rows_only(spark, tiny, monkeypatch):
+    from riskloom.plans import policy_queries
+
+    written = {}
+
+    def kept(df, label="table"):
+        written[label] = stage(df, label)
+        return written[label]
+
+    monkeypatch.setattr(policy_queries, "stage", kept)
+    found = policy_queries.shuffled_weights(spark, tiny)
+    before = policy_queries.binding.audit(spark, tiny).part("rule_audit")
+    moved = written["relabelled"]
+    assert set(found) == set(controls.SHUFFLED_CONTROLS)
+    assert {r["role"] for r in moved.select("role").distinct().collect()} == {"rule_audit"}
+    # The labels of alerts change places among themselves, those of other rows stay.
+    count = lambda rows: sorted(map(tuple, rows.groupBy("alert", "label").count().collect()))
+    assert count(moved) == count(before)
+    quiet = [rows.filter("not alert").select("txn_id", "label") for rows in (moved, before)]
+    assert quiet[0].exceptAll(quiet[1]).isEmpty()
